@@ -159,7 +159,8 @@ def dedup(docs: DataFrame, primes: tuple[int, ...] = PRIMES, bases: tuple[int, .
         if members.isEmpty():
             break
         copies = F.ceil(F.col("n") / PER_COPY).cast("int")
-        chunks = _chunks(members.select("doc_id", "grp", "keep_id", copies.alias("copies")).join(body, "doc_id"))
+        own = members.select("doc_id", "grp", "keep_id", copies.alias("copies"))
+        chunks = _chunks(own.hint("merge").join(body, "doc_id"))
         salted = chunks.where("doc_id <> keep_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int"))
         first = chunks.where("doc_id = keep_id").select(
             "keep_id", "chunk_no", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("chunk").alias("first_chunk")
