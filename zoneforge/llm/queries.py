@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zoneforge.llm import exact_dedup, mixing, packing, simhash, toxicity
+from zoneforge.llm import exact_dedup, mixing, packing, simhash, substring_dedup, token_file, toxicity
 from zoneforge.llm.common import read
 
 
@@ -22,17 +22,25 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(read(spark, sf_dir, "documents"))
 
 
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.round_trip(read(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(read(spark, sf_dir, "documents")).drop("removed")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op4_packing, op6_simhash, op8_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op3_toxicity, op4_packing, op6_simhash, op7_token_file, op8_mixing, op9_substring_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op9_substring_dedup": substring_dedup.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
