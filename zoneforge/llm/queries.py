@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zoneforge.llm import exact_dedup, mixing, packing, simhash, substring_dedup, token_file, toxicity
+from zoneforge.llm import cotraining, decision_list, exact_dedup, mixing, packing, simhash, substring_dedup, token_file, toxicity
 from zoneforge.llm.common import read
 
 
+def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -18,6 +22,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_list.filter_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(read(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op4_packing, op6_simhash, op7_token_file, op8_mixing, op9_substring_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_cotraining, op3_toxicity, op4_packing, op5_decision_list, op6_simhash, op7_token_file, op8_mixing, op9_substring_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
