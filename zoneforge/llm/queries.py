@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zoneforge.llm import cotraining, decision_list, exact_dedup, mixing, packing, simhash, substring_dedup, token_file, toxicity
+from zoneforge.llm import cotraining, decision_list, exact_dedup, mixing, packing, simhash, substring_dedup, surrogates, token_file, toxicity
 from zoneforge.llm.common import read
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.anonymize(read(spark, sf_dir, "documents"))
+
+
 def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -47,7 +51,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_cotraining, op3_toxicity, op4_packing, op5_decision_list, op6_simhash, op7_token_file, op8_mixing, op9_substring_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_surrogates, op2_cotraining, op3_toxicity, op4_packing, op5_decision_list, op6_simhash, op7_token_file, op8_mixing, op9_substring_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
