@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zoneforge.llm.common import configure, materialize, texts
-from zoneforge.llm.words import bounds, raw, windows, word_hashes
+from zoneforge.llm.words import bounds, mix, raw, windows, word_hashes
 
 #: Words of a window; words of an anchor, the longest of which every window holds one whole reference block.
 WINDOW = 35
 SECOND_BASE = 0x94D049BB133111EB
 _ROWS = "bucket int, docs binary, counts binary, keys binary, more binary, places binary, flags binary"
 _NAMES = ["bucket", "docs", "counts", "keys", "more", "places", "flags"]
+_PACKED = "grp int, docs binary, starts binary, lengths binary"
 _RUNS = "doc_id long, starts binary, lengths binary"
 
 
@@ -25,12 +26,26 @@ def anchor(window: int) -> int:
     return (window + 1) // 2
 
 
-def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending positions as runs of neighbours: starts and lengths."""
-    if not len(at):
-        return at, at
-    new = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
-    return at[new], np.diff(np.concatenate([new, [len(at)]]))
+def _runs(at: np.ndarray, doc: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Ascending positions as runs of neighbours: starts and lengths, and with ``doc`` each run's own."""
+    step = np.ones(len(at), bool)
+    step[1:] = np.diff(at) != 1
+    if doc is not None:
+        step[1:] |= doc[1:] != doc[:-1]
+    new = np.flatnonzero(step)
+    out = at[new], np.diff(np.concatenate([new, [len(at)]]))
+    return out if doc is None else (*out, doc[new])
+
+
+def _by_group(ids: np.ndarray, place: np.ndarray, groups: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """Places in order of (id, place) as runs, packed by group of documents."""
+    starts, lengths, owner = _runs(place, ids)
+    group = (mix(owner.astype(np.int64).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(groups + 1))
+    for g in np.flatnonzero(np.diff(cuts)).tolist():
+        own = order[cuts[g] : cuts[g + 1]]
+        yield g, _column(owner[own], 8), _column(starts[own], 4), _column(lengths[own], 4)
 
 
 def _column(values: np.ndarray, width: int) -> bytes:
@@ -59,12 +74,8 @@ def _send(ids: np.ndarray, doc: np.ndarray, place: np.ndarray, key: np.ndarray,
     flags = np.maximum.reduceat(flag[order], first) if len(first) else flag[:0]
     many = np.zeros(len(k), bool)
     many[order] = np.repeat(size > 1, size)
-    rows: list[tuple] = []
     own = np.flatnonzero(many)
-    if len(own):
-        for d in np.unique(doc[own]).tolist():
-            starts, lengths = _runs(np.sort(place[own[doc[own] == d]]) if len(own) < 1000 else np.sort(place[own][np.searchsorted(doc[own], d) : np.searchsorted(doc[own], d, side="right")]))
-            rows.append((-1 - int(ids[d]) % buckets, ids[d : d + 1].tobytes(), b"", b"", b"", starts.astype("<u4").tobytes(), lengths.astype("<u4").tobytes()))
+    rows = [(-1 - g, docs, b"", b"", b"", starts, lengths) for g, docs, starts, lengths in _by_group(ids[doc[own]], place[own].astype(np.int64), buckets)] if len(own) else []
     at = order[first]
     flags = flags | np.where(size > 1, 2, 0).astype(np.uint8)
     bucket = (key[at] >> np.uint64(20)) % np.uint64(buckets)
@@ -76,29 +87,28 @@ def _send(ids: np.ndarray, doc: np.ndarray, place: np.ndarray, key: np.ndarray,
         if s.start < s.stop:
             owners, count = np.unique(doc[at[s]], return_counts=True)
             rows.append(
-                (b, ids[owners].astype("<i8").tobytes(), count.astype("<u4").tobytes(), _column(key[at[s]], width), b"" if more is None else _column(more[at[s]], 8), _column(place[at[s]], 4), np.packbits(flags[s, None] >> np.array([0, 1], np.uint8) & 1).tobytes())
+                (b, _column(ids[owners], 8), count.astype("<u4").tobytes(), _column(key[at[s]], width), b"" if more is None else _column(more[at[s]], 8), _column(place[at[s]], 4), np.packbits(flags[s, None] >> np.array([0, 1], np.uint8) & 1).tobytes())
             )
     if rows:
         kinds = [pa.int32(), *[pa.binary()] * 6]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
 
 
-def _answer(width: int, anchored: bool):
-    """What a bucket answers: places of keys that occur twice (and, if anchored, that a reference block has)."""
+def _answer(width: int, anchored: bool, groups: int):
+    """What a bucket answers: places of keys that occur twice (and, if anchored, that a reference block has).
+
+    Answers are packed by group of documents, so their number hangs on buckets and groups, not on documents.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids, starts, lengths = [], [], []
         if key[0].as_py() < 0:
-            for row in table.select(["docs", "places", "flags"]).to_pylist():
-                ids.append(int(np.frombuffer(row["docs"], "<i8")[0]))
-                starts.append(row["places"])
-                lengths.append(row["flags"])
+            out = [(-1 - key[0].as_py(), *row) for row in zip(*(table[c].to_pylist() for c in ("docs", "places", "flags")), strict=True)]
         else:
             parts = []
             for row in table.to_pylist():
                 k = _numbers(row["keys"], width)
                 m = _numbers(row["more"], 8) if row["more"] else np.zeros(len(k), np.uint64)
-                d = np.repeat(np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["counts"], "<u4"))
+                d = np.repeat(_numbers(row["docs"], 8).view(np.int64), np.frombuffer(row["counts"], "<u4"))
                 f = np.unpackbits(np.frombuffer(row["flags"], np.uint8))[: 2 * len(k)].reshape(-1, 2)
                 parts.append((k, m, d, _numbers(row["places"], 4), f))
             k, m, d, p, f = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -115,17 +125,28 @@ def _answer(width: int, anchored: bool):
                 found &= np.maximum.reduceat(f[:, 0], first) > 0
             hit = order[np.repeat(found, size) & (f[:, 1] == 0)]
             hit = hit[np.lexsort((p[hit], d[hit]))]
-            cut = np.flatnonzero(np.concatenate([[True], np.diff(d[hit]) != 0])) if len(hit) else np.zeros(0, np.int64)
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(hit)], strict=True) if len(cut) else ():
-                s, n = _runs(p[hit[a:b]].astype(np.int64))
-                ids.append(int(d[hit[a]]))
-                starts.append(s.astype("<u4").tobytes())
-                lengths.append(n.astype("<u4").tobytes())
-        return pa.table([pa.array(ids, pa.int64()), pa.array(starts, pa.binary()), pa.array(lengths, pa.binary())], ["doc_id", "starts", "lengths"])
+            out = list(_by_group(d[hit], p[hit].astype(np.int64), groups))
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.binary()] * 3], strict=True)], ["grp", "docs", "starts", "lengths"])
 
     return run
 
 
+def _gather(key: tuple, table: pa.Table) -> pa.Table:
+    """Packed answers of a group of documents as one row a document."""
+    doc = np.concatenate([_numbers(x, 8) for x in table["docs"].to_pylist()]).view(np.int64)
+    starts, lengths = (np.concatenate([_numbers(x, 4) for x in table[c].to_pylist()]) for c in ("starts", "lengths"))
+    order = np.argsort(doc, kind="stable")
+    doc, starts, lengths = doc[order], starts[order].astype("<u4"), lengths[order].astype("<u4")
+    cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    stop = [*cut[1:].tolist(), len(doc)]
+    ranges = list(zip(cut.tolist(), stop, strict=True))
+    return pa.table(
+        [pa.array(doc[cut]), pa.array([starts[a:b].tobytes() for a, b in ranges], pa.binary()), pa.array([lengths[a:b].tobytes() for a, b in ranges], pa.binary())],
+        ["doc_id", "starts", "lengths"],
+    )
+
+
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, document and place of each word, and the number of words that follow it in its document."""
     data, at = raw(column)
@@ -136,13 +157,12 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return word_hashes(data, first, end), doc, place, count[doc] - place
 
 
-def _marked(lists: list, size: int) -> np.ndarray:
-    """Positions below ``size`` that lists of (starts, lengths) cover."""
+def _marked(starts: bytes, lengths: bytes, size: int) -> np.ndarray:
+    """Positions below ``size`` that the runs cover."""
     step = np.zeros(size + 1, np.int64)
-    for x in lists or ():
-        s, n = np.frombuffer(x["starts"], "<u4").astype(np.int64), np.frombuffer(x["lengths"], "<u4").astype(np.int64)
-        np.add.at(step, np.minimum(s, size), 1)
-        np.add.at(step, np.minimum(s + n, size), -1)
+    s, n = np.frombuffer(starts, "<u4").astype(np.int64), np.frombuffer(lengths, "<u4").astype(np.int64)
+    np.add.at(step, np.minimum(s, size), 1)
+    np.add.at(step, np.minimum(s + n, size), -1)
     return np.cumsum(step[:size]) > 0
 
 
@@ -156,7 +176,7 @@ def _around(mark: np.ndarray, before: int, after: int) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, runs): starts of windows of ``window`` words that occur more than once.
+    """(doc_id, starts, lengths): runs of starts of windows of ``window`` words that occur more than once.
 
     1. Index: each document is cut into reference blocks of (window + 1) / 2
        words, side by side, so any window holds one whole. Probe: every rolling run of that
@@ -187,23 +207,19 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             hashes, doc, place, left = _words(batch.column(1))
             cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             wanted = np.zeros(len(doc), bool)
-            for i, lists in enumerate(batch.column(2).to_pylist()):
-                mark = _marked(lists, cut[i + 1] - cut[i])
+            for i, (starts, lengths) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                mark = _marked(starts, lengths, cut[i + 1] - cut[i])
                 wanted[cut[i] : cut[i + 1]] = _around(mark, window - length, 0)
             whole = np.flatnonzero(wanted & (left >= window))
             if len(whole):
                 keys, more = windows(hashes, window)[whole], windows(hashes, window, SECOND_BASE)[whole]
                 yield from _send(ids, doc[whole], place[whole], keys, more, np.zeros(len(whole), np.uint8), buckets, 8)
 
-    hits = rows.mapInArrow(probe, _ROWS).groupBy("bucket").applyInArrow(_answer(6, True), _RUNS)
-    hits = _by_document(materialize(hits, "hits"))
-    near = hits.hint("merge").join(rows, "doc_id").select("doc_id", "text", "runs")
-    found = near.mapInArrow(extend, _ROWS).groupBy("bucket").applyInArrow(_answer(8, False), _RUNS)
-    return _by_document(materialize(found, "repeats"))
-
-
-def _by_document(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "lengths")).alias("runs"))
+    hits = rows.mapInArrow(probe, _ROWS).groupBy("bucket").applyInArrow(_answer(6, True, buckets), _PACKED)
+    hits = materialize(hits.groupBy("grp").applyInArrow(_gather, _RUNS), "hits")
+    near = hits.hint("merge").join(rows, "doc_id").select("doc_id", "text", "starts", "lengths")
+    found = near.mapInArrow(extend, _ROWS).groupBy("bucket").applyInArrow(_answer(8, False, buckets), _PACKED)
+    return materialize(found.groupBy("grp").applyInArrow(_gather, _RUNS), "repeats")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -223,9 +239,9 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             first, end, doc = bounds(data, at)
             body, edge = data.tobytes(), np.searchsorted(doc, np.arange(batch.num_rows + 1))
             total, gone, digests, spans = [], [], [], []
-            for i, lists in enumerate(batch.column(2).to_pylist()):
+            for i, (starts, lengths) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 a, b = first[edge[i] : edge[i + 1]], end[edge[i] : edge[i + 1]]
-                out = _around(_marked(lists, len(a)), 0, window - 1) if lists else np.zeros(len(a), bool)
+                out = _around(_marked(starts, lengths, len(a)), 0, window - 1) if starts else np.zeros(len(a), bool)
                 kept = ~out
                 digests.append(hashlib.sha256(b" ".join([body[x:y] for x, y in zip(a[kept].tolist(), b[kept].tolist(), strict=True)])).hexdigest())
                 total.append(len(a))
@@ -234,7 +250,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string()), pa.array(spans, kind)], ["doc_id", "n_words", "n_removed", "kept_sha256", "removed"])
 
-    rows = texts(docs).hint("merge").join(found, "doc_id", "left").select("doc_id", "text", "runs")
+    rows = texts(docs).hint("merge").join(found, "doc_id", "left").select("doc_id", "text", "starts", "lengths")
     return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,n:long>>")
 
 
