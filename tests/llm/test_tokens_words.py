@@ -15,6 +15,7 @@ def test_encoder_is_the_tokenizer(name):
     encoder = Encoder(name)
     rng = np.random.default_rng(0)
     more = ["".join(rng.choice(list("ab é.'s\n 1"), 40)) for _ in range(300)]
+    more += [" ".join("".join(rng.choice(list("thEanreöÀßÿ*.!|<>_^`~'5"), rng.integers(1, 9))) for _ in range(12)) for _ in range(400)]
     for got, text in zip(encoder.encode(TEXTS + more), TEXTS + more, strict=True):
         want = encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
         assert np.frombuffer(got, "<u4").tolist() == want, repr(text)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zoneforge.llm.common import configure, materialize, texts
-from zoneforge.llm.tokens import Encoder
+from zoneforge.llm.tokens import encoder as encoder_of
 
 #: Tokens of a sequence, id after each document, tokenizer.
 CAPACITY, END, TOKENIZER = 2048, 0, "byte_bpe_50k.json"
@@ -209,7 +209,7 @@ def cut(docs: DataFrame, capacity: int, tokenizer: str, end: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, seen = Encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encoder, task, seen = encoder_of(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows = []

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from zoneforge.functions.storage import new_path
 from zoneforge.llm.common import configure, texts
-from zoneforge.llm.tokens import Encoder
+from zoneforge.llm.tokens import encoder as encoder_of
 
 #: Tokenizer, id after each document, bits of a chunk by level (the last takes what is left), bits between rank entries, ids of a segment.
 TOKENIZER, END, LEVELS, RANK_BITS, SEGMENT = "word_bpe_49k.json", 2, (8, 8, 16), 512, 1 << 20
@@ -108,7 +108,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
     rows = texts(docs).repartitionByRange(parts, "doc_id").withColumn("task", F.spark_partition_id()).sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = Encoder(tokenizer), np.array([end], "<u4").tobytes()
+        encoder, tail = encoder_of(tokenizer), np.array([end], "<u4").tobytes()
         docs_in: list[int] = []
         parts_in: list[bytes] = []
         have, number, task = 0, 0, 0

@@ -4,19 +4,31 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
 #: Words whose ids are kept from batch to batch, and their most characters.
-KEPT, LONGEST = 150_000, 64
+KEPT, LONGEST = 250_000, 64
+#: Letters that normalisation leaves alone but for case, and punctuation without the apostrophe.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: itself if printable, else the next from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
     """Little-endian 32-bit ids of texts: what ``Tokenizer.encode(text, add_special_tokens=False)`` gives.
 
     Neither tokenizer lets a token begin before a lone space or newline and end after it, so a
-    text is cut there, and words seen before keep their ids. A text with any
-    other white space, or with runs of it, is encoded whole. Strings of special tokens in a text are ordinary text.
+    text is cut there, and words seen before keep their ids. A new word of letters, or letters and then
+    marks, goes to the tokenizer's model as the one or two pieces that its pre-tokenizer would make;
+    any other is encoded in the usual way, and so is the whole of a text with
+    other white space or runs of it. Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, name: str):
@@ -26,22 +38,93 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
-        self.parts = re.compile(r"[ \n]?[^ \n]+")
-        self.odd = re.compile(r"[^\S \n]|[ \n]{2}|[ \n]\Z")
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        #: Whether the tokenizer folds case and drops white space before it cuts words.
+        self.folds = self.tokenizer.normalizer is not None
+        self.simple = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)")
+        self.letters = _byte_letters()
+        self.newline = self._plain(["\n"])[0]
+        self.marks: dict[str, tuple[int, ...]] = {}
+        self.pack = [struct.Struct(f"<{n}I").pack for n in range(4 * LONGEST)]
+        #: Ids of words at the head of a line, and after a space; None for what makes its text odd.
+        self.head: dict[str, bytes | None] = {}
+        self.after = self.head if self.folds else {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if not t or self.odd.search(t) else self.parts.findall(t) for t in texts]
-        new = list({w for words in split if words for w in words} - self.known.keys())
-        known = self.known
-        known.update(zip(new, self._plain(new), strict=True))
-        out = [b"".join([known[w] for w in words]) if words else self._plain([t])[0] if t else b"" for t, words in zip(texts, split, strict=True)]
-        if len(known) > KEPT:
-            known.clear()
+    def _learn(self, known: dict[str, bytes | None], new: list[str], before: str) -> None:
+        rest = []
+        tokenize, letters, fold, pack = self.model.tokenize, self.letters, self.folds, self.pack
         for word in new:
-            if len(word) > LONGEST:
-                known.pop(word, None)
+            tail: tuple[int, ...] = ()
+            head = word
+            if not (word.isascii() and word.isalpha()):
+                m = self.simple.fullmatch(word)
+                if m is None:
+                    if word.split() == [word]:
+                        rest.append(word)
+                    else:
+                        known[word] = None
+                    continue
+                head, marks = m.groups()
+                if marks:
+                    tail = self.marks.get(marks)
+                    if tail is None:
+                        tail = tuple(t.id for t in tokenize(marks))
+                        if len(self.marks) < 10_000:
+                            self.marks[marks] = tail
+            if len(head) > LONGEST or len(tail) > LONGEST:
+                rest.append(word)
+                continue
+            piece = before + (head.lower() if fold else head)
+            if before or not head.isascii():
+                piece = piece.encode().decode("latin-1").translate(letters)
+            ids = [t.id for t in tokenize(piece)]
+            ids += tail
+            known[word] = pack[len(ids)](*ids)
+        known.update(zip(rest, self._plain([before + w for w in rest]), strict=True))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [[line.split(" ") for line in t.split("\n")] if t else [] for t in texts]
+        heads, afters = set(), set()
+        for lines in split:
+            for words in lines:
+                heads.add(words[0])
+                afters.update(words[1:] if not self.folds else words)
+        head, after = self.head, self.after
+        if self.folds:
+            self._learn(head, list(afters - head.keys()), "")
+        else:
+            self._learn(head, list(heads - head.keys()), "")
+            self._learn(after, list(afters - after.keys()), " ")
+        out, newline = [], b"" if self.folds else self.newline
+        for text, lines in zip(texts, split, strict=True):
+            try:
+                if self.folds:
+                    out.append(b"".join([b"".join(map(head.__getitem__, words)) for words in lines]))
+                else:
+                    out.append(newline.join([b"".join([head[words[0]], *map(after.__getitem__, words[1:])]) for words in lines]))
+            except TypeError:
+                out.append(self._plain([text])[0])
+        if len(head) > KEPT:
+            self._keep(head, afters if self.folds else heads)
+        if len(after) > KEPT:
+            self._keep(after, afters)
         return out
+
+    @staticmethod
+    def _keep(known: dict[str, bytes | None], met: set[str]) -> None:
+        kept = {w: known[w] for w in met if len(w) <= LONGEST}
+        known.clear()
+        known.update(kept)
+
+
+_made: dict[str, Encoder] = {}
+
+
+def encoder(name: str) -> Encoder:
+    """The process's own encoder: a Python worker that runs many tasks loads a tokenizer once."""
+    if name not in _made:
+        _made[name] = Encoder(name)
+    return _made[name]
