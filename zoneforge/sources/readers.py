@@ -176,7 +176,7 @@ def _cif_rows(name: str, pdb_id: str, t: dict[str, list[dict]]) -> Iterator[tupl
 def ingest_mmcif(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of a folder (or glob) of mmCIF files, plain or gzipped: asym_atoms, entities, polymers, assembly_gen, oper_map.
 
-    A file is one row and one structure, named by its data block; files are parsed where they are read.
+    Each data block is a structure of its name; a file is one row, parsed where it is read.
     """
     files = spark.read.text(path, wholetext=True)
     out = {}
@@ -186,9 +186,10 @@ def ingest_mmcif(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         def parse(frames: Iterator[pd.DataFrame], name=name, columns=columns) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for text in frame["value"]:
-                    block = re.search(r"^data_(\S+)", text, re.MULTILINE)
-                    rows = list(_cif_rows(name, block[1].lower() if block else "", cif_tables(text)))
-                    yield pd.DataFrame(rows, columns=columns).astype({c: object for c in columns if c in ("seq_id",)})
+                    for block in re.split(r"(?m)^(?=data_)", text):
+                        if head := re.match(r"data_(\S+)", block):
+                            rows = list(_cif_rows(name, head[1].lower(), cif_tables(block)))
+                            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
         out[name] = files.mapInPandas(parse, schema)
     return out
