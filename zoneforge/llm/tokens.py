@@ -8,7 +8,7 @@ import struct
 
 import numpy as np
 
-#: Words whose ids are kept from batch to batch, and their most characters.
+#: Words whose ids are kept until there are more, and their most characters.
 KEPT, LONGEST = 250_000, 64
 #: Letters that normalisation leaves alone but for case, and punctuation without the apostrophe.
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
@@ -44,80 +44,65 @@ class Encoder:
         self.simple = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)")
         self.letters = _byte_letters()
         self.newline = self._plain(["\n"])[0]
-        self.marks: dict[str, tuple[int, ...]] = {}
         self.pack = [struct.Struct(f"<{n}I").pack for n in range(4 * LONGEST)]
-        #: Ids of words at the head of a line, and after a space; None for what makes its text odd.
-        self.head: dict[str, bytes | None] = {}
-        self.after = self.head if self.folds else {}
+        #: Ids of pieces: words without their marks share one.
+        self.pieces: dict[str, bytes] = {}
+        self.head, self.after = _Words(self, ""), _Words(self, " ")
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes | None], new: list[str], before: str) -> None:
-        rest = []
-        tokenize, letters, fold, pack = self.model.tokenize, self.letters, self.folds, self.pack
-        for word in new:
-            tail: tuple[int, ...] = ()
-            head = word
-            if not (word.isascii() and word.isalpha()):
-                m = self.simple.fullmatch(word)
-                if m is None:
-                    if word.split() == [word]:
-                        rest.append(word)
-                    else:
-                        known[word] = None
-                    continue
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            plain = piece if piece.isascii() and piece[0] != " " else piece.encode().decode("latin-1").translate(self.letters)
+            found = [t.id for t in self.model.tokenize(plain)]
+            ids = self.pieces[piece] = self.pack[len(found)](*found)
+        return ids
+
+    def learn(self, word: str, before: str) -> bytes | None:
+        """Ids of a word at the head of a line or after a space; None for what makes its text odd."""
+        if len(word) <= LONGEST:
+            if word.isascii() and word.isalpha():
+                return self._piece(before + (word.lower() if self.folds else word))
+            m = self.simple.fullmatch(word)
+            if m is not None:
                 head, marks = m.groups()
-                if marks:
-                    tail = self.marks.get(marks)
-                    if tail is None:
-                        tail = tuple(t.id for t in tokenize(marks))
-                        if len(self.marks) < 10_000:
-                            self.marks[marks] = tail
-            if len(head) > LONGEST or len(tail) > LONGEST:
-                rest.append(word)
-                continue
-            piece = before + (head.lower() if fold else head)
-            if before or not head.isascii():
-                piece = piece.encode().decode("latin-1").translate(letters)
-            ids = [t.id for t in tokenize(piece)]
-            ids += tail
-            known[word] = pack[len(ids)](*ids)
-        known.update(zip(rest, self._plain([before + w for w in rest]), strict=True))
+                head = self._piece(before + (head.lower() if self.folds else head))
+                return head + self._piece(marks) if marks else head
+        return self._plain([before + word])[0] if word.split() == [word] else None
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [[line.split(" ") for line in t.split("\n")] if t else [] for t in texts]
-        heads, afters = set(), set()
-        for lines in split:
-            for words in lines:
-                heads.add(words[0])
-                afters.update(words[1:] if not self.folds else words)
-        head, after = self.head, self.after
-        if self.folds:
-            self._learn(head, list(afters - head.keys()), "")
-        else:
-            self._learn(head, list(heads - head.keys()), "")
-            self._learn(after, list(afters - after.keys()), " ")
-        out, newline = [], b"" if self.folds else self.newline
-        for text, lines in zip(texts, split, strict=True):
+        out, head, after, newline = [], self.head, self.after, self.newline
+        for text in texts:
             try:
-                if self.folds:
-                    out.append(b"".join([b"".join(map(head.__getitem__, words)) for words in lines]))
+                if not text:
+                    out.append(b"")
+                elif self.folds:
+                    out.append(b"".join(map(head.__getitem__, text.replace("\n", " ").split(" "))))
                 else:
+                    lines = [line.split(" ") for line in text.split("\n")]
                     out.append(newline.join([b"".join([head[words[0]], *map(after.__getitem__, words[1:])]) for words in lines]))
             except TypeError:
                 out.append(self._plain([text])[0])
-        if len(head) > KEPT:
-            self._keep(head, afters if self.folds else heads)
-        if len(after) > KEPT:
-            self._keep(after, afters)
+            for known in (head, after, self.pieces):
+                if len(known) > KEPT:
+                    known.clear()
         return out
 
-    @staticmethod
-    def _keep(known: dict[str, bytes | None], met: set[str]) -> None:
-        kept = {w: known[w] for w in met if len(w) <= LONGEST}
-        known.clear()
-        known.update(kept)
+
+class _Words(dict):
+    """Ids of words; one that is missing is learned."""
+
+    def __init__(self, owner: Encoder, before: str):
+        super().__init__()
+        self.owner, self.before = owner, before
+
+    def __missing__(self, word: str) -> bytes | None:
+        ids = self.owner.learn(word, self.before)
+        if len(word) <= LONGEST:
+            self[word] = ids
+        return ids
 
 
 _made: dict[str, Encoder] = {}
