@@ -17,7 +17,7 @@ from zoneforge.llm.tokens import encoder as encoder_of
 #: Tokens of a sequence, id after each document, tokenizer.
 CAPACITY, END, TOKENIZER = 2048, 0, "byte_bpe_50k.json"
 #: Nodes of the search; fillings of a node; steps of one enumeration; up to so many documents each bin is a branch of its own.
-NODES, FILLINGS, STEPS, SINGLY = 2000, 12, 600, 60
+NODES, FILLINGS, STEPS, SINGLY = 400, 8, 300, 60
 
 #: A filling: lengths, largest first, and how many bins are filled so.
 Pattern = tuple[tuple[int, ...], int]
