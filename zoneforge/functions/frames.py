@@ -84,24 +84,38 @@ def vector(x, y, z) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), z.cast("double").alias("z"))
 
 
+def let(values: dict[str, Column], body) -> Column:
+    """``body`` over a struct of ``values``, each computed once: nested vector algebra would else repeat its parts without end."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
+    return let({"a": a, "b": b}, lambda s: _dot(s["a"], s["b"]))
+
+
+def _dot(a: Column, b: Column) -> Column:
     return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
 
 
-def cross(a: Column, b: Column) -> Column:
+def _cross(a: Column, b: Column) -> Column:
     return vector(a["y"] * b["z"] - a["z"] * b["y"], a["z"] * b["x"] - a["x"] * b["z"], a["x"] * b["y"] - a["y"] * b["x"])
 
 
-def scale(a: Column, s) -> Column:
+def _scale(a: Column, s) -> Column:
     return vector(a["x"] * s, a["y"] * s, a["z"] * s)
 
 
+def scale(a: Column, s) -> Column:
+    s = s if isinstance(s, Column) else F.lit(float(s))
+    return let({"a": a, "s": s}, lambda v: _scale(v["a"], v["s"]))
+
+
 def add(a: Column, b: Column) -> Column:
-    return vector(a["x"] + b["x"], a["y"] + b["y"], a["z"] + b["z"])
+    return let({"a": a, "b": b}, lambda s: vector(*[s["a"][c] + s["b"][c] for c in "xyz"]))
 
 
 def unit(a: Column) -> Column:
-    return scale(a, 1 / F.sqrt(dot(a, a)))
+    return let({"a": a}, lambda s: _scale(s["a"], 1 / F.sqrt(_dot(s["a"], s["a"]))))
 
 
 def rotation(*entries) -> Column:
@@ -111,25 +125,49 @@ def rotation(*entries) -> Column:
 IDENTITY = (1, 0, 0, 0, 1, 0, 0, 0, 1)
 
 
-def turned(r: Column, v: Column) -> Column:
+def _turned(r: Column, v: Column) -> Column:
     row = lambda i: r[3 * i] * v["x"] + r[3 * i + 1] * v["y"] + r[3 * i + 2] * v["z"]
     return vector(row(0), row(1), row(2))
 
 
-def transpose(r: Column) -> Column:
+def turned(r: Column, v: Column) -> Column:
+    return let({"r": r, "v": v}, lambda s: _turned(s["r"], s["v"]))
+
+
+def _transpose(r: Column) -> Column:
     return F.array(*[r[3 * j + i] for i in range(3) for j in range(3)])
 
 
 def product_of(a: Column, b: Column) -> Column:
-    return F.array(*[a[3 * i] * b[j] + a[3 * i + 1] * b[3 + j] + a[3 * i + 2] * b[6 + j] for i in range(3) for j in range(3)])
+    entry = lambda s, i, j: s["a"][3 * i] * s["b"][j] + s["a"][3 * i + 1] * s["b"][3 + j] + s["a"][3 * i + 2] * s["b"][6 + j]
+    return let({"a": a, "b": b}, lambda s: F.array(*[entry(s, i, j) for i in range(3) for j in range(3)]))
 
 
 def axis_angle(axis: Column, angle: Column) -> Column:
     """Rotation by ``angle`` about a unit ``axis``."""
-    c, s = F.cos(angle), F.sin(angle)
-    x, y, z = axis["x"], axis["y"], axis["z"]
-    k = 1 - c
-    return rotation(c + x * x * k, x * y * k - z * s, x * z * k + y * s, y * x * k + z * s, c + y * y * k, y * z * k - x * s, z * x * k - y * s, z * y * k + x * s, c + z * z * k)
+
+    def matrix(v: Column) -> Column:
+        x, y, z, c, s = v["u"]["x"], v["u"]["y"], v["u"]["z"], v["c"], v["s"]
+        k = 1 - c
+        return rotation(c + x * x * k, x * y * k - z * s, x * z * k + y * s, y * x * k + z * s, c + y * y * k, y * z * k - x * s, z * x * k - y * s, z * y * k + x * s, c + z * z * k)
+
+    return let({"u": axis, "c": F.cos(angle), "s": F.sin(angle)}, matrix)
+
+
+def _usual(s: Column) -> Column:
+    x, y, z, c = s["v"]["x"], s["v"]["y"], s["v"]["z"], s["c"]
+    k = 1 / (1 + c)
+    return rotation(1 - (y * y + z * z) * k, x * y * k - z, x * z * k + y, x * y * k + z, 1 - (x * x + z * z) * k, y * z * k - x, x * z * k - y, y * z * k + x, 1 - (x * x + y * y) * k)
+
+
+def _half_turn(u: Column) -> Column:
+    x, y, z = u["x"], u["y"], u["z"]
+    return rotation(2 * x * x - 1, 2 * x * y, 2 * x * z, 2 * y * x, 2 * y * y - 1, 2 * y * z, 2 * z * x, 2 * z * y, 2 * z * z - 1)
+
+
+def _across(p: Column) -> Column:
+    ax, ay, az = F.abs(p["x"]), F.abs(p["y"]), F.abs(p["z"])
+    return F.when((ax <= ay) & (ax <= az), vector(F.lit(0.0), p["z"], -p["y"])).when(ay <= az, vector(-p["z"], F.lit(0.0), p["x"])).otherwise(vector(p["y"], -p["x"], F.lit(0.0)))
 
 
 def aligning(a: Column, b: Column) -> Column:
@@ -137,38 +175,31 @@ def aligning(a: Column, b: Column) -> Column:
 
     Opposite directions turn by half a circle about an axis across the least entry of ``a``.
     """
-    p, q = unit(a), unit(b)
-    v, c = cross(q, p), dot(q, p)
-    k = 1 / (1 + c)
-    x, y, z = v["x"], v["y"], v["z"]
-    usual = rotation(1 - (y * y + z * z) * k, x * y * k - z, x * z * k + y, x * y * k + z, 1 - (x * x + z * z) * k, y * z * k - x, x * z * k - y, y * z * k + x, 1 - (x * x + y * y) * k)
-    ax, ay, az = F.abs(p["x"]), F.abs(p["y"]), F.abs(p["z"])
-    across = F.when((ax <= ay) & (ax <= az), vector(F.lit(0.0), p["z"], -p["y"])).when(ay <= az, vector(-p["z"], F.lit(0.0), p["x"])).otherwise(vector(p["y"], -p["x"], F.lit(0.0)))
-    u = unit(across)
-    ux, uy, uz = u["x"], u["y"], u["z"]
-    flip = rotation(2 * ux * ux - 1, 2 * ux * uy, 2 * ux * uz, 2 * uy * ux, 2 * uy * uy - 1, 2 * uy * uz, 2 * uz * ux, 2 * uz * uy, 2 * uz * uz - 1)
-    zero = (dot(a, a) == 0) | (dot(b, b) == 0)
-    return F.when(zero, F.lit(None)).when(c > -1 + 1e-12, usual).otherwise(flip)
+
+    def between(s: Column) -> Column:
+        kept = let({"p": s["p"], "v": _cross(s["q"], s["p"]), "c": _dot(s["q"], s["p"])}, lambda t: F.when(t["c"] > -1 + 1e-12, _usual(t)).otherwise(let({"u": unit(_across(t["p"]))}, lambda w: _half_turn(w["u"]))))
+        return F.when(F.isnan(s["p"]["x"]) | F.isnan(s["q"]["x"]) | s["p"]["x"].isNull() | s["q"]["x"].isNull(), F.lit(None)).otherwise(kept)
+
+    safe = lambda v: let({"v": v}, lambda s: F.when(_dot(s["v"], s["v"]) > 0, unit(s["v"])))
+    return let({"p": safe(a), "q": safe(b)}, between)
 
 
 def frame(origin: Column, r: Column) -> Column:
     """The frame whose origin is ``origin`` and whose axes are ``r``'s columns: v goes to r^T (v - origin)."""
-    back = transpose(r)
-    return F.struct(back.alias("r"), scale(turned(back, origin), -1.0).alias("t"))
+    return let({"o": origin, "b": let({"r": r}, lambda s: _transpose(s["r"]))}, lambda s: F.struct(s["b"].alias("r"), scale(_turned(s["b"], s["o"]), -1.0).alias("t")))
 
 
 def applied(f: Column, v: Column) -> Column:
-    return add(turned(f["r"], v), f["t"])
+    return let({"f": f, "v": v}, lambda s: add(_turned(s["f"]["r"], s["v"]), s["f"]["t"]))
 
 
 def composed(second: Column, first: Column) -> Column:
     """``first``, then ``second``."""
-    return F.struct(product_of(second["r"], first["r"]).alias("r"), applied(second, first["t"]).alias("t"))
+    return let({"a": second, "b": first}, lambda s: F.struct(product_of(s["a"]["r"], s["b"]["r"]).alias("r"), applied(s["a"], s["b"]["t"]).alias("t")))
 
 
 def inverted(f: Column) -> Column:
-    back = transpose(f["r"])
-    return F.struct(back.alias("r"), scale(turned(back, f["t"]), -1.0).alias("t"))
+    return let({"t": f["t"], "b": let({"r": f["r"]}, lambda s: _transpose(s["r"]))}, lambda s: F.struct(s["b"].alias("r"), scale(_turned(s["b"], s["t"]), -1.0).alias("t")))
 
 
 def align_vectors(df: DataFrame, a: str, b: str, name: str = "rotation") -> DataFrame:

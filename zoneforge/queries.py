@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from zoneforge import catalog
-from zoneforge.catalog import stored  # noqa: F401
+from zoneforge.catalog import composite, related, samples, spatial, stored  # noqa: F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
