@@ -60,7 +60,7 @@ def _numbers(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _send(ids: np.ndarray, doc: np.ndarray, place: np.ndarray, key: np.ndarray, more: np.ndarray | None, flag: np.ndarray, buckets: int, width: int) -> Iterator[pa.RecordBatch]:
+def _send(ids: np.ndarray, doc: np.ndarray, place: np.ndarray, key: np.ndarray, more: np.ndarray | None, flag: np.ndarray, buckets: int, groups: int, width: int) -> Iterator[pa.RecordBatch]:
     """One packed row a bucket, and runs of places that the batch itself shows to repeat.
 
     A key that the batch holds often is sent once and flagged 2: each of its places is known as a repeat here already.
@@ -75,7 +75,7 @@ def _send(ids: np.ndarray, doc: np.ndarray, place: np.ndarray, key: np.ndarray,
     many = np.zeros(len(k), bool)
     many[order] = np.repeat(size > 1, size)
     own = np.flatnonzero(many)
-    rows = [(-1 - g, docs, b"", b"", b"", starts, lengths) for g, docs, starts, lengths in _by_group(ids[doc[own]], place[own].astype(np.int64), buckets)] if len(own) else []
+    rows = [(-1 - g, docs, b"", b"", b"", starts, lengths) for g, docs, starts, lengths in _by_group(ids[doc[own]], place[own].astype(np.int64), groups)] if len(own) else []
     at = order[first]
     flags = flags | np.where(size > 1, 2, 0).astype(np.uint8)
     bucket = (key[at] >> np.uint64(20)) % np.uint64(buckets)
@@ -190,7 +190,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     spark = configure(docs.sparkSession)
     rows, length = texts(docs), anchor(window)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * groups
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +200,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             whole = np.flatnonzero(left >= length)
             if len(whole):
                 keys = windows(hashes, length)[whole] >> np.uint64(16)
-                yield from _send(ids, doc[whole], place[whole], keys, None, (place[whole] % length == 0).astype(np.uint8), buckets, 6)
+                yield from _send(ids, doc[whole], place[whole], keys, None, (place[whole] % length == 0).astype(np.uint8), buckets, groups, 6)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,12 +214,12 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             whole = np.flatnonzero(wanted & (left >= window))
             if len(whole):
                 keys, more = windows(hashes, window)[whole], windows(hashes, window, SECOND_BASE)[whole]
-                yield from _send(ids, doc[whole], place[whole], keys, more, np.zeros(len(whole), np.uint8), buckets, 8)
+                yield from _send(ids, doc[whole], place[whole], keys, more, np.zeros(len(whole), np.uint8), buckets, groups, 8)
 
-    hits = rows.mapInArrow(probe, _ROWS).groupBy("bucket").applyInArrow(_answer(6, True, buckets), _PACKED)
+    hits = rows.mapInArrow(probe, _ROWS).groupBy("bucket").applyInArrow(_answer(6, True, groups), _PACKED)
     hits = materialize(hits.groupBy("grp").applyInArrow(_gather, _RUNS), "hits")
     near = hits.hint("merge").join(rows, "doc_id").select("doc_id", "text", "starts", "lengths")
-    found = near.mapInArrow(extend, _ROWS).groupBy("bucket").applyInArrow(_answer(8, False, buckets), _PACKED)
+    found = near.mapInArrow(extend, _ROWS).groupBy("bucket").applyInArrow(_answer(8, False, groups), _PACKED)
     return materialize(found.groupBy("grp").applyInArrow(_gather, _RUNS), "repeats")
 
 
