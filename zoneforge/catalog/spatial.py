@@ -112,10 +112,10 @@ def max_density(spark, sf):
     return density.max_density(density.smooth_density(voxels(spark, sf), RADIUS, VOXEL)).withColumn("max_rho", F.round("max_rho", 6))
 
 
-@query(ATOMS + GRID + KERNEL + SMOOTH + ", bad AS (SELECT assembly_id FROM smooth GROUP BY 1 HAVING max(rho) > 26) SELECT assembly_id, count(*) AS n FROM fx_atoms WHERE assembly_id NOT IN (SELECT * FROM bad) GROUP BY 1")
+@query(ATOMS + GRID + KERNEL + SMOOTH + ", bad AS (SELECT assembly_id FROM smooth GROUP BY 1 HAVING max(rho) > 33) SELECT assembly_id, count(*) AS n FROM fx_atoms WHERE assembly_id NOT IN (SELECT * FROM bad) GROUP BY 1")
 def gate_max_density(spark, sf):
     grid = density.smooth_density(voxels(spark, sf), RADIUS, VOXEL)
-    return filters.gate_max_density(fx.atoms(spark, sf), grid, 26.0).groupBy("assembly_id").agg(F.count(F.lit(1)).alias("n"))
+    return filters.gate_max_density(fx.atoms(spark, sf), grid, 33.0).groupBy("assembly_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 _U = ", ".join(f"c{c}/{VOXEL} - 0.5 AS u{c}" for c in "xyz")
