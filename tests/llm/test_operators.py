@@ -1,0 +1,355 @@
+"""Each operator against brute force on small tables: nulls, empty and long texts, ties, repeats, clashing columns."""
+
+import hashlib
+import itertools
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from zoneforge.llm import cotraining, decision_list, exact_dedup, mixing, packing, simhash, stats, substring_dedup, surrogates, token_file, toxicity
+from zoneforge.llm.tokens import Encoder
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words int, score string, grp int, keep_id long"
+RNG = np.random.default_rng(7)
+VOCABULARY = ["the", "of", "Alpha", "béta", "gamma", "delta", "ε", "zeta,", "eta.", "theta!"]
+
+
+def words(n):
+    return " ".join(RNG.choice(VOCABULARY, n))
+
+
+PASSAGE, BASE = words(50), words(60)
+TEXTS = [None, "", " ", "\n\t", "one", "one  two", "one two", "one\ttwo", PASSAGE, PASSAGE, f"x {PASSAGE} y", BASE, BASE + " tail", BASE.upper(), words(5000), words(40) + "\n" + words(40), "a b a b a b a b a b a b", "L\nL\nL\n \n", "nbsp x  y", "### $$ <b>|x|</b>"]
+TEXTS += [words(int(n)) for n in RNG.integers(1, 80, 30)]
+
+
+def frame(spark, texts=TEXTS):
+    rows = [(i, t, ["en", None][i % 5 == 0], None if i % 11 == 0 else f"s{i % 3}", len(t or ""), 1, "x", 2, 3) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, int(i % 3 > 0), int(i % 4 == 0)) for i in range(len(TEXTS)) if i % 2] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_empty_tables(spark):
+    none, lab = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for df in (
+        surrogates.anonymize(none), cotraining.score_documents(none, lab), toxicity.score_documents(none, lab), packing.pack_documents(none), decision_list.filter_documents(none, lab),
+        simhash.near_dedup(none), token_file.round_trip(none), mixing.mix_documents(none), substring_dedup.dedup(none), exact_dedup.dedup(none), mixing.mixed_texts(none),
+    ):
+        assert df.count() == 0
+
+
+def norm(t):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+
+
+@pytest.mark.parametrize("primes", [exact_dedup.PRIMES, (5,)], ids=["full", "colliding"])
+def test_exact_dedup(docs, primes):
+    got = by_id(exact_dedup.dedup(docs, primes, exact_dedup.BASES[: len(primes)]))
+    groups = defaultdict(list)
+    for i, t in enumerate(TEXTS):
+        groups[norm(t)].append(i)
+    for i, t in enumerate(TEXTS):
+        own = groups[norm(t)]
+        assert (got[i].keep_id, got[i].group_size, got[i].kept) == (min(own), len(own), i == min(own))
+        assert got[i].text_sha256 == hashlib.sha256(norm(t).encode()).hexdigest()
+
+
+def test_fingerprints_compose(spark):
+    body = "".join(RNG.choice(list("abc \n"), 200_000))
+    parts = [(1, k, body[a : a + 7001]) for k, a in enumerate(range(0, len(body), 7001))] + [(1, 999, None), (2, 0, "")]
+    whole = exact_dedup.Polynomial()
+    got = by_id(exact_dedup.combine_parts(spark.createDataFrame(parts, "doc_id long, part int, text string").repartition(4)))
+    assert bytes(got[1].fingerprint) == whole.pack(whole.whole(body.encode())) and got[1].n_bytes == len(body)
+    assert got[2].n_bytes == 0
+
+
+def brute_simhash(text):
+    ws = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not ws:
+        return 0
+    shingles = [" ".join(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_simhash(docs, block):
+    got = by_id(simhash.near_dedup(docs, block=block))
+    prints = [brute_simhash(t) for t in TEXTS]
+    parent = list(range(len(TEXTS)))
+    for _ in parent:
+        for i, j in itertools.combinations(range(len(TEXTS)), 2):
+            if bin(prints[i] ^ prints[j]).count("1") <= 2:
+                parent[i] = parent[j] = min(parent[i], parent[j])
+    for i, p in enumerate(prints):
+        assert got[i].fingerprint == f"{p:016x}"
+        assert got[i].component_id == parent[i]
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 5])
+def test_bit_sliced_distances(radius):
+    values = RNG.integers(0, 1 << 63, 130).astype(np.uint64)
+    values[50:] = values[:80] ^ (np.uint64(1) << RNG.integers(0, 63, 80).astype(np.uint64)) ^ (np.uint64(1) << RNG.integers(0, 63, 80).astype(np.uint64))
+    got = {(q, int(k)) for q, near in simhash.within(values, values, radius) for k in near}
+    assert got == {(i, j) for i in range(130) for j in range(130) if bin(int(values[i] ^ values[j])).count("1") <= radius}
+
+
+def test_simhash_links_join_all(spark):
+    base = int(RNG.integers(1 << 40))
+    chain = [base]
+    for k in range(40):
+        chain.append(chain[-1] ^ (3 << (k % 60)))
+    rows = spark.createDataFrame([(v,) for v in {*chain, *range(10**12, 10**12 + 40)}], "fp long")
+    for block in (2048, 8):
+        got = simhash.links(rows, block=block).collect()
+        ends = {v for r in got for v in (r.src, r.dst)}
+        assert set(chain) <= ends and all(bin((r.src ^ r.dst) & (1 << 64) - 1).count("1") <= 2 for r in got)
+
+
+@pytest.mark.parametrize("window", [4, 35])
+def test_substring_dedup(docs, window):
+    got = by_id(substring_dedup.dedup(docs, window))
+    where = Counter()
+    own = [WORD.findall(t or "") for t in TEXTS]
+    for ws in own:
+        where.update(tuple(ws[i : i + window]) for i in range(len(ws) - window + 1))
+    for i, ws in enumerate(own):
+        gone = {j for k in range(len(ws) - window + 1) if where[tuple(ws[k : k + window])] > 1 for j in range(k, k + window)}
+        kept = " ".join(w for j, w in enumerate(ws) if j not in gone)
+        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(ws), len(gone), hashlib.sha256(kept.encode()).hexdigest()), i
+        assert {j for s in got[i].removed for j in range(s.start, s.start + s.n)} == gone
+
+
+def test_statistics_and_base(docs, labels):
+    got = by_id(decision_list.filter_documents(docs, labels))
+    for i, t in enumerate(TEXTS):
+        ws = WORD.findall(t or "")
+        five = Counter(tuple(ws[k : k + 5]) for k in range(len(ws) - 4))
+        repeat = {j for k in range(len(ws) - 4) if five[tuple(ws[k : k + 5])] > 1 for j in range(k, k + 5)}
+        seen, dup = set(), 0
+        for line in (t or "").split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(ws), sum(map(len, ws)), dup, len(repeat))
+        assert r.n_symbols == len(re.findall(r"[#*$%&|<>]", t or ""))
+        assert r.base_failed == (len(ws) < 10 or 100 * len(repeat) > 20 * len(ws))
+        assert r.kept == (not r.base_failed and r.rule == 0)
+    assert set(stats.COUNTS) >= {"n_words", "word_chars"}
+
+
+def test_decision_list_learns(spark):
+    x = {f: RNG.random(600) for f in decision_list.FEATURES}
+    bad = ((x["symbol_share"] > 0.7) & (x["upper_share"] > 0.5)) | (x["word_length"] <= 0.1)
+    rules = decision_list.learn(x, bad, np.arange(600) % 3)
+    taken = np.zeros(600, bool)
+    for rule in rules:
+        taken |= decision_list._holds(x, rule)
+    assert (taken == bad).mean() > 0.95
+    rows = spark.createDataFrame([tuple(float(x[f][i]) for f in decision_list.FEATURES) for i in range(600)], list(decision_list.FEATURES))
+    got = rows.select(decision_list.expression(rules).alias("r")).collect()
+    assert [r.r > 0 for r in got] == taken.tolist()
+
+
+def test_packing_is_optimal_on_small_bins():
+    for _ in range(60):
+        sizes = RNG.integers(1, 11, RNG.integers(1, 8)).tolist()
+        counts = np.bincount(sizes, minlength=11)
+        patterns = packing.pack(counts, 10, 20000)
+        assert sum(np.bincount(p, minlength=11) * n for p, n in patterns).tolist() == counts.tolist()
+        assert all(sum(p) <= 10 for p, _ in patterns)
+        best = len(sizes)
+        for split in itertools.product(range(len(sizes)), repeat=len(sizes)):
+            used = defaultdict(int)
+            for s, b in zip(sizes, split, strict=True):
+                used[b] += s
+            if max(used.values()) <= 10:
+                best = min(best, len(used))
+            if len(sizes) > 5 and best <= -(-sum(sizes) // 10):
+                break
+        assert packing.bins(patterns) == best, sizes
+        assert packing.waste_bound(counts, 10) <= best
+
+
+def test_packing_large_histogram():
+    counts = np.zeros(2049, np.int64)
+    counts[20:2049] = RNG.integers(0, 400, 2029)
+    patterns = packing.pack(counts, 2048)
+    assert sum(np.bincount(p, minlength=2049) * n for p, n in patterns).tolist() == counts.tolist()
+    assert packing.bins(patterns) <= 1.01 * packing.waste_bound(counts, 2048)
+
+
+def test_pack_documents(docs):
+    rows = packing.pack_documents(docs).collect()
+    encoder = Encoder(packing.TOKENIZER).tokenizer
+    pieces = defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+    for i, t in enumerate(TEXTS):
+        ids = np.array([*encoder.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for k, r in enumerate(sorted(pieces[i], key=lambda r: r.piece)):
+            assert (r.piece, r.start) == (k, at) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            assert r.length == 2048 or k == 0
+            at += r.length
+        assert at == len(ids)
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_token_file(docs, spark):
+    got = by_id(token_file.round_trip(docs, segment=500))
+    encoder, start = Encoder(token_file.TOKENIZER).tokenizer, 0
+    for i, t in enumerate(TEXTS):
+        ids = np.array([*encoder.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+@pytest.mark.parametrize("levels", [(8, 8, 16), (16, 16), (8, 8, 8, 8)])
+def test_directly_addressable_codes(levels):
+    ids = np.concatenate([RNG.integers(0, 1 << int(b), 900) for b in (3, 8, 12, 16, 31)] + [np.array([0, 2**32 - 1])]).astype(np.uint32)
+    codes = token_file.Codes(token_file.encode(ids, levels))
+    assert len(codes) == len(ids) and codes.all().tolist() == ids.tolist()
+    assert all(codes[i] == int(ids[i]) for i in range(0, len(ids), 3))
+    assert len(token_file.Codes(token_file.encode(ids[:0], levels))) == 0
+    with pytest.raises(IndexError):
+        codes[len(ids)]
+
+
+def water(sizes, weights=(5.0, 2.0, 1.0)):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    w = {s: weights[k % 3] for k, s in enumerate(names)}
+    target, left, free = {}, float(sum(sizes.values())), set(names)
+    while free:
+        share = {s: left * w[s] / sum(w[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * sizes[s]}
+        if not over:
+            return target | share
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            left -= target[s]
+        free -= over
+    return target
+
+
+def test_mixing(docs):
+    got = by_id(mixing.mix_documents(docs))
+    size = [len(WORD.findall(t or "")) for t in TEXTS]
+    source = [None if i % 11 == 0 else f"s{i % 3}" for i in range(len(TEXTS))]
+    total = defaultdict(int)
+    for s, n in zip(source, size, strict=True):
+        total[s] += n
+    target, taken = water(total), defaultdict(int)
+    for i, n in enumerate(size):
+        assert (got[i].size, got[i].source_size) == (n, total[source[i]])
+        assert got[i].target == pytest.approx(target[source[i]]) and got[i].taken <= 3 * n
+        taken[source[i]] += got[i].taken
+    for s in total:
+        assert abs(taken[s] - target[s]) <= 2 * mixing.BLOCK
+    assert {i: r.taken for i, r in by_id(mixing.mix_documents(docs.repartition(7))).items()} == {i: r.taken for i, r in got.items()}
+    for i, r in by_id(mixing.mixed_texts(docs)).items():
+        assert len(WORD.findall(r.text)) == got[i].taken > 0 and r.n_chars == len(r.text)
+        if got[i].taken == size[i] and r.text != TEXTS[i]:
+            assert set(WORD.findall(r.text)) <= set(WORD.findall(TEXTS[i]))
+
+
+def test_permutation_and_targets(spark):
+    for n in (1, 2, 3, 64, 1000):
+        assert sorted(mixing.permute(np.arange(n), n, 99).tolist()) == list(range(n))
+    sizes = {"a": 1000, "b": 10, "c": 0, None: 40, "d": 3000}
+    rows = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(sizes.items())], "doc_id long, source string, size long")
+    assert {r.source: r.target for r in mixing.targets(rows).collect()} == pytest.approx(water(sizes))
+
+
+def test_surrogates(spark):
+    body = [
+        "Mail ann@site.example.com or ANN@site.example.com, call +1 (415) 555-7713 or +1 415 555 7713.", "Again ann@site.example.com; card 4111 1111 1111 1111 and 4111111111111111", "ip 10.1.2.3 not 999.1.2.3 ssn 123-45-6789",
+        'token = "04dbebab91ab85687d33eeaaf9c1" Herr Karl Meyer sah Frau Anna Meyer', None, "", "nothing here 2.0", "Госпожа Анна Петрова и Mr Meyer",
+    ] + [f"user{k}@mail.example.com" for k in range(300)]
+    got = by_id(surrogates.anonymize(frame(spark, body)))
+    assert len(got) == len(body) and got[4].text is None and got[5].text == "" and got[6].text == body[6]
+    mails = re.findall(r"\S+@[\w.]+\w", got[0].text)
+    assert mails[0] == mails[1].lower() and mails[0] in got[1].text and mails[0].endswith(".example.com") and "ann@" not in got[0].text
+    phones = re.findall(r"\+1[ \d()-]+\d", got[0].text)
+    assert re.sub(r"\D", "", phones[0]) == re.sub(r"\D", "", phones[1]) and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", phones[0])
+    cards = re.search(r"card (\d{4} \d{4} \d{4} \d{4}) and (\d{16})", got[1].text)
+    assert cards[1].replace(" ", "") == cards[2] != "4111111111111111" and surrogates.luhn(cards[2][:-1]) == int(cards[2][-1])
+    assert "999.1.2.3" in got[2].text and "10.1.2.3 " not in got[2].text and "123-45-6789" not in got[2].text
+    family = re.search(r"Herr (\w+) (\w+) sah Frau (\w+) (\w+)", got[3].text)
+    assert family[2] == family[4] and got[7].text.endswith("Mr " + family[2]) and re.search(r"Госпожа [А-Я][а-я]+ [А-Я][а-я]+ ", got[7].text)
+    later = [got[8 + k].text for k in range(300)]
+    assert len(set(later)) == 300 and not set(later) & set(body)
+
+
+def test_surrogates_of_few_values_stay_distinct(spark):
+    names = spark.createDataFrame([("given:latin:f", f"n{k}") for k in range(100)] + [("family:latin", "ba")], "kind string, value string")
+    got = surrogates.assign(names).collect()
+    assert len(got) == 101 and len({(r.kind, r.surrogate) for r in got}) == 101
+
+
+def auc(score, y):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(order))
+    rank[order] = np.arange(len(order))
+    n = y.sum()
+    return (rank[y == 1].sum() - n * (n - 1) / 2) / (n * (len(y) - n))
+
+
+def test_toxicity(spark, docs, labels):
+    got = by_id(toxicity.score_documents(docs, labels))
+    assert len(got) == len(TEXTS)
+    for i, r in got.items():
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+    filler = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    bodies = [" ".join([*RNG.choice(filler, 40), *(["vile"] if i % 5 == 0 else [])]) for i in range(1500)]
+    rows = frame(spark, bodies)
+    marks = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(1500) if i % 2 == 0], "doc_id long, quality int, toxic int")
+    found = [r for r in toxicity.score_documents(rows, marks).collect() if r.held_out]
+    assert auc(np.array([r.score for r in found]), np.array([int(r.doc_id % 5 == 0) for r in found])) > 0.97
+
+
+def test_nonnegative_risk_needs_both_kinds():
+    assert not toxicity.train([{"positive": True, "unlabelled": False, "features": [1]}], 0.1).weight.any()
+
+
+def test_cotraining(spark, sf, docs, labels):
+    got = by_id(cotraining.score_documents(docs, labels))
+    assert len(got) == len(TEXTS) and all(0 <= v <= 1 for r in got.values() for v in (r.text_score, r.meta_score, r.score))
+    none = cotraining.score_documents(docs, labels.where("quality = 1")).collect()
+    assert all(r.score == 0.5 and r.kept for r in none)
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = cotraining.score_documents(d, lab).join(lab, "doc_id").where("held_out").collect()
+    assert auc(np.array([r.score for r in found]), np.array([r.quality for r in found])) > 0.95
+
+
+def test_null_columns(spark):
+    rows = spark.createDataFrame([(1, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    lab = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
+    assert toxicity.score_documents(rows, lab).count() == cotraining.score_documents(rows, lab).count() == mixing.mix_documents(rows).count() == 1
