@@ -15,7 +15,7 @@ from zoneforge.llm.common import configure, texts
 #: Labelled rows that the rules are learned from; thresholds tried a statistic; conditions of a rule, rules of a list.
 SAMPLE, CUTS, CONDITIONS, RULES = 8000, 24, 3, 12
 #: Least share of bad rows among those that a rule takes, and least rows it takes, while pruning.
-PRECISION, SUPPORT = 0.9, 5
+PRECISION, SUPPORT = 0.97, 5
 
 #: A condition: statistic, whether above (else at or below), threshold. A rule: conditions that all hold.
 Condition = tuple[str, bool, float]
@@ -83,6 +83,15 @@ def _prune(x: dict[str, np.ndarray], bad: np.ndarray, rule: Rule) -> Rule:
     return best
 
 
+def _centred(x: dict[str, np.ndarray], rule: Rule) -> Rule:
+    """Each threshold half way between the sample's values on either side of it."""
+    out = []
+    for name, above, cut in rule:
+        low, high = x[name][x[name] <= cut], x[name][x[name] > cut]
+        out.append((name, above, float((low.max() + high.min()) / 2) if len(low) and len(high) else cut))
+    return tuple(out)
+
+
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray) -> list[Rule]:
     """Sequential covering: grow a rule for bad rows on two thirds of what is left, prune it on
     the other third, keep it if it is precise, take away what it covers, go on."""
@@ -97,6 +106,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray) -> list[R
             break
         if check.any():
             rule = _prune({f: v[check] for f, v in x.items()}, bad[check], rule)
+        rule = _centred(x, rule)
         taken = left & _holds(x, rule)
         if (taken & bad).sum() < SUPPORT or (taken & bad).sum() < PRECISION * taken.sum():
             break
