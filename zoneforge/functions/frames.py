@@ -26,6 +26,7 @@ def directions(name: str) -> list[tuple[float, float, float]]:
 
     The order of the basic sets is fixed, because ids of stored neighbours refer to it.
     """
+    # fixed values: the order decides the ids of neighbours
     s, g = 1 / math.sqrt(2), PHI
     if name == "tetrahedron":
         return _scaled([(1, 0, -s), (-1, 0, -s), (0, 1, s), (0, -1, s)])
