@@ -18,7 +18,7 @@ KEY = b"zoneforge"
 
 #: Kinds and patterns, in order of precedence.
 PATTERNS = (
-    ("email", r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("email", r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("secret", r"(?i:(?:token|secret|api_?key|password|passwd)\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9_\-./+]{12,})|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9]{20,}"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ip", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"),
@@ -27,8 +27,14 @@ PATTERNS = (
     ("phone", r"(?<![\w])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,11}(?!\w)|(?<![\w])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
     ("person", r"\b(?P<title>Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? (?P<name>[^\W\d_a-zа-я]\w+(?:[ -][^\W\d_a-zа-я]\w+){0,2})"),
 )
-_ANY = re.compile("|".join(f"(?P<k_{kind}>{body})" for kind, body in PATTERNS))
-_CUE = re.compile(r"\d|@|token|secret|key|passw|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Sr|Господин|Госпожа", re.IGNORECASE)
+_COMPILED = {kind: re.compile(body) for kind, body in PATTERNS}
+_DIGIT = re.compile("[0-9]")
+#: What a text must hold for a kind to be looked for at all, where that isn't a digit.
+_CUES = {
+    "email": ("@",),
+    "secret": ("oken", "OKEN", "ecret", "ECRET", "key", "Key", "KEY", "assw", "ASSW", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-"),
+    "person": ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Господин", "Госпожа"),
+}
 
 #: Titles by gender; fixed values.
 FEMALE = frozenset("Mrs Ms Miss Frau Madame Mme Señora Sra Госпожа".split())
@@ -132,13 +138,22 @@ def _name_parts(title: str, name: str) -> list[tuple[str, str]]:
 
 
 def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, kind, mention) of each entity, left to right; a person's name gives one for each part."""
-    if not _CUE.search(text):
-        return
-    for m in _ANY.finditer(text):
-        kind = next(k for k, _ in PATTERNS if m[f"k_{k}"] is not None)
-        if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+    """(start, end, kind, mention) of each entity, left to right; a person's name gives one for each part.
+
+    Each kind's pattern runs only over texts that hold its cue; of matches that
+    overlap the first stands, of those that begin together the kind listed first.
+    """
+    digits = _DIGIT.search(text) is not None
+    found = []
+    for order, (kind, pattern) in enumerate(_COMPILED.items()):
+        cues = _CUES.get(kind)
+        if digits if cues is None else any(c in text for c in cues):
+            found += [(m.start(), order, kind, m) for m in pattern.finditer(text)]
+    last = 0
+    for start, _, kind, m in sorted(found, key=lambda x: x[:2]):
+        if start < last or kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
             continue
+        last = m.end()
         if kind == "person":
             at = m.start("name")
             for part_kind, part in _name_parts(m["title"], m["name"]):
