@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -314,6 +315,22 @@ def test_surrogates_of_few_values_stay_distinct(spark):
     assert len(got) == 101 and len({(r.kind, r.surrogate) for r in got}) == 101
 
 
+def test_surrogates_settle_in_the_own_script(spark):
+    s = surrogates.surrogate
+    for local, script in [("αβγ", "GREEK"), ("سلام", "ARABIC"), ("用户", "CJK"), ("ёж", "CYRILLIC")]:
+        got, at, domain = s("email", local + "@example.com", 0).partition("@")
+        assert got != local and len(got) == len(local) and domain == "example.com" and all(unicodedata.name(c).startswith(script) for c in got)
+    assert re.fullmatch("[a-z]{12}", s("secret", "_" * 12, 0)) and s("phone", "٩٦٦٥٠١٢٣٤٥٦٧", 0) != "٩٦٦٥٠١٢٣٤٥٦٧"
+    assert re.fullmatch("[٠-٩]{12}", s("phone", "٩٦٦٥٠١٢٣٤٥٦٧", 0)) and s("email", "_@-.com", 0) != "_@-.com"
+    assert [k for _, _, k, _ in surrogates.mentions("Mr Παπάς Δήμου")] == ["given:other:m", "family:other"]
+    body = ["Password: ____________", "token = ------------", "Password: ___________a", "αβγ@example.com and δεζ@example.com", "Call +٩٦٦ ٥٠ ١٢٣ ٤٥٦٧ or 1.", "Mr Παπάς"]
+    body += [f"{chr(97 + k)}@example.com" for k in range(26)] + [f"token = ___________{chr(97 + k)}" for k in range(26)]
+    got = by_id(surrogates.anonymize(frame(spark, body)))
+    out = [got[i].text for i in range(len(body))]
+    assert len(set(out)) == len(body) and not set(out) & set(body)
+    assert len(set(re.findall(r"\S+@\S+", " ".join(out[6:32])))) == 26 and re.fullmatch(r"Call \+[٠-٩]{3} [٠-٩]{2} [٠-٩]{3} [٠-٩]{4} or 1\.", out[4])
+
+
 def auc(score, y):
     order = np.argsort(score, kind="stable")
     rank = np.empty(len(order))

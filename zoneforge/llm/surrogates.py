@@ -5,7 +5,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
@@ -63,6 +66,25 @@ class Stream:
         return out % n
 
 
+#: Draws of a value before its surrogates grow.
+PATIENCE = 3
+
+
+def _script(c: str) -> tuple[str, str]:
+    """Script, by the name's first word, and class of a letter."""
+    return unicodedata.name(c, "").split(" ")[0].split("-")[0], unicodedata.category(c)
+
+
+@cache
+def _alphabets() -> dict[tuple[str, str], list[str]]:
+    """Letters by script and class; of small ones those that survive capitals and back."""
+    out = defaultdict(list)
+    for c in map(chr, range(0x80, 0x20000)):
+        if c.isalpha() and (not c.islower() or len(c.upper()) == 1 and c.casefold() == c == c.upper().casefold()):
+            out[_script(c)].append(c)
+    return out
+
+
 def _shift(text: str, s: Stream) -> str:
     """Each digit and letter becomes another of its class and script; the rest stays."""
     out = []
@@ -71,16 +93,31 @@ def _shift(text: str, s: Stream) -> str:
             out.append(str(s.below(10)))
         elif c.isascii() and c.isalpha():
             out.append(chr((0x41 if c.isupper() else 0x61) + s.below(26)))
-        elif "а" <= c.lower() <= "я":
+        elif c.isdecimal():
+            out.append(chr(ord(c) - unicodedata.decimal(c) + s.below(10)))
+        elif "а" <= c.lower() <= "я" or c in "ёЁ":
             d = chr(0x430 + s.below(32))
             out.append(d.upper() if c.isupper() else d)
         elif c.isalpha():
-            out.append("e" if c.islower() else "E")
+            script = _script(c)
+            letters = _alphabets().get(script) if script[0] != "LATIN" else None
+            if letters:
+                out.append(letters[s.below(len(letters))])
+            else:
+                out.append(chr((0x41 if c.isupper() else 0x61) + s.below(26)))
         else:
             out.append(c)
     return "".join(out)
 
 
+def _drawn(text: str, s: Stream, attempt: int) -> str:
+    """A shifted text; letters if it has nothing to shift. After some attempts it grows by one like its last at each."""
+    if not any(c.isalpha() or c.isdecimal() for c in text):
+        text = "a" * len(text)
+    last = next(c for c in reversed(text) if c.isalpha() or c.isdecimal()) if text else ""
+    return _shift(text + last * max(0, attempt - PATIENCE + 1), s)
+
+
 def luhn(digits: str) -> int:
     total = sum(x if i % 2 else (2 * x if x < 5 else 2 * x - 9) for i, x in enumerate(map(int, reversed(digits))))
     return -total % 10
@@ -96,21 +133,29 @@ def canonical(kind: str, text: str) -> str:
 
 
 def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
-    """The canonical surrogate of a canonical value: same kind, length of digits, script and gender."""
+    """The canonical surrogate of a canonical value: same kind, length of digits, script and gender.
+
+    From the attempt ``PATIENCE`` on surrogates are longer with each attempt, or a secret is all
+    letters, so that each value settles; but an IP address, which has 254^4 draws.
+    """
     s = Stream(key, kind, value, attempt)
     if kind == "email":
         local, _, domain = value.partition("@")
         labels = domain.split(".")
-        return _shift(local, s) + "@" + ".".join([*(_shift(x, s) for x in labels[:-2]), labels[-2] if labels[-2] == "example" else _shift(labels[-2], s), labels[-1]])
+        return _drawn(local, s, attempt) + "@" + ".".join([*(_shift(x, s) for x in labels[:-2]), labels[-2] if labels[-2] == "example" else _shift(labels[-2], s), labels[-1]])
     if kind == "ip":
-        return ".".join(str(s.below(254) + 1) for _ in range(4))
+        zero = ord(value[0]) - int(value[0])
+        return ".".join("".join(chr(zero + int(x)) for x in str(s.below(254) + 1)) for _ in range(4))
     if kind == "card":
-        head = _shift(value[:-1], s)
-        return head + (str(luhn(head)) if luhn(value[:-1]) == int(value[-1]) else str(s.below(10)))
+        head = _drawn(value[:-1], s, attempt)
+        last = luhn(head) if luhn(value[:-1]) == int(value[-1]) else s.below(10)
+        return head + chr(ord(value[-1]) - int(value[-1]) + last)
     if kind == "phone":
-        return (value[:1] + _shift(value[1:], s)) if len(value) > 10 else _shift(value, s)
+        return (value[:1] + _drawn(value[1:], s, attempt)) if len(value) > 10 else _drawn(value, s, attempt)
     if kind == "iban":
-        return value[:2] + _shift(value[2:], s)
+        return value[:2] + _drawn(value[2:], s, attempt)
+    if kind.startswith(("given:other", "family:other")):
+        return _drawn(value, s, attempt)
     if kind.startswith("given"):
         _, script, gender = kind.split(":")
         names = GIVEN[script, gender]
@@ -120,18 +165,20 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
         return "".join(syllables[s.below(len(syllables))] for _ in range(3 + attempt))
     if kind == "secret" and re.fullmatch("[0-9a-f]+", value):
         return "".join("0123456789abcdef"[s.below(16)] for _ in value)
-    return _shift(value, s)
+    if kind == "secret":
+        return _drawn(value, s, 0) if attempt < PATIENCE else _shift("a" * len(value), s)
+    return _drawn(value, s, attempt)
 
 
 def _like(pattern: str, digits: str) -> str:
-    """The digits (or letters) in the spacing of a mention."""
+    """The digits (or letters) in the spacing of a mention; those that it has no room for follow."""
     rest = iter(digits)
-    return "".join(next(rest, "") if c.isalnum() else c for c in pattern)
+    return "".join(next(rest, "") if c.isalnum() else c for c in pattern) + "".join(rest)
 
 
 def _name_parts(title: str, name: str) -> list[tuple[str, str]]:
     parts = name.split(" ")
-    script = "cyrillic" if re.search("[а-яА-ЯёЁ]", name) else "latin"
+    script = "cyrillic" if re.search("[а-яА-ЯёЁ]", name) else "latin" if any(c.isalpha() and _script(c)[0] == "LATIN" for c in name) else "other"
     gender = "f" if title in FEMALE else "m"
     kinds = [f"given:{script}:{gender}"] * (len(parts) - 1) + [f"family:{script}"]
     return list(zip(kinds, parts, strict=True))
