@@ -1,8 +1,10 @@
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from zoneforge.llm.tokens import Encoder
 from zoneforge.llm.words import bounds, raw, windows, word_hashes
@@ -21,6 +23,14 @@ def test_encoder_is_the_tokenizer(name):
         assert np.frombuffer(got, "<u4").tolist() == want, repr(text)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_are_those_of_a_fresh_tokenizer(name):
+    texts = ["foo <|endoftext|> bar", "<|startoftext|>a b\nc<|endoftext|>", "x<|endoftext|><|endoftext|> y", "<|ENDOFTEXT|> z", "<|endoftext |> z", "plain words", *filter(None, TEXTS)]
+    fresh = Tokenizer.from_file(public_tokenizers.path(name))
+    for got, text in zip(Encoder(name).encode(texts), texts, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="aé \n\t.x日", max_size=30), max_size=6))
 def test_words_of_a_batch(texts):

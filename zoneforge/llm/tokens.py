@@ -28,7 +28,7 @@ class Encoder:
     text is cut there, and words seen before keep their ids. A new word of letters, or letters and then
     marks, goes to the tokenizer's model as the one or two pieces that its pre-tokenizer would make;
     any other is encoded in the usual way, and so is the whole of a text with
-    other white space or runs of it. Strings of special tokens in a text are ordinary text.
+    other white space or runs of it, or with the string of an added token.
     """
 
     def __init__(self, name: str):
@@ -37,7 +37,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         #: Whether the tokenizer folds case and drops white space before it cuts words.
         self.folds = self.tokenizer.normalizer is not None
@@ -78,6 +78,8 @@ class Encoder:
             try:
                 if not text:
                     out.append(b"")
+                elif any(token in text for token in self.added):
+                    out.append(self._plain([text])[0])
                 elif self.folds:
                     out.append(b"".join(map(head.__getitem__, text.replace("\n", " ").split(" "))))
                 else:
