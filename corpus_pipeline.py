@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from zoneforge.functions.storage import materialize
-from zoneforge.llm import exact_dedup, mixing, packing, simhash, toxicity
+from zoneforge.llm import exact_dedup, mixing, near_copies, packing, simhash, toxicity
 from zoneforge.llm.common import read
 
 
@@ -22,9 +22,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the least doc_id stays."""
+    """Of each component of linked fingerprints the least doc_id stays, and of those that stay,
+    the least of each component of texts whose five-word shingles are similar by 0.8 or more."""
     gone = simhash.near_dedup(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    docs = materialize(docs.join(gone, "doc_id", "left_anti").select(docs.columns), "linked_once")
+    return docs.join(near_copies.near_copies(docs), "doc_id", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from zoneforge.llm import cotraining, decision_list, exact_dedup, mixing, packing, simhash, stats, substring_dedup, surrogates, token_file, toxicity
+import corpus_pipeline
+from zoneforge.llm import cotraining, decision_list, exact_dedup, mixing, near_copies, packing, simhash, stats, substring_dedup, surrogates, token_file, toxicity
 from zoneforge.llm.tokens import Encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,6 +106,32 @@ def test_simhash(docs, block):
         assert got[i].component_id == parent[i]
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_copies(spark, block):
+    rng = np.random.default_rng(3)
+    body = []
+    for _ in range(12):
+        base = [f"w{k}" for k in rng.integers(0, 5000, 200)]
+        body.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 6, 12):
+            own = list(base)
+            for k in rng.integers(0, 200, edits):
+                own[k] = f"x{rng.integers(0, 10**9)}"
+            body.append(" ".join(own))
+    body += [None, "", " ", "one two", "One two", "one three"]
+    sets = [{tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if (ws := WORD.findall((t or "").lower())) else set() for t in body]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(body)), 2) if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    parent = list(range(len(body)))
+    for _ in range(5):
+        for i, j in pairs:
+            parent[i] = parent[j] = min(parent[i], parent[j])
+    want = {i for i, p in enumerate(parent) if p != i}
+    got = near_copies.near_copies(frame(spark, body), block=block).collect()
+    assert sorted(r.doc_id for r in got) == sorted(want) and len(want) > 40
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame(spark, body), "").collect()}
+    assert not kept & want
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3, 5])
 def test_bit_sliced_distances(radius):
     values = RNG.integers(0, 1 << 63, 130).astype(np.uint64)
