@@ -218,6 +218,19 @@ def test_packing_is_optimal_on_small_bins():
         assert packing.waste_bound(counts, 10) <= best
 
 
+def test_fillings_are_whole():
+    counts = np.zeros(101, np.int64)
+    counts[20:60] = 1
+    got = [f for f in packing.fillings(counts, 100) if f is not None]
+
+    def dominated(own):
+        slack, out = 100 - sum(own), [s for s in range(20, 60) if s not in own]
+        return any(s <= slack or any(a < s <= a + slack for a in own) or any(a + b <= s <= a + b + slack for a, b in itertools.combinations(own, 2)) for s in out)
+
+    want = {tuple(sorted(c, reverse=True)) for k in range(1, 6) for c in itertools.combinations(range(20, 60), k) if sum(c) <= 100 and not dominated(c)}
+    assert set(got) == want and len(want) > 12
+
+
 def test_packing_large_histogram():
     counts = np.zeros(2049, np.int64)
     counts[20:2049] = RNG.integers(0, 400, 2029)

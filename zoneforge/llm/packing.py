@@ -16,8 +16,8 @@ from zoneforge.llm.tokens import encoder as encoder_of
 
 #: Tokens of a sequence, id after each document, tokenizer.
 CAPACITY, END, TOKENIZER = 2048, 0, "byte_bpe_50k.json"
-#: Nodes of the search; fillings of a node; steps of one enumeration; up to so many documents each bin is a branch of its own.
-NODES, FILLINGS, STEPS, SINGLY = 400, 8, 300, 60
+#: Nodes of the search; steps of an enumeration that count as a node; up to so many documents each bin is a branch of its own.
+NODES, STEPS, SINGLY = 2000, 600, 60
 
 #: A filling: lengths, largest first, and how many bins are filled so.
 Pattern = tuple[tuple[int, ...], int]
@@ -92,18 +92,17 @@ def waste_bound(counts: np.ndarray, capacity: int) -> int:
     return -(-(total + waste) // capacity)
 
 
-def fillings(counts: np.ndarray, room: int, limit: int = FILLINGS, steps: int = STEPS) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first.
+def fillings(counts: np.ndarray, room: int, steps: int = STEPS) -> Iterator[tuple[int, ...] | None]:
+    """All undominated fillings of ``room``: those of the first ``steps`` steps by least waste, then the others as they are found.
 
     One is dominated if a document left out could take the place of one or two
-    of its documents without leaving the room, or would still fit.
+    of its documents without leaving the room, or would still fit. None stands for ``steps`` more steps.
     """
     sizes = np.flatnonzero(counts[: room + 1])[::-1].tolist()
     if not sizes:
-        return [()]
+        yield ()
+        return
     present = np.asarray(sizes)[::-1]
-    found: list[tuple[int, tuple[int, ...]]] = []
-    budget = steps
 
     def largest(most: int, taken: tuple[int, ...]) -> int:
         at = int(np.searchsorted(present, most, side="right")) - 1
@@ -122,27 +121,33 @@ def fillings(counts: np.ndarray, room: int, limit: int = FILLINGS, steps: int =
                     return True
         return False
 
-    def walk(left: int, most: int, taken: tuple[int, ...]) -> None:
-        nonlocal budget
-        budget -= 1
-        at = int(np.searchsorted(present, min(left, most), side="right")) - 1
-        moved = False
-        while at >= 0 and budget > 0:
+    def walk() -> Iterator[tuple[int, tuple[int, ...]] | None]:
+        done, stack = 0, [[room, len(present) - 1, (), False]]
+        while stack:
+            left, at, taken, moved = top = stack[-1]
+            while at >= 0 and counts[present[at]] <= taken.count(int(present[at])):
+                at -= 1
+            if at < 0:
+                stack.pop()
+                if not moved and not dominated(taken, left):
+                    yield left, taken
+                continue
             size = int(present[at])
-            if counts[size] > taken.count(size):
-                moved = True
-                walk(left - size, size, (*taken, size))
-            at -= 1
-        if not moved and not dominated(taken, left):
-            found.append((left, taken))
-
-    walk(room, room, ())
+            top[1], top[3] = at - 1, True
+            stack.append([left - size, int(np.searchsorted(present, min(left - size, size), side="right")) - 1, (*taken, size), False])
+            done += 1
+            if done % steps == 0:
+                yield None
+
+    more = walk()
+    found = list(iter(lambda: next(more, None), None))
     if not found:
         taken, left = (), room
         while size := largest(left, taken):
             taken, left = (*taken, size), left - size
         found.append((left, taken))
-    return [t for _, t in sorted(found, key=lambda x: (x[0], len(x[1]), x[1]))[:limit]]
+    yield from (t for _, t in sorted(found, key=lambda x: (x[0], len(x[1]), x[1])))
+    yield from (x and x[1] for x in more)
 
 
 def pack(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Pattern]:
@@ -152,17 +157,38 @@ def pack(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Pattern]
     its undominated fillings; a branch ends when the waste bound says it can't beat
     the incumbent. The best fit of what is left makes an incumbent at each node, the
     first being best fit alone. On a large histogram a filling is used as often as the counts
-    allow at once. The search stops at the bound or after ``nodes`` nodes.
+    allow at once. The search stops at the bound or after ``nodes`` nodes; fillings are
+    made as it comes to them, and ``STEPS`` steps of making them count as a node.
     The histogram has ``capacity`` entries, however many documents there are.
     """
     counts = counts.astype(np.int64)
     best = best_fit(counts, capacity)
     floor = waste_bound(counts, capacity)
     singly = int(counts.sum()) <= SINGLY
-    stack: list[tuple[np.ndarray, list[Pattern], int]] = [(counts, [], 0)]
+
+    def branches(left: np.ndarray, done: list[Pattern], n: int, size: int) -> Iterator[tuple[np.ndarray, list[Pattern], int] | None]:
+        rest = left.copy()
+        rest[size] -= 1
+        for filling in fillings(rest, capacity - size):
+            if filling is None:
+                yield None
+                continue
+            pattern = (size, *filling)
+            need = np.bincount(pattern, minlength=len(left))
+            times = 1 if singly else int((left[need > 0] // need[need > 0]).min())
+            yield left - need * times, [*done, (pattern, times)], n + times
+
+    over = object()
+    stack = [iter([(counts, [], 0)])]
     while stack and nodes > 0 and bins(best) > floor:
-        left, done, n = stack.pop()
+        node = next(stack[-1], over)
+        if node is over:
+            stack.pop()
+            continue
         nodes -= 1
+        if node is None:
+            continue
+        left, done, n = node
         here = np.flatnonzero(left)
         if not len(here):
             if n < bins(best):
@@ -174,16 +200,7 @@ def pack(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Pattern]
             rest = best_fit(left, capacity)
             if n + bins(rest) < bins(best):
                 best = done + rest
-        size = int(here[-1])
-        rest = left.copy()
-        rest[size] -= 1
-        branches = []
-        for filling in fillings(rest, capacity - size):
-            pattern = (size, *filling)
-            need = np.bincount(pattern, minlength=len(left))
-            times = 1 if singly else int((left[need > 0] // need[need > 0]).min())
-            branches.append((left - need * times, [*done, (pattern, times)], n + times))
-        stack.extend(reversed(branches))
+        stack.append(branches(left, done, n, int(here[-1])))
     return best
 
 
