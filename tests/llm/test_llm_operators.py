@@ -8,12 +8,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from zoneforge.llm import cotraining, decision_list, exact_dedup, mixing, near_copies, packing, simhash, stats, substring_dedup, surrogates, token_file, toxicity
-from zoneforge.llm.tokens import Encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words int, score string, grp int, keep_id long"
@@ -26,7 +27,7 @@ def words(n):
 
 
 PASSAGE, BASE = words(50), words(60)
-TEXTS = [None, "", " ", "\n\t", "one", "one  two", "one two", "one\ttwo", PASSAGE, PASSAGE, f"x {PASSAGE} y", BASE, BASE + " tail", BASE.upper(), words(5000), words(40) + "\n" + words(40), "a b a b a b a b a b a b", "L\nL\nL\n \n", "nbsp x  y", "### $$ <b>|x|</b>"]
+TEXTS = [None, "", " ", "\n\t", "one", "one  two", "one two", "one\ttwo", PASSAGE, PASSAGE, f"x {PASSAGE} y", BASE, BASE + " tail", BASE.upper(), words(5000), words(40) + "\n" + words(40), "a b a b a b a b a b a b", "L\nL\nL\n \n", "nbsp x  y", "### $$ <b>|x|</b>", "foo <|endoftext|> bar", "a<|endoftext|>\nb <|startoftext|>", "<|endoftext|>"]
 TEXTS += [words(int(n)) for n in RNG.integers(1, 80, 30)]
 
 
@@ -231,6 +232,14 @@ def test_fillings_are_whole():
     assert set(got) == want and len(want) > 12
 
 
+def test_search_beats_best_fit_on_many_pieces():
+    counts = np.zeros(101, np.int64)
+    counts[[51, 27, 26, 23, 24, 25]] = [40, 40, 40, 40, 20, 20]
+    found, floor = packing.pack(counts, 100), packing.waste_bound(counts, 100)
+    assert sum(np.bincount(p, minlength=101) * n for p, n in found).tolist() == counts.tolist() and all(sum(p) <= 100 for p, _ in found)
+    assert floor <= packing.bins(found) < packing.bins(packing.best_fit(counts, 100))
+
+
 def test_packing_large_histogram():
     counts = np.zeros(2049, np.int64)
     counts[20:2049] = RNG.integers(0, 400, 2029)
@@ -241,7 +250,7 @@ def test_packing_large_histogram():
 
 def test_pack_documents(docs):
     rows = packing.pack_documents(docs).collect()
-    encoder = Encoder(packing.TOKENIZER).tokenizer
+    encoder = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
     pieces = defaultdict(list)
     for r in rows:
         pieces[r.doc_id].append(r)
@@ -266,7 +275,7 @@ def test_pack_documents(docs):
 
 def test_token_file(docs, spark):
     got = by_id(token_file.round_trip(docs, segment=500))
-    encoder, start = Encoder(token_file.TOKENIZER).tokenizer, 0
+    encoder, start = Tokenizer.from_file(public_tokenizers.path(token_file.TOKENIZER)), 0
     for i, t in enumerate(TEXTS):
         ids = np.array([*encoder.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
