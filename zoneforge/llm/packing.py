@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +18,8 @@ from zoneforge.llm.tokens import encoder as encoder_of
 
 #: Tokens of a sequence, id after each document, tokenizer.
 CAPACITY, END, TOKENIZER = 2048, 0, "byte_bpe_50k.json"
-#: Nodes of the search; steps of an enumeration that count as a node; up to so many documents each bin is a branch of its own.
-NODES, STEPS, SINGLY = 2000, 600, 60
+#: Nodes of the search; steps of an enumeration that count as a node.
+NODES, STEPS = 2000, 600
 
 #: A filling: lengths, largest first, and how many bins are filled so.
 Pattern = tuple[tuple[int, ...], int]
@@ -26,41 +28,46 @@ Pattern = tuple[tuple[int, ...], int]
 def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
     """Best fit of a histogram of lengths, largest first, for all documents of one length at once."""
     open_bins: dict[int, list[list]] = {}
+    rooms: list[int] = []
     full: list[Pattern] = []
+    lengths = np.flatnonzero(counts).tolist()
+    least = lengths[0] if lengths else 0
 
-    def put(room: int, filling: tuple[int, ...], n: int, least: int) -> None:
+    def put(room: int, filling: tuple[int, ...], n: int) -> None:
         if room < least:
             full.append((filling, n))
+        elif room in open_bins:
+            open_bins[room].append([filling, n])
         else:
-            open_bins.setdefault(room, []).append([filling, n])
+            open_bins[room] = [[filling, n]]
+            insort(rooms, room)
 
-    lengths = np.flatnonzero(counts)
-    for size in reversed(lengths.tolist()):
-        left, least = int(counts[size]), int(lengths[0])
-        for room in sorted(r for r in open_bins if r >= size):
+    for size in reversed(lengths):
+        left = int(counts[size])
+        while left and (at := bisect_left(rooms, size)) < len(rooms):
+            room = rooms.pop(at)
             groups = open_bins.pop(room)
             while groups and left:
                 filling, n = groups.pop()
                 k = room // size
                 whole = min(n, left // k)
                 if whole:
-                    put(room - k * size, filling + (size,) * k, whole, least)
+                    put(room - k * size, filling + (size,) * k, whole)
                     left, n = left - whole * k, n - whole
                 if n and left:
-                    put(room - left * size, filling + (size,) * left, 1, least)
+                    put(room - left * size, filling + (size,) * left, 1)
                     left, n = 0, n - 1
                 if n:
                     groups.append([filling, n])
             if groups:
-                open_bins.setdefault(room, []).extend(groups)
-            if not left:
-                break
+                open_bins[room] = groups
+                insort(rooms, room)
         if left:
             k = capacity // size
             if left // k:
-                put(capacity - k * size, (size,) * k, left // k, least)
+                put(capacity - k * size, (size,) * k, left // k)
             if left % k:
-                put(capacity - left % k * size, (size,) * (left % k), 1, least)
+                put(capacity - left % k * size, (size,) * (left % k), 1)
     return full + [(f, n) for groups in open_bins.values() for f, n in groups]
 
 
@@ -71,24 +78,18 @@ def bins(patterns: list[Pattern]) -> int:
 def waste_bound(counts: np.ndarray, capacity: int) -> int:
     """Bins that no packing goes below: the sum, and what the room beside large documents must waste.
 
-    Documents are walked from the largest; the room each leaves can only
+    Documents of over half a bin are walked from the largest; the room each leaves can only
     take documents that are small enough; small ones not yet used fill it, and the rest of it is waste.
+    Used up to one is the least of room so far and of what fits, so a running minimum gives it.
     """
-    sizes = np.arange(len(counts))
-    total = int((counts * sizes).sum())
+    held = counts * np.arange(len(counts))
+    total = int(held.sum())
     if not total:
         return 0
-    small = np.cumsum(counts * sizes)
-    waste = used = 0
-    for size in np.flatnonzero(counts)[::-1].tolist():
-        if 2 * size <= capacity:
-            break
-        room = capacity - size
-        fit = int(small[min(room, size - 1)]) - used
-        need = room * int(counts[size])
-        take = max(0, min(fit, need))
-        used += take
-        waste += need - take
+    sizes = np.arange(len(counts) - 1, capacity // 2, -1)
+    room = np.cumsum((capacity - sizes) * counts[sizes])
+    fit = np.cumsum(held)[capacity - sizes]
+    waste = max(0, int((room - fit).max())) if len(sizes) else 0
     return -(-(total + waste) // capacity)
 
 
@@ -98,25 +99,27 @@ def fillings(counts: np.ndarray, room: int, steps: int = STEPS) -> Iterator[tupl
     One is dominated if a document left out could take the place of one or two
     of its documents without leaving the room, or would still fit. None stands for ``steps`` more steps.
     """
-    sizes = np.flatnonzero(counts[: room + 1])[::-1].tolist()
-    if not sizes:
+    present = np.flatnonzero(counts[: room + 1]).tolist()
+    if not present:
         yield ()
         return
-    present = np.asarray(sizes)[::-1]
+    have = {size: int(counts[size]) for size in present}
 
     def largest(most: int, taken: tuple[int, ...]) -> int:
-        at = int(np.searchsorted(present, most, side="right")) - 1
-        while at >= 0 and counts[present[at]] <= taken.count(int(present[at])):
+        at = bisect_right(present, most) - 1
+        while at >= 0 and have[present[at]] <= taken.count(present[at]):
             at -= 1
-        return int(present[at]) if at >= 0 else 0
+        return present[at] if at >= 0 else 0
 
     def dominated(taken: tuple[int, ...], slack: int) -> bool:
         if slack and largest(slack, taken):
             return True
         for i, a in enumerate(taken):
+            if i and a == taken[i - 1]:
+                continue
             if largest(a + slack, taken) > a:
                 return True
-            for b in taken[i + 1 :]:
+            for b in sorted(set(taken[i + 1 :])):
                 if largest(a + b + slack, taken) >= a + b:
                     return True
         return False
@@ -125,16 +128,16 @@ def fillings(counts: np.ndarray, room: int, steps: int = STEPS) -> Iterator[tupl
         done, stack = 0, [[room, len(present) - 1, (), False]]
         while stack:
             left, at, taken, moved = top = stack[-1]
-            while at >= 0 and counts[present[at]] <= taken.count(int(present[at])):
+            while at >= 0 and have[present[at]] <= taken.count(present[at]):
                 at -= 1
             if at < 0:
                 stack.pop()
                 if not moved and not dominated(taken, left):
                     yield left, taken
                 continue
-            size = int(present[at])
+            size = present[at]
             top[1], top[3] = at - 1, True
-            stack.append([left - size, int(np.searchsorted(present, min(left - size, size), side="right")) - 1, (*taken, size), False])
+            stack.append([left - size, bisect_right(present, min(left - size, size)) - 1, (*taken, size), False])
             done += 1
             if done % steps == 0:
                 yield None
@@ -154,17 +157,17 @@ def pack(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Pattern]
     """Patterns of a packing of a histogram of lengths: (lengths of a bin, number of such bins).
 
     Depth-first: bins are filled around the largest document left, by each of
-    its undominated fillings; a branch ends when the waste bound says it can't beat
+    its undominated fillings, used as often as the counts allow and then ever less often (what is left of
+    the largest then goes by other fillings); a branch ends when the waste bound says it can't beat
     the incumbent. The best fit of what is left makes an incumbent at each node, the
-    first being best fit alone. On a large histogram a filling is used as often as the counts
-    allow at once. The search stops at the bound or after ``nodes`` nodes; fillings are
-    made as it comes to them, and ``STEPS`` steps of making them count as a node.
+    first being best fit alone. The search is exact if it ends, and stops at the bound or after
+    ``nodes`` nodes; fillings are made as it comes to them, and ``STEPS`` steps of making them count as a node.
     The histogram has ``capacity`` entries, however many documents there are.
     """
     counts = counts.astype(np.int64)
     best = best_fit(counts, capacity)
+    most = bins(best)
     floor = waste_bound(counts, capacity)
-    singly = int(counts.sum()) <= SINGLY
 
     def branches(left: np.ndarray, done: list[Pattern], n: int, size: int) -> Iterator[tuple[np.ndarray, list[Pattern], int] | None]:
         rest = left.copy()
@@ -174,13 +177,18 @@ def pack(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Pattern]
                 yield None
                 continue
             pattern = (size, *filling)
-            need = np.bincount(pattern, minlength=len(left))
-            times = 1 if singly else int((left[need > 0] // need[need > 0]).min())
-            yield left - need * times, [*done, (pattern, times)], n + times
+            if done and done[-1][0] == pattern:
+                continue
+            need = Counter(pattern)
+            kinds, times = np.array([*need]), np.array([*need.values()])
+            for k in range(int((left[kinds] // times).min()), 0, -1):
+                after = left.copy()
+                after[kinds] -= k * times
+                yield after, [*done, (pattern, k)], n + k
 
     over = object()
     stack = [iter([(counts, [], 0)])]
-    while stack and nodes > 0 and bins(best) > floor:
+    while stack and nodes > 0 and most > floor:
         node = next(stack[-1], over)
         if node is over:
             stack.pop()
@@ -191,15 +199,15 @@ def pack(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Pattern]
         left, done, n = node
         here = np.flatnonzero(left)
         if not len(here):
-            if n < bins(best):
-                best = done
+            if n < most:
+                best, most = done, n
             continue
-        if n + waste_bound(left, capacity) >= bins(best):
+        if n + waste_bound(left, capacity) >= most:
             continue
         if done:
             rest = best_fit(left, capacity)
-            if n + bins(rest) < bins(best):
-                best = done + rest
+            if n + bins(rest) < most:
+                best, most = done + rest, n + bins(rest)
         stack.append(branches(left, done, n, int(here[-1])))
     return best
 
@@ -247,6 +255,27 @@ def cut(docs: DataFrame, capacity: int, tokenizer: str, end: int) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, task int")
 
 
+def placed(ranked: DataFrame, patterns: list[Pattern], capacity: int) -> DataFrame:
+    """``ranked`` (doc_id, piece, start, length, ids_crc32, rank) with sequence_id and offset for rank.
+
+    The table of places has a row for each pattern and length: best fit makes at most four
+    patterns a length and the search replaces some, a pattern has under 64 different lengths (their sum
+    is at most ``capacity``), so it stays under 32 MB whatever the corpus. A piece finds its row by bisection.
+    """
+    table = np.array(sorted(places(patterns)), np.int64).reshape(-1, 6)
+    shared = ranked.sparkSession.sparkContext.broadcast((table[:, 0] << 44 | table[:, 1], table[:, 1:].copy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rows = shared.value
+        for batch in batches:
+            length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            low, _, first, k, at = rows[np.searchsorted(keys, length << 44 | rank, side="right") - 1].T
+            own = rank - low
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(first + own // k), pa.array(at + own % k * length)], [*batch.schema.names[:5], "sequence_id", "offset"])
+
+    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -265,13 +294,6 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int =
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in per_task.groupBy("length").agg(F.sum("n")).collect():
         counts[length] = n
-    table = places(pack(counts, capacity))
-    schema = "length long, low long, high long, first long, k long, at long"
-    table = F.broadcast(spark.createDataFrame(table, schema))
-    ranked = rows.join(per_task.drop("n"), ["length", "task"]).withColumn("rank", F.col("base") + F.col("rank"))
-    found = ranked.join(table, "length").where("rank >= low and rank < high").withColumn("own", F.col("rank") - F.col("low"))
-    return found.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("first") + F.floor(F.col("own") / F.col("k"))).alias("sequence_id"),
-        (F.col("at") + F.col("own") % F.col("k") * F.col("length")).alias("offset"),
-    )
+    ranked = rows.join(per_task.drop("n"), ["length", "task"])
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
+    return placed(ranked, pack(counts, capacity), capacity)
