@@ -153,8 +153,11 @@ def test_simhash_links_join_all(spark):
         assert set(chain) <= ends and all(bin((r.src ^ r.dst) & (1 << 64) - 1).count("1") <= 2 for r in got)
 
 
-@pytest.mark.parametrize("window", [4, 35])
-def test_substring_dedup(docs, window):
+@pytest.mark.parametrize("window,held,share", [(4, 2_000_000, 4 << 20), (35, 2_000_000, 4 << 20), (4, 50, 2000), (35, 50, 2000)])
+def test_substring_dedup(docs, window, held, share, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARE", share)
+    monkeypatch.setattr(substring_dedup, "FLUSH", share)
+    monkeypatch.setattr(substring_dedup, "SORTED", held)
     got = by_id(substring_dedup.dedup(docs, window))
     where = Counter()
     own = [WORD.findall(t or "") for t in TEXTS]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,19 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until ``column`` has ``size`` bytes."""
+    held, have = [], 0
+    for batch in batches:
+        held.append(batch)
+        have += batch.column(column).nbytes
+        if have >= size:
+            yield pa.concat_batches(held)
+            held, have = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def sized_lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``groups`` (one row per ``key``; ``size``: how many of ``rows`` have it).
 
@@ -44,4 +60,4 @@ def sized_lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.join(hot, key).unionByName(rest.join(cold, key))
 
 
-__all__ = ["SETTINGS", "configure", "materialize", "read", "sized_lookup", "texts"]
+__all__ = ["SETTINGS", "configure", "gathered", "materialize", "read", "sized_lookup", "texts"]

@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoneforge.llm.common import configure, materialize, texts
-from zoneforge.llm.words import bounds, mix, raw, windows, word_hashes
+from zoneforge.llm.common import configure, gathered, materialize, texts
+from zoneforge.llm.words import BASE, OTHER_BASE, bounds, mix, raw, windows, word_hashes
 
-#: Words of a window; words of an anchor, the longest of which every window holds one whole reference block.
+#: Words of a window.
 WINDOW = 35
+#: Bytes of text whose windows a task sends at once; bytes of text to a task of the exchange, for a corpus of up to 1 GB; keys that a bucket sorts at once.
+FLUSH, SHARE, SORTED = 8 << 20, 4 << 20, 2_000_000
 SECOND_BASE = 0x94D049BB133111EB
 _ROWS = "bucket int, docs binary, counts binary, keys binary, more binary, places binary, flags binary"
 _NAMES = ["bucket", "docs", "counts", "keys", "more", "places", "flags"]
@@ -97,42 +99,67 @@ def _send(ids: np.ndarray, doc: np.ndarray, place: np.ndarray, key: np.ndarray,
 def _answer(width: int, anchored: bool, groups: int):
     """What a bucket answers: places of keys that occur twice (and, if anchored, that a reference block has).
 
+    A bucket is read as a stream. At every ``SORTED`` keys it is sorted, what is settled is answered and goes, and of
+    each key one row stays, so a passage of a third of all documents is no more to hold than any other.
     Answers are packed by group of documents, so their number hangs on buckets and groups, not on documents.
     """
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        if key[0].as_py() < 0:
-            out = [(-1 - key[0].as_py(), *row) for row in zip(*(table[c].to_pylist() for c in ("docs", "places", "flags")), strict=True)]
-        else:
-            parts = []
-            for row in table.to_pylist():
+    kinds = [pa.int32(), *[pa.binary()] * 3]
+
+    def packed(rows: list) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["grp", "docs", "starts", "lengths"])
+
+    def settle(held: list[tuple[np.ndarray, ...]]) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+        """What is left to hold, and documents and places that are answered. Columns: key, more, document, place, times, reference, waits."""
+        k, m, d, p, w, r, wait = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((m, k)) if m.any() else np.argsort(k, kind="stable")
+        new = np.ones(len(k), bool)
+        new[1:] = (k[order[1:]] != k[order[:-1]]) | (m[order[1:]] != m[order[:-1]])
+        first = np.flatnonzero(new)
+        size = np.diff(np.concatenate([first, [len(k)]]))
+        times, seen = np.add.reduceat(w[order], first), np.logical_or.reduceat(r[order], first)
+        found = (times > 1) & seen if anchored else times > 1
+        hit = order[np.repeat(found, size) & wait[order]]
+        at = order[first]
+        w, r = w.copy(), r.copy()
+        alone = size == 1
+        stays = order[np.repeat(~found & ~alone, size) & wait[order]]
+        w[stays] = 0
+        heads = (k[at], m[at], d[at], p[at], np.where(alone, w[at], np.minimum(times, 2)), seen, wait[at] & alone & ~found)
+        return tuple(np.concatenate([a, b[stays]]) for a, b in zip(heads, (k, m, d, p, w, r, wait), strict=True)), d[hit], p[hit]
+
+    def answers(d: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((p, d))
+        return packed(list(_by_group(d[order], p[order].astype(np.int64), groups)))
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = key[0].as_py()
+        if own < 0:
+            for batch in batches:
+                yield packed([(-1 - own, *row) for row in zip(*(batch.column(c).to_pylist() for c in ("docs", "places", "flags")), strict=True)])
+            return
+        held: list[tuple[np.ndarray, ...]] = []
+        have = kept = 0
+        for batch in batches:
+            for row in batch.to_pylist():
                 k = _numbers(row["keys"], width)
                 m = _numbers(row["more"], 8) if row["more"] else np.zeros(len(k), np.uint64)
                 d = np.repeat(_numbers(row["docs"], 8).view(np.int64), np.frombuffer(row["counts"], "<u4"))
-                f = np.unpackbits(np.frombuffer(row["flags"], np.uint8))[: 2 * len(k)].reshape(-1, 2)
-                parts.append((k, m, d, _numbers(row["places"], 4), f))
-            k, m, d, p, f = (np.concatenate(x) for x in zip(*parts, strict=True))
-            del parts
-            order = np.lexsort((m, k)) if m.any() else np.argsort(k, kind="stable")
-            k, m = k[order], m[order]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
-            first = np.flatnonzero(new)
-            size = np.diff(np.concatenate([first, [len(k)]]))
-            f = f[order]
-            found = (size > 1) | (np.maximum.reduceat(f[:, 1], first) > 0)
-            if anchored:
-                found &= np.maximum.reduceat(f[:, 0], first) > 0
-            hit = order[np.repeat(found, size) & (f[:, 1] == 0)]
-            hit = hit[np.lexsort((p[hit], d[hit]))]
-            out = list(_by_group(d[hit], p[hit].astype(np.int64), groups))
-        columns = zip(*out, strict=True) if out else [[]] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.binary()] * 3], strict=True)], ["grp", "docs", "starts", "lengths"])
+                flags = np.unpackbits(np.frombuffer(row["flags"], np.uint8))[: 2 * len(k)].reshape(-1, 2).astype(bool)
+                held.append((k, m, d, _numbers(row["places"], 4), 1 + flags[:, 1].astype(np.int64), flags[:, 0], ~flags[:, 1]))
+                have += len(k)
+            if have - kept > SORTED:
+                rest, d, p = settle(held)
+                held, have, kept = [rest], len(rest[0]), len(rest[0])
+                yield answers(d, p)
+        if held:
+            _, d, p = settle(held)
+            yield answers(d, p)
 
     return run
 
 
-def _gather(key: tuple, table: pa.Table) -> pa.Table:
+def _gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Packed answers of a group of documents as one row a document."""
     doc = np.concatenate([_numbers(x, 8) for x in table["docs"].to_pylist()]).view(np.int64)
     starts, lengths = (np.concatenate([_numbers(x, 4) for x in table[c].to_pylist()]) for c in ("starts", "lengths"))
@@ -147,14 +174,14 @@ def _gather(key: tuple, table: pa.Table) -> pa.Table:
     )
 
 
-def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, document and place of each word, and the number of words that follow it in its document."""
+def _words(column: pa.Array, *bases: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (one for each base), document and place of each word, and the number of words from it to its document's end."""
     data, at = raw(column)
     first, end, doc = bounds(data, at)
     count = np.bincount(doc, minlength=len(column))
     start = np.cumsum(count) - count
     place = np.arange(len(doc)) - start[doc]
-    return word_hashes(data, first, end), doc, place, count[doc] - place
+    return [word_hashes(data, first, end, base=base) for base in bases], doc, place, count[doc] - place
 
 
 def _marked(starts: bytes, lengths: bytes, size: int) -> np.ndarray:
@@ -178,34 +205,38 @@ def _around(mark: np.ndarray, before: int, after: int) -> np.ndarray:
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, starts, lengths): runs of starts of windows of ``window`` words that occur more than once.
 
+    Tasks and buckets of the exchange are as many as the bytes of the text ask for.
+
     1. Index: each document is cut into reference blocks of (window + 1) / 2
        words, side by side, so any window holds one whole. Probe: every rolling run of that
        length is looked up; block and probe meet by hash in a bucket. A
        probe that a block has, and that occurs twice, is a hit.
     2. Extend: the windows around hits, in either direction, are what a maximal repeat of
-       ``window`` words or more can consist of. They meet in turn by a 128-bit hash;
-       windows that occur twice, joined with their neighbours, are the maximal repeats.
+       ``window`` words or more can consist of. They meet in turn by 128 bits: two windows
+       of 64 over hashes of the words that are independent of each other. Windows that
+       occur twice, joined with their neighbours, are the maximal repeats.
     No pairs are made: a passage of a third of all documents is sent once a
     batch, and each place gets one answer.
     """
-    spark = configure(docs.sparkSession)
+    configure(docs.sparkSession)
     rows, length = texts(docs), anchor(window)
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, -(-total // int(SHARE * max(1, total / 1e9) ** (1 / 3))))
     buckets = 2 * groups
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, 1, FLUSH):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            hashes, doc, place, left = _words(batch.column(1))
+            (hashes,), doc, place, left = _words(batch.column(1), BASE)
             whole = np.flatnonzero(left >= length)
             if len(whole):
                 keys = windows(hashes, length)[whole] >> np.uint64(16)
                 yield from _send(ids, doc[whole], place[whole], keys, None, (place[whole] % length == 0).astype(np.uint8), buckets, groups, 6)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, 1, FLUSH):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            hashes, doc, place, left = _words(batch.column(1))
+            (hashes, others), doc, place, left = _words(batch.column(1), BASE, OTHER_BASE)
             cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             wanted = np.zeros(len(doc), bool)
             for i, (starts, lengths) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
@@ -213,14 +244,16 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 wanted[cut[i] : cut[i + 1]] = _around(mark, window - length, 0)
             whole = np.flatnonzero(wanted & (left >= window))
             if len(whole):
-                keys, more = windows(hashes, window)[whole], windows(hashes, window, SECOND_BASE)[whole]
+                keys, more = windows(hashes, window)[whole], windows(others, window, SECOND_BASE)[whole]
                 yield from _send(ids, doc[whole], place[whole], keys, more, np.zeros(len(whole), np.uint8), buckets, groups, 8)
 
-    hits = rows.mapInArrow(probe, _ROWS).groupBy("bucket").applyInArrow(_answer(6, True, groups), _PACKED)
-    hits = materialize(hits.groupBy("grp").applyInArrow(_gather, _RUNS), "hits")
+    def met(sent: DataFrame, answer) -> DataFrame:
+        answered = sent.repartition(groups, "bucket").groupBy("bucket").applyInArrow(answer, _PACKED)
+        return answered.repartition(groups, "grp").groupBy("grp").applyInArrow(_gather, _RUNS)
+
+    hits = materialize(met(rows.mapInArrow(probe, _ROWS), _answer(6, True, groups)), "hits")
     near = hits.hint("merge").join(rows, "doc_id").select("doc_id", "text", "starts", "lengths")
-    found = near.mapInArrow(extend, _ROWS).groupBy("bucket").applyInArrow(_answer(8, False, groups), _PACKED)
-    return materialize(found.groupBy("grp").applyInArrow(_gather, _RUNS), "repeats")
+    return materialize(met(near.mapInArrow(extend, _ROWS), _answer(8, False, groups)), "repeats")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -14,11 +14,12 @@ import xxhash
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Odd factors of two hashes of a word that are independent of each other.
+BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _SPAN = 1 << 20
 #: Longer words are hashed one at a time, so that a power table of _SPAN bytes is enough.
 _LONG = 256
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -62,15 +63,14 @@ def bounds(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple
     return first, end, np.searchsorted(at[1:], first, side="right")
 
 
-def word_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+def word_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray, seed: int = 0, base: int = BASE) -> np.ndarray:
     """A 64-bit hash of each word; equal words hash alike wherever they stand."""
-    global _powers
-    if _powers is None:
-        inverse = pow(_BASE, -1, 1 << 64)
-        up, down = np.full(_SPAN + _LONG + 1, _BASE, np.uint64), np.full(_SPAN + _LONG + 1, inverse, np.uint64)
+    if base not in _powers:
+        inverse = pow(base, -1, 1 << 64)
+        up, down = np.full(_SPAN + _LONG + 1, base, np.uint64), np.full(_SPAN + _LONG + 1, inverse, np.uint64)
         up[0] = down[0] = 1
-        _powers = np.cumprod(up), np.cumprod(down)
-    up, down = _powers
+        _powers[base] = np.cumprod(up), np.cumprod(down)
+    up, down = _powers[base]
     out = np.empty(len(first), np.uint64)
     size = end - first
     i = 0
@@ -85,7 +85,7 @@ def word_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray, seed: int
         i = j
     out = mix(out + size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(seed))
     for k in np.flatnonzero(size > _LONG):
-        out[k] = xxhash.xxh64_intdigest(data[first[k] : end[k]].tobytes(), seed)
+        out[k] = xxhash.xxh64_intdigest(data[first[k] : end[k]].tobytes(), seed ^ base)
     return out
 
 
