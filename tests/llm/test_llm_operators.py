@@ -63,9 +63,9 @@ def norm(t):
     return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
 
 
-@pytest.mark.parametrize("primes", [exact_dedup.PRIMES, (5,)], ids=["full", "colliding"])
-def test_exact_dedup(docs, primes):
-    got = by_id(exact_dedup.dedup(docs, primes, exact_dedup.BASES[: len(primes)]))
+@pytest.mark.parametrize("primes,huge", [(exact_dedup.PRIMES, 1 << 20), ((5,), 1 << 20), (exact_dedup.PRIMES, 100), ((5,), 7)], ids=["full", "colliding", "parts", "colliding parts"])
+def test_exact_dedup(docs, primes, huge):
+    got = by_id(exact_dedup.dedup(docs, primes, exact_dedup.BASES[: len(primes)], huge))
     groups = defaultdict(list)
     for i, t in enumerate(TEXTS):
         groups[norm(t)].append(i)
@@ -285,12 +285,35 @@ def test_token_file(docs, spark):
         start += len(ids)
 
 
+def test_tokens_by_number_and_document(spark, tmp_path):
+    rows = [(k, f"text number {k} " * (k % 7)) for k in range(60)] + [(30, "again"), (30, None)]
+    path = f"file://{tmp_path}/tokens"
+    token_file.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), path, segment=40)
+    fresh = Tokenizer.from_file(public_tokenizers.path(token_file.TOKENIZER))
+    own = {(k, t): [*fresh.encode(t or "", add_special_tokens=False).ids, 2] for k, t in rows}
+    every = [i for k in range(60) if k != 30 for t in [rows[k][1]] for i in own[k, t]]
+    before = sum(len(own[r]) for r in rows[:30])
+    total = sum(map(len, own.values()))
+    for i in (0, 1, before - 1):
+        assert token_file.token_at(spark, path, i) == every[i]
+    assert token_file.token_at(spark, path, total - 1) == 2 and token_file.directory(spark, path).count() > 10
+    for i in (-1, total):
+        with pytest.raises(IndexError):
+            token_file.token_at(spark, path, i)
+    for k in (0, 13, 59):
+        assert [list(r.ids) for r in token_file.tokens_of(spark, path, k).collect()] == [own[rows[k]]]
+    assert sorted(list(r.ids) for r in token_file.tokens_of(spark, path, 30).collect()) == sorted(v for (k, _), v in own.items() if k == 30)
+    assert token_file.tokens_of(spark, path, 999).count() == 0
+
+
 @pytest.mark.parametrize("levels", [(8, 8, 16), (16, 16), (8, 8, 8, 8)])
 def test_directly_addressable_codes(levels):
     ids = np.concatenate([RNG.integers(0, 1 << int(b), 900) for b in (3, 8, 12, 16, 31)] + [np.array([0, 2**32 - 1])]).astype(np.uint32)
     codes = token_file.Codes(token_file.encode(ids, levels))
     assert len(codes) == len(ids) and codes.all().tolist() == ids.tolist()
     assert all(codes[i] == int(ids[i]) for i in range(0, len(ids), 3))
+    for a, b in [*RNG.integers(0, len(ids) + 1, (60, 2)).tolist(), (0, 0), (0, len(ids)), (len(ids), len(ids)), (512, 1024)]:
+        assert codes.span(min(a, b), max(a, b)).tolist() == ids[min(a, b) : max(a, b)].tolist()
     assert len(token_file.Codes(token_file.encode(ids[:0], levels))) == 0
     with pytest.raises(IndexError):
         codes[len(ids)]

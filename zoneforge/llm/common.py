@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zoneforge.functions.storage import materialize
@@ -29,9 +29,27 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: What stands for a null doc_id inside an operator: rows without an id are rows that repeat one id, the least.
+NULL_ID = -(1 << 63)
+
+
+def identified(name: str = "doc_id") -> Column:
+    return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID)).alias("doc_id")
+
+
+def restored(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with null again where an id stood for it."""
+    return df.withColumns({n: F.when(F.col(n) != NULL_ID, F.col(n)) for n in names or ("doc_id",)})
+
+
+def held_out() -> Column:
+    """Rows whose labels are never read: crc32(doc_id as text) mod 5 is 0; a row without an id is none of them."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
 def texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone: further columns, whatever their names, stay out of the plan."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id (NULL_ID for null) and text alone: further columns, whatever their names, stay out of the plan."""
+    return docs.select(identified(), F.col("text").cast("string").alias("text"))
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -60,4 +78,4 @@ def sized_lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.join(hot, key).unionByName(rest.join(cold, key))
 
 
-__all__ = ["SETTINGS", "configure", "gathered", "materialize", "read", "sized_lookup", "texts"]
+__all__ = ["NULL_ID", "SETTINGS", "configure", "gathered", "held_out", "identified", "materialize", "read", "restored", "sized_lookup", "texts"]

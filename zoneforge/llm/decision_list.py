@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zoneforge.llm import stats
-from zoneforge.llm.common import configure, texts
+from zoneforge.llm.common import configure, restored, texts
 
 #: Labelled rows that the rules are learned from; thresholds tried a statistic; conditions of a rule, rules of a list.
 SAMPLE, CUTS, CONDITIONS, RULES = 8000, 24, 3, 12
@@ -148,4 +148,4 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rules = fit(docs, labels)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = statistics(docs).withColumn("base_failed", failed).withColumn("rule", expression(rules))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule")
+    return restored(rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule"))

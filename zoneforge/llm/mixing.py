@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from zoneforge.llm.common import configure, materialize
+from zoneforge.llm.common import NULL_ID, configure, identified, materialize, restored
 from zoneforge.llm.words import SPACE, bounds, mix, raw, spread
 
 #: Words of a block, blocks of an output shard, weights in turn, most repeats, seed of draws and permutations.
@@ -34,7 +34,7 @@ def sizes(docs: DataFrame) -> DataFrame:
                 follows[at[:-1][at[:-1] < len(data)]] = False
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spread(starts & ~follows, at)), batch.column(3)], ["doc_id", "source", "size", "digest"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), F.xxhash64("text").alias("digest"))
+    rows = docs.select(identified(), F.col("source").cast("string"), F.col("text").cast("string"), F.xxhash64("text").alias("digest"))
     return rows.mapInArrow(run, "doc_id long, source string, size long, digest long")
 
 
@@ -236,12 +236,12 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed:
     ``taken`` counts the words that the mix takes of the document, repeats
     included: at most 3 times its size, and over a source its target to the nearest whole word. Null or empty texts have size 0 and are never
     taken; a null source is a source of its own, the last. Of rows that
-    repeat a doc_id one counts, the least by source, size and digest. An empty table gives no rows; extra columns are
+    repeat a doc_id one counts, the least by source, size and digest; a null doc_id is an id. An empty table gives no rows; extra columns are
     ignored; the same rows give the same mix however they are dealt out.
     """
     owned, cut = pieces(docs, block, shard, seed)
     taken = cut.groupBy("doc_id").agg(F.sum(F.col("n") * F.col("times") + F.col("extra")).alias("taken"))
-    return owned.join(taken, "doc_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return restored(owned.join(taken, "doc_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
 
 
 def mixed_texts(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
@@ -256,7 +256,7 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: i
     plan = cut.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list(F.struct("at", "n", "times", "extra"))).alias("p"))
     plan = plan.select(F.col("doc_id").alias("_zf_doc"), F.col("digest").alias("_zf_digest"), F.col("p").alias("_zf_pieces"))
     own = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    joined = own.join(plan, (own["doc_id"] == F.col("_zf_doc")) & (F.xxhash64(own["text"].cast("string")) == F.col("_zf_digest")))
+    joined = own.join(plan, (F.coalesce(own["doc_id"], F.lit(NULL_ID)) == F.col("_zf_doc")) & (F.xxhash64(own["text"].cast("string")) == F.col("_zf_digest")))
     joined = joined.dropDuplicates(["_zf_doc"]).select(*docs.columns, "_zf_pieces")
     place, schema = docs.columns.index("text"), own.schema
 

@@ -90,10 +90,10 @@ def near_copies(docs: DataFrame, least: float = SIMILAR, width: int = WIDTH, blo
     Texts that share a bucket are joined to its first; only documents so joined travel with
     their texts. Each component of these is compared in blocks, all pairs of its blocks by tasks of their own,
     and only pairs of one bucket at that. Texts without words are nobody's copies. An empty table gives no rows;
-    extra columns are ignored; a doc_id stands for one text.
+    extra columns are ignored; a doc_id stands for one text; rows of a null doc_id are left out of the comparison.
     """
     configure(docs.sparkSession)
-    bodies = texts(docs)
+    bodies = texts(docs.where("doc_id is not null"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

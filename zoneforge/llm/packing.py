@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zoneforge.llm.common import configure, materialize, texts
+from zoneforge.llm.common import configure, materialize, restored, texts
 from zoneforge.llm.tokens import encoder as encoder_of
 
 #: Tokens of a sequence, id after each document, tokenizer.
@@ -283,7 +283,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int =
     where the search runs. A piece takes the place that the packing has for
     (length, rank): ranks are counted within tasks and shifted by the counts of
     earlier tasks, so a length that a third of all pieces share is no hot group. A null text
-    is empty and is its end id alone. An empty table gives no rows; extra columns
+    is empty and is its end id alone; a null doc_id stays null. An empty table gives no rows; extra columns
     are ignored; each of repeated rows is packed.
     """
     spark = configure(docs.sparkSession)
@@ -296,4 +296,4 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int =
         counts[length] = n
     ranked = rows.join(per_task.drop("n"), ["length", "task"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
-    return placed(ranked, pack(counts, capacity), capacity)
+    return restored(placed(ranked, pack(counts, capacity), capacity))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoneforge.llm.common import configure, materialize, sized_lookup, texts
+from zoneforge.llm.common import configure, materialize, restored, sized_lookup, texts
 from zoneforge.operators.graph import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -163,7 +163,7 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, bloc
     zero. Fingerprints link at ``radius`` or fewer differing bits; component_id
     is the least doc_id reachable. Equal fingerprints are one node, so copies
     cost nothing in the comparison. An empty table gives no rows; extra columns
-    are ignored; rows that repeat a doc_id count as one document, of the least fingerprint.
+    are ignored; rows that repeat a doc_id count as one document, of the least fingerprint; a null doc_id is an id, the least.
     """
     configure(docs.sparkSession)
     prints = fingerprints(docs, width).groupBy("doc_id").agg(F.min("fp").alias("fp"))
@@ -177,4 +177,4 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, bloc
         least = marked.groupBy("root").agg(F.min("first").alias("component_id"))
         classes = materialize(marked.join(least, "root").select("fp", "component_id", "n"), "classes")
     out = sized_lookup(prints, classes, "fp", "n", max(1, prints.count()))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return restored(out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"), "doc_id", "component_id")

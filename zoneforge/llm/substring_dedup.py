@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoneforge.llm.common import configure, gathered, materialize, texts
+from zoneforge.llm.common import configure, gathered, materialize, restored, texts
 from zoneforge.llm.words import BASE, OTHER_BASE, bounds, mix, raw, windows, word_hashes
 
 #: Words of a window.
@@ -263,7 +263,8 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     over it occurs anywhere else, in the same document or another; windows
     are judged on the input. Documents shorter than a window, null and empty texts keep all
     they have. Every copy goes, the first included. An empty table gives no rows; extra
-    columns are ignored; rows that repeat a doc_id lose the same words.
+    columns are ignored; rows that repeat a doc_id (a null one is an id, too) lose the words at the
+    places that any of them loses.
     """
     found = repeats(docs, window)
 
@@ -285,7 +286,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string()), pa.array(spans, kind)], ["doc_id", "n_words", "n_removed", "kept_sha256", "removed"])
 
     rows = texts(docs).hint("merge").join(found, "doc_id", "left").select("doc_id", "text", "starts", "lengths")
-    return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,n:long>>")
+    return restored(rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,n:long>>"))
 
 
 ORACLE = r"""

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zoneforge.functions.storage import new_path
-from zoneforge.llm.common import configure, texts
+from zoneforge.llm.common import configure, restored, texts
 from zoneforge.llm.tokens import encoder as encoder_of
 
 #: Tokenizer, id after each document, bits of a chunk by level (the last takes what is left), bits between rank entries, ids of a segment.
-TOKENIZER, END, LEVELS, RANK_BITS, SEGMENT = "word_bpe_49k.json", 2, (8, 8, 16), 512, 1 << 20
+TOKENIZER, END, LEVELS, RANK_BITS, SEGMENT = "word_bpe_49k.json", 2, (8, 8, 16), 512, 1 << 16
 MAGIC = b"DAC1"
 _COUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -83,6 +83,32 @@ class Codes:
             i = int(directory[i // RANK_BITS]) + int(_COUNT[bitmap[low : i >> 3]].sum()) + int(_COUNT[partial])
         return value
 
+    def _rank(self, bitmap: np.ndarray, directory: np.ndarray, i: int) -> int:
+        """Set bits before bit i: an entry of the directory and at most 64 bytes of bitmap."""
+        if not i:
+            return 0
+        low = (i - 1) // RANK_BITS
+        part = np.unpackbits(bitmap[low * RANK_BITS // 8 : -(-i // 8)], bitorder="little")
+        return int(directory[low]) + int(part[: i - low * RANK_BITS].sum())
+
+    def span(self, start: int, stop: int) -> np.ndarray:
+        """Ids from start to stop. What goes on of a span is a span of the next level, between two ranks, so nothing else is read."""
+        if not 0 <= start <= stop <= self.n:
+            raise IndexError((start, stop))
+        out = np.zeros(stop - start, np.uint32)
+        at, shift = np.arange(stop - start), 0
+        for bits, chunk, bitmap, directory in self.levels:
+            out[at] |= chunk[start:stop].astype(np.uint32) << np.uint32(shift)
+            shift += bits
+            low = start // 8
+            on = np.unpackbits(bitmap[low : -(-stop // 8)], bitorder="little")[start - 8 * low : stop - 8 * low].astype(bool)
+            at = at[on]
+            if not len(at):
+                break
+            start = self._rank(bitmap, directory, start)
+            stop = start + len(at)
+        return out
+
     def all(self) -> np.ndarray:
         out = np.zeros(self.n, np.uint32)
         at, shift = np.arange(self.n), 0
@@ -93,15 +119,17 @@ class Codes:
         return out
 
 
-_SCHEMA = "task int, segment long, n_ids long, doc_ids binary, ends binary, codes binary"
+_SCHEMA = "task int, segment long, n_ids long, first_doc long, last_doc long, doc_ids binary, ends binary, codes binary"
+_DIRECTORY = "task int, segment long, n_ids long, first_doc long, last_doc long, base long"
 
 
 def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END, segment: int = SEGMENT) -> None:
     """Write the ids of whole texts, in order of doc_id, each document followed by ``end``.
 
-    A file of segments: Parquet rows (task, segment, n_ids, doc_ids, ends, codes);
-    codes is a block of about ``segment`` ids, never part of a document; tasks, and segments
-    in them, are in order of doc_id. Written by Spark, so a lost task leaves nothing behind.
+    ``path``/codes is a file of segments: Parquet rows (task, segment, n_ids, first_doc, last_doc, doc_ids,
+    ends, codes); codes is a block of about ``segment`` ids, never part of a document; tasks, and segments
+    in them, are in order of doc_id. ``path``/directory has where each segment begins among all
+    ids, a row a segment. Both are written by Spark, so a lost task leaves nothing behind.
     """
     spark = configure(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -116,9 +144,9 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
         def flush() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(parts_in), "<u4")
             ends = np.cumsum([len(x) // 4 for x in parts_in]).astype("<i8")
-            row = [[task], [number], [len(ids)], [np.array(docs_in, "<i8").tobytes()], [ends.tobytes()], [encode(ids)]]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], ["task", "segment", "n_ids", "doc_ids", "ends", "codes"])
+            row = [[task], [number], [len(ids)], [docs_in[0]], [docs_in[-1]], [np.array(docs_in, "<i8").tobytes()], [ends.tobytes()], [encode(ids)]]
+            kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 3]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], ["task", "segment", "n_ids", "first_doc", "last_doc", "doc_ids", "ends", "codes"])
 
         for batch in batches:
             for doc, ids, task in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True):
@@ -131,44 +159,77 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
         if docs_in:
             yield flush()
 
-    rows.mapInArrow(run, _SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    rows.mapInArrow(run, _SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/codes")
+    found = _codes(spark, path).select("task", "segment", "n_ids", "first_doc", "last_doc")
+    sizes = found.groupBy("task").agg(F.sum("n_ids").alias("n"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("task", F.coalesce(F.sum("n").over(before(F.lit(1)).orderBy("task")), F.lit(0)).alias("task_base"))
+    inner = found.withColumn("inner_base", F.coalesce(F.sum("n_ids").over(before("task").orderBy("segment")), F.lit(0)))
+    at = inner.join(bases, "task").select("task", "segment", "n_ids", "first_doc", "last_doc", (F.col("task_base") + F.col("inner_base")).alias("base"))
+    at.sortWithinPartitions("base").write.parquet(f"{path}/directory")
+
 
+def _codes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_SCHEMA).parquet(f"{path}/codes")
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """From the files: doc_id, start, n_tokens, ids_crc32 of each document.
 
-    A segment's place is the ids of earlier tasks (one number each) and of its task's earlier segments.
-    """
-    files = spark.read.schema(_SCHEMA).parquet(path)
-    sizes = files.groupBy("task").agg(F.sum("n_ids").alias("n"))
-    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(F.col("task").alias("t"), F.coalesce(F.sum("n").over(before(F.lit(1)).orderBy("task")), F.lit(0)).alias("task_base"))
-    inner = files.select(F.col("task").alias("t"), F.col("segment").alias("s"), F.coalesce(F.sum("n_ids").over(before("task").orderBy("segment")), F.lit(0)).alias("inner_base"))
-    at = inner.join(bases, "t").select("t", "s", (F.col("task_base") + F.col("inner_base")).alias("base"))
+def directory(spark: SparkSession, path: str) -> DataFrame:
+    """(task, segment, n_ids, first_doc, last_doc, base) of each segment; base is the ids before it."""
+    return spark.read.schema(_DIRECTORY).parquet(f"{path}/directory")
+
+
+def token_at(spark: SparkSession, path: str, i: int) -> int:
+    """Id number i of all ids, by the directory and one segment, whose block isn't decoded. IndexError beyond the last."""
+    found = directory(spark, path).where((F.col("base") <= i) & (F.col("base") + F.col("n_ids") > i)).take(1) if i >= 0 else []
+    if not found:
+        raise IndexError(i)
+    own = found[0]
+    row = _codes(spark, path).where((F.col("task") == own.task) & (F.col("segment") == own.segment)).select("codes").first()
+    return Codes(bytes(row.codes))[i - own.base]
+
+
+def tokens_of(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
+    """(doc_id, ids) of a document, a row for each row that it had; only segments that may hold it are read, and of them its span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for docs, ends, codes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                block, stops = Codes(codes), np.frombuffer(ends, "<i8")
+                for k in np.flatnonzero(np.frombuffer(docs, "<i8") == doc_id).tolist():
+                    out.append(block.span(int(stops[k - 1]) if k else 0, int(stops[k])).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(out), pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    rows = _codes(spark, path).where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id))
+    return rows.select("doc_ids", "ends", "codes").mapInArrow(run, "doc_id long, ids array<long>")
+
+
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """From the files: doc_id, start, n_tokens, ids_crc32 of each document, read as a span of its segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for task, segment, docs, ends, codes in zip(*(batch.column(i) for i in (0, 1, 3, 4, 5)), strict=True):
-                ids = Codes(codes.as_py()).all().astype("<u4")
-                stops = np.frombuffer(ends.as_py(), "<i8")
+            for task, segment, docs, ends, codes in zip(*(batch.column(i) for i in range(5)), strict=True):
+                block, stops = Codes(codes.as_py()), np.frombuffer(ends.as_py(), "<i8")
                 starts = np.concatenate([[0], stops[:-1]]).astype(np.int64)
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+                crc = [zlib.crc32(block.span(a, b).astype("<u4", copy=False).tobytes()) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
                 n = len(stops)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([task.as_py()] * n, pa.int32()), pa.array([segment.as_py()] * n, pa.int64()), pa.array(np.frombuffer(docs.as_py(), "<i8")), pa.array(starts), pa.array(stops - starts), pa.array(crc, pa.int64())],
                     ["task", "segment", "doc_id", "inner", "n_tokens", "ids_crc32"],
                 )
 
-    found = files.mapInArrow(run, "task int, segment long, doc_id long, inner long, n_tokens long, ids_crc32 long")
-    joined = found.join(at, (F.col("task") == F.col("t")) & (F.col("segment") == F.col("s")))
-    return joined.select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
+    rows = _codes(spark, path).select("task", "segment", "doc_ids", "ends", "codes")
+    found = rows.mapInArrow(run, "task int, segment long, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    joined = found.join(directory(spark, path).select("task", "segment", "base"), ["task", "segment"])
+    return restored(joined.select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32"))
 
 
 def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, segment: int = SEGMENT, path: str | None = None) -> DataFrame:
     """Write the files, read them back: doc_id, start, n_tokens (with the end id), ids_crc32.
 
     A null or empty text is its end id alone. Rows that repeat a doc_id follow each
-    other. An empty table makes no segment and gives no rows; extra columns are ignored.
+    other; rows of a null doc_id come first. An empty table makes no segment and gives no rows; extra columns are ignored.
     """
     path = path or new_path(docs.sparkSession, "tokens")
     write(docs, path, tokenizer, end, segment)
