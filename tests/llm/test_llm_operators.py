@@ -9,13 +9,16 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from zoneforge.llm import cotraining, decision_list, exact_dedup, mixing, near_copies, packing, simhash, stats, substring_dedup, surrogates, token_file, toxicity
+from zoneforge.llm import bags, cotraining, decision_list, exact_dedup, mixing, near_copies, packing, simhash, stats, substring_dedup, surrogates, token_file, toxicity
 
+KEY = b"a key of the tests"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words int, score string, grp int, keep_id long"
 RNG = np.random.default_rng(7)
@@ -53,7 +56,7 @@ def by_id(df):
 def test_empty_tables(spark):
     none, lab = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for df in (
-        surrogates.anonymize(none), cotraining.score_documents(none, lab), toxicity.score_documents(none, lab), packing.pack_documents(none), decision_list.filter_documents(none, lab),
+        surrogates.anonymize(none, KEY), cotraining.score_documents(none, lab), toxicity.score_documents(none, lab), packing.pack_documents(none), decision_list.filter_documents(none, lab),
         simhash.near_dedup(none), token_file.round_trip(none), mixing.mix_documents(none), substring_dedup.dedup(none), exact_dedup.dedup(none), mixing.mixed_texts(none),
     ):
         assert df.count() == 0
@@ -403,7 +406,7 @@ def test_surrogates(spark):
         "Mail ann@site.example.com or ANN@site.example.com, call +1 (415) 555-7713 or +1 415 555 7713.", "Again ann@site.example.com; card 4111 1111 1111 1111 and 4111111111111111", "ip 10.1.2.3 not 999.1.2.3 ssn 123-45-6789",
         'token = "04dbebab91ab85687d33eeaaf9c1" Herr Karl Meyer sah Frau Anna Meyer', None, "", "nothing here 2.0", "Госпожа Анна Петрова и Mr Meyer",
     ] + [f"user{k}@mail.example.com" for k in range(300)]
-    got = by_id(surrogates.anonymize(frame(spark, body)))
+    got = by_id(surrogates.anonymize(frame(spark, body), KEY))
     assert len(got) == len(body) and got[4].text is None and got[5].text == "" and got[6].text == body[6]
     mails = re.findall(r"\S+@[\w.]+\w", got[0].text)
     assert mails[0] == mails[1].lower() and mails[0] in got[1].text and mails[0].endswith(".example.com") and "ann@" not in got[0].text
@@ -420,7 +423,7 @@ def test_surrogates(spark):
 
 def test_surrogates_of_few_values_stay_distinct(spark):
     names = spark.createDataFrame([("given:latin:f", f"n{k}") for k in range(100)] + [("family:latin", "ba")], "kind string, value string")
-    got = surrogates.assign(names).collect()
+    got = surrogates.assign(names, KEY).collect()
     assert len(got) == 101 and len({(r.kind, r.surrogate) for r in got}) == 101
 
 
@@ -434,7 +437,7 @@ def test_surrogates_settle_in_the_own_script(spark):
     assert [k for _, _, k, _ in surrogates.mentions("Mr Παπάς Δήμου")] == ["given:other:m", "family:other"]
     body = ["Password: ____________", "token = ------------", "Password: ___________a", "αβγ@example.com and δεζ@example.com", "Call +٩٦٦ ٥٠ ١٢٣ ٤٥٦٧ or 1.", "Mr Παπάς"]
     body += [f"{chr(97 + k)}@example.com" for k in range(26)] + [f"token = ___________{chr(97 + k)}" for k in range(26)]
-    got = by_id(surrogates.anonymize(frame(spark, body)))
+    got = by_id(surrogates.anonymize(frame(spark, body), KEY))
     out = [got[i].text for i in range(len(body))]
     assert len(set(out)) == len(body) and not set(out) & set(body)
     assert len(set(re.findall(r"\S+@\S+", " ".join(out[6:32])))) == 26 and re.fullmatch(r"Call \+[٠-٩]{3} [٠-٩]{2} [٠-٩]{3} [٠-٩]{4} or 1\.", out[4])
@@ -470,8 +473,69 @@ def test_toxicity(spark, docs, labels):
     assert auc(np.array([r.score for r in found]), np.array([int(r.doc_id % 5 == 0) for r in found])) > 0.97
 
 
-def test_nonnegative_risk_needs_both_kinds():
-    assert not toxicity.train([{"positive": True, "unlabelled": False, "features": [1]}], 0.1).weight.any()
+def bag(rows):
+    return bags.Bag.of(pa.array(rows, pa.list_(pa.int32())))
+
+
+@pytest.mark.parametrize("prior,shift", [(0.1, 0.0), (0.4, 0.0), (0.9, -3.0)])
+def test_nonnegative_risk_and_its_gradient(prior, shift):
+    rng = np.random.default_rng(1)
+    zp, zu, n = rng.normal(1, 1, 7), rng.normal(shift, 1, 11), rng.integers(1, 5, 11).astype(float)
+    loss = lambda z: np.log(1 + np.exp(-z))
+    every = np.repeat(zu, n.astype(int))
+    plus, minus = prior * np.mean([loss(z) for z in zp]), np.mean([loss(-z) for z in every]) - prior * np.mean([loss(-z) for z in zp])
+    got, negative, gp, gu = toxicity.risk(zp, zu, n, prior)
+    assert negative == pytest.approx(minus) and got == pytest.approx(plus + max(0, minus)) and (minus < 0) == (shift < 0)
+    part = (lambda p, u: toxicity.risk(p, u, n, prior)[0]) if minus >= 0 else (lambda p, u: -toxicity.risk(p, u, n, prior)[1])
+    for i in range(7):
+        step = np.eye(7)[i] * 1e-5
+        assert gp[i] == pytest.approx((part(zp + step, zu) - part(zp - step, zu)) / 2e-5, abs=1e-8)
+    for i in range(11):
+        step = np.eye(11)[i] * 1e-5
+        assert gu[i] == pytest.approx((part(zp, zu + step) - part(zp, zu - step)) / 2e-5, abs=1e-8)
+
+
+def test_nonnegative_training_beats_none_and_plain_weights():
+    rng = np.random.default_rng(2)
+    truth = rng.random(4000) < 0.15
+    odds = np.where(truth[:, None], np.linspace(0.25, 0.02, 12), np.linspace(0.02, 0.05, 12))
+    rows = [np.flatnonzero(r).tolist() for r in rng.random(odds.shape) < odds]
+    known = [r for r, y in zip(rows[:1500], truth[:1500], strict=True) if y]
+    scale = np.log((np.bincount(np.concatenate(known).astype(int), minlength=12) + 0.5) / (len(known) + 1) / ((np.bincount(np.concatenate(rows).astype(int), minlength=12) + 0.5) / 4001))
+    loss = lambda w: float(np.mean(np.logaddexp(0, np.where(truth, -1, 1) * (bag(rows).dot(w[:-1]) + w[-1]))))
+    trained = toxicity.train(bag(known), bag(rows), np.ones(4000), scale, 0.15)
+    start = toxicity.train(bag(known), bag(rows), np.ones(4000), scale, 0.15, epochs=0)
+    plain = np.append(scale, np.log(0.15 / 0.85))
+    assert loss(trained) < 0.97 * min(loss(start), loss(plain))
+    twice = toxicity.train(bag(known), bag([*rows[:2000], *rows[2000:]]), np.full(4000, 3.0), scale, 0.15)
+    assert np.allclose(trained, twice)
+
+
+def test_training_reads_no_held_out_label(spark):
+    filler = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
+    rng = np.random.default_rng(5)
+    rows = frame(spark, [" ".join([*rng.choice(filler, 20), *(["vile", "vilest"] if i % 3 == 0 else [])]) for i in range(400)])
+    held = [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(400)]
+    marks = [[(i, int((i % 4 > 0) != (flip and held[i])), int((i % 3 == 0) != (flip and held[i]))) for i in range(400)] for flip in (False, True)]
+    for score in (toxicity.score_documents, cotraining.score_documents):
+        a, b = (by_id(score(rows, spark.createDataFrame(m, "doc_id long, quality int, toxic int"))) for m in marks)
+        assert all(a[i].score == pytest.approx(b[i].score, abs=1e-12) and a[i].held_out == held[i] for i in range(400))
+
+
+def test_views_teach_each_other():
+    rng = np.random.default_rng(3)
+    y = (rng.random(6000) < 0.5).astype(int)
+    view = lambda width, low, high: [np.flatnonzero(rng.random(width) < np.where((np.arange(width) % 2 == k), high, low)).tolist() for k in y]
+    a, b = view(60, 0.05, 0.2), view(60, 0.05, 0.2)
+    known = cotraining.Labelled((bag(a[:80]), bag(b[:80])), (60, 60), y[:80].astype(float), np.arange(80) % 4)
+    start = known.first()
+    free = (bag(a[80:5000]), bag(b[80:5000]))
+    taught = cotraining.cotrain(known, start, free, np.ones(4920))
+    score = lambda k, w: auc(bag((a, b)[k][5000:]).dot(w[:-1]), y[5000:])
+    assert all(score(k, taught[k]) > score(k, start[k]) + 0.01 for k in (0, 1))
+    assert all(known.loss(k, taught[k]) <= known.loss(k, start[k]) for k in (0, 1))
+    same = cotraining.cotrain(known, start, free, np.ones(4920), 0)
+    assert all(np.array_equal(p, q) for p, q in zip(same, start, strict=True))
 
 
 def test_cotraining(spark, sf, docs, labels):
@@ -488,3 +552,43 @@ def test_null_columns(spark):
     rows = spark.createDataFrame([(1, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     lab = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
     assert toxicity.score_documents(rows, lab).count() == cotraining.score_documents(rows, lab).count() == mixing.mix_documents(rows).count() == 1
+
+
+def every(docs, labels):
+    return {
+        "op1": surrogates.anonymize(docs, KEY), "op2": cotraining.score_documents(docs, labels), "op3": toxicity.score_documents(docs, labels), "op4": packing.pack_documents(docs), "op5": decision_list.filter_documents(docs, labels),
+        "op6": simhash.near_dedup(docs), "op7": token_file.round_trip(docs), "op8": mixing.mix_documents(docs), "op9": substring_dedup.dedup(docs), "op10": exact_dedup.dedup(docs),
+    }
+
+
+def test_repeated_rows_and_null_ids(spark, labels):
+    rows = [(7, BASE, "en", "s"), (7, BASE, "en", "s"), (7, PASSAGE, "en", "s"), (8, BASE, None, None), (None, BASE, "en", "s"), (None, "mail ann@site.example.com", "en", "t"), (None, None, None, None), (9, "", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    for name, df in every(docs, labels).items():
+        got = df.collect()
+        one_a_document = name in ("op6", "op8", "op10")
+        assert len(got) == (4 if one_a_document else len(rows)), name
+        assert {r.doc_id for r in got} == {7, 8, 9, None}, name
+    got = by_id(exact_dedup.dedup(docs))
+    assert got[8].keep_id == min(i for i in (7, 8) if got[i].text_sha256 == got[8].text_sha256) or got[None].text_sha256 == got[8].text_sha256
+    assert all(r.n_removed == 60 for r in substring_dedup.dedup(docs).where("doc_id = 8").collect())
+
+
+def test_long_texts(spark, labels):
+    """Texts beyond every span that an operator works in: 2^16 shingles, 2^20 bytes of words, 2^16 bytes of a chunk, huge parts."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    body = " ".join(rng.choice(vocabulary, 260_000))
+    rows = [(1, body), (2, body.replace(" ", "\n", 3)), (3, body + " end"), (4, "y" * 1_200_000), (5, "short text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")}).repartition(5)
+    exact, close, cut = by_id(exact_dedup.dedup(docs)), by_id(simhash.near_dedup(docs)), by_id(substring_dedup.dedup(docs))
+    assert [exact[i].keep_id for i in range(1, 6)] == [1, 1, 3, 4, 5]
+    assert [close[i].component_id for i in range(1, 6)] == [1, 1, 1, 4, 5] and close[1].fingerprint == f"{brute_simhash(body):016x}"
+    assert [(cut[i].n_words, cut[i].n_removed) for i in range(1, 6)] == [(260_000, 260_000), (260_000, 260_000), (260_001, 260_000), (1, 0), (2, 0)]
+    counts = by_id(decision_list.filter_documents(docs, labels))
+    assert counts[4].word_chars == 1_200_000 and counts[1].n_words == 260_000
+    tokens = by_id(token_file.round_trip(docs))
+    assert all(sum(r.length for r in packing.pack_documents(docs).where(f"doc_id = {i}").collect()) > tokens[i].n_tokens // 4 for i in (1, 4))
+    assert sum(r.taken for r in mixing.mix_documents(docs).collect()) == sum(cut[i].n_words for i in range(1, 6))
+    for df in (surrogates.anonymize(docs, KEY), toxicity.score_documents(docs, labels), cotraining.score_documents(docs, labels)):
+        assert df.count() == 5

@@ -10,39 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoneforge.llm.common import configure, texts
-from zoneforge.llm.words import bounds, raw, word_hashes
+from zoneforge.llm.bags import SIZE, Bag, averaged, bagged, counted, features, frequencies, fresh, lists, narrowed, sliced
+from zoneforge.llm.common import configure, held_out, materialize, restored, texts
 
-#: Bits of a hashed feature; bounds of the training sample; least documents of the sample a feature is in.
-FEATURE_BITS, POSITIVES, UNLABELLED, LEAST_DOCS = 18, 3000, 6000, 4
-EPOCHS, RATE, DECAY = 80, 0.05, 1e-3
+#: Labelled toxic documents of the sample at most; rows of a slice of the unlabelled; least documents a feature is in.
+POSITIVES, SLICE, LEAST_DOCS = 3000, 8000, 4
+EPOCHS, RATE, DECAY, START = 80, 0.05, 1e-3, 0.3
 #: Standard errors by which a feature's log ratio must differ from 0.
 SIGNIFICANCE = 5.0
-#: Features of a word: itself and its first bytes, for stems that take many endings.
-PREFIXES = (4, 5)
-
-_NOT_LETTER = np.ones(256, bool)
-_NOT_LETTER[0x41:0x5B] = _NOT_LETTER[0x61:0x7B] = _NOT_LETTER[0x80:] = False
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[0x41:0x5B] += 32
-
-
-def held_out(doc_id="doc_id"):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
-
-
-def features(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, feature) pairs of a batch, in order; only ``wanted`` features if given."""
-    data, at = raw(column)
-    data = _FOLD[data]
-    first, end, doc = bounds(data, at, _NOT_LETTER)
-    found = []
-    for seed, stop in [(0, end)] + [(k, np.minimum(end, first + k)) for k in PREFIXES]:
-        feature = (word_hashes(data, first, stop, seed) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
-        keep = slice(None) if wanted is None else wanted[feature]
-        found.append(doc[keep] << FEATURE_BITS | feature[keep])
-    pairs = np.unique(np.concatenate(found))
-    return pairs >> FEATURE_BITS, pairs & ((1 << FEATURE_BITS) - 1)
 
 
 @dataclass(frozen=True)
@@ -53,105 +28,99 @@ class Model:
 
     def score(self, column: pa.Array) -> np.ndarray:
         doc, feature = features(column, self.weight != 0)
-        z = np.bincount(doc, self.weight[feature], len(column)) + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return _sigmoid(np.bincount(doc, self.weight[feature], len(column)) + self.bias)
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(positive, features) of at most about POSITIVES toxic documents and UNLABELLED documents of any kind.
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    Rows are chosen by a hash of doc_id, from those that aren't held out. Only
-    ids of the bounded set of positives are broadcast.
-    """
-    toxic = labels.where(~held_out()).where("toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    chosen = toxic.orderBy(F.xxhash64("doc_id", F.lit(3))).limit(POSITIVES).withColumn("positive", F.lit(True))
-    total = max(1, docs.count())
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(min(1.0, UNLABELLED / total) * (1 << 30))
-    rows = texts(docs).where(~held_out()).join(F.broadcast(chosen), "doc_id", "left")
-    rows = rows.withColumn("unlabelled", draw).where("positive or unlabelled")
-    rows = rows.select("text", F.coalesce("positive", F.lit(False)).alias("positive"), "unlabelled")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, feature = features(batch.column(0))
-            cut = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(feature.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), lists], ["positive", "unlabelled", "features"])
+def risk(zp: np.ndarray, zu: np.ndarray, n: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(risk, its negative part before it is held at 0, gradients by the scores of positives and of unlabelled rows).
 
-    return rows.mapInArrow(run, "positive boolean, unlabelled boolean, features array<int>")
+    risk = prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)), logistic loss; ``n``
+    says how many documents an unlabelled row stands for. When the second part is negative, its
+    gradient alone is followed, reversed, as the estimator asks.
+    """
+    share = n / n.sum()
+    plus, minus = prior * np.mean(np.logaddexp(0, -zp)), prior * np.mean(np.logaddexp(0, zp))
+    negative = float((share * np.logaddexp(0, zu)).sum() - minus)
+    gp_plus, gp_minus, gu = -_sigmoid(-zp) * prior / len(zp), -_sigmoid(zp) * prior / len(zp), share * _sigmoid(zu)
+    if negative >= 0:
+        return plus + negative, negative, gp_plus + gp_minus, gu
+    return plus, negative, -gp_minus, -gu
 
 
-def distinct(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """Feature lists without those much like an earlier one: copies would make chance words look telling.
+def train(positive: Bag, unlabelled: Bag, n: np.ndarray, scale: np.ndarray, prior: float, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights and bias (last) of a linear score under the non-negative risk, by Adam over all rows.
 
-    Two are alike if their four least features, by one of four orders, are the same.
+    Inputs are scaled by the log ratios of their document frequencies; from the same small weight for
+    each the risk moves them.
     """
-    factors = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64)
-    seen, out = set(), []
-    for x in rows:
-        if not len(x):
-            continue
-        orders = (x.astype(np.uint64)[None, :] + np.uint64(1)) * factors[:, None] % np.uint64(2**32 - 5)
-        least = np.sort(orders, axis=1)[:, :4]
-        keys = {(i, *map(int, row)) for i, row in enumerate(least)}
-        if not keys & seen:
-            out.append(x)
-        seen |= keys
-    return out
-
-
-def train(rows: list, prior: float) -> Model:
-    """Fit a linear score to positives and unlabelled rows under the non-negative risk.
-
-    risk = prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)), logistic loss.
-    When the second part is negative, its gradient is reversed, as the estimator asks.
-    Inputs are scaled by smoothed log ratios of the document frequencies.
-    """
-    size = 1 << FEATURE_BITS
-    groups = [[np.asarray(r["features"], np.int64) for r in rows if r[kind]] for kind in ("positive", "unlabelled")]
-    if not groups[0] or not groups[1]:
-        return Model(np.zeros(size, np.float32), float(np.log(prior / (1 - prior))), prior)
-    once = [distinct(g) or g for g in groups]
-    counts = [np.bincount(np.concatenate(g), minlength=size) for g in once]
-    kept = counts[0] + counts[1] >= LEAST_DOCS
-    rate = [(c + 0.5) / (len(g) + 1) for c, g in zip(counts, once, strict=True)]
-    ratio = np.log(rate[0] / rate[1])
-    error = np.sqrt(1 / (counts[0] + 0.5) + 1 / (counts[1] + 0.5))
-    scale = np.where(kept & (np.abs(ratio) > SIGNIFICANCE * error), ratio, 0.0)
-    used = scale != 0
-    parts = []
-    for g in groups:
-        lens = np.array([int(used[x].sum()) for x in g])
-        flat = np.concatenate(g)
-        parts.append((np.repeat(np.arange(len(g)), lens), flat[used[flat]], len(g)))
-    w, b = np.full(size, 0.3), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(size + 1), np.zeros(size + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    for epoch in range(EPOCHS):
-        zp, zu = (np.bincount(d, (w * scale)[f], k) + b for d, f, k in parts)
-        negative = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
-        gp_plus = -sigmoid(-zp) * prior / parts[0][2]
-        gp_minus, gu_minus = -sigmoid(zp) * prior / parts[0][2], sigmoid(zu) / parts[1][2]
-        sign = 1.0 if negative >= 0 else -1.0
-        gp, gu = (gp_plus + gp_minus, gu_minus) if sign > 0 else (-gp_minus, -gu_minus)
-        grad = np.zeros(size + 1)
-        for g, (d, f, _) in zip((gp, gu), parts, strict=True):
-            grad[:size] += np.bincount(f, g[d], size) * scale
-        grad[size] = gp.sum() + gu.sum()
-        grad[:size] += DECAY * (w - 0.3) * used / max(1, used.sum())
+    width = len(scale)
+    w, b = np.full(width, START), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(width + 1), np.zeros(width + 1)
+    for epoch in range(1, epochs + 1):
+        _, _, gp, gu = risk(positive.dot(w * scale) + b, unlabelled.dot(w * scale) + b, n, prior)
+        grad = np.append((positive.back(gp, width) + unlabelled.back(gu, width)) * scale + DECAY * (w - START) / max(1, width), gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = RATE * (m / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(v / (1 - 0.999 ** (epoch + 1))) + 1e-8)
-        w, b = w - step[:size] * used, b - step[size]
-    return Model((w * scale).astype(np.float32), float(b), prior)
+        step = RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
+        w, b = w - step[:width], b - step[width]
+    return np.append(w * scale, b)
+
+
+def telling(found: list[np.ndarray], docs: list[int]) -> np.ndarray:
+    """Log ratio of each feature's share of two groups of documents; 0 unless it is surely not 0."""
+    rate = [(c + 0.5) / (n + 1) for c, n in zip(found, docs, strict=True)]
+    ratio = np.log(rate[0] / rate[1])
+    error = np.sqrt(1 / (found[0] + 0.5) + 1 / (found[1] + 0.5))
+    return np.where((found[0] + found[1] >= LEAST_DOCS) & (np.abs(ratio) > SIGNIFICANCE * error), ratio, 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on the bounded sample; the class prior is the toxic share of labels that aren't held out."""
+    """Train on at most ``POSITIVES`` labelled toxic documents, by a hash of doc_id, and on every document as unlabelled.
+
+    Held-out rows are neither. Document frequencies are counted over all; of features only those that tell
+    the positives from the rest are kept, so documents become short lists, equal ones of a slice
+    one row. Every slice of about ``SLICE`` documents is trained on by a task of its own, with the same positives,
+    and the weights of slices are averaged. The class prior is the toxic share of labels.
+    """
     configure(docs.sparkSession)
-    share = labels.where(~held_out()).where("toxic is not null").agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    known = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held_out())
+    share = known.where("toxic is not null").agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     prior = min(0.9, max(1e-3, share or 0.0))
-    rows = sample(docs, labels).toArrow().to_pylist()
-    return train(sorted(rows, key=lambda r: (r["positive"], len(r["features"]), r["features"])), prior)
+    nothing = Model(np.zeros(SIZE, np.float32), float(np.log(prior / (1 - prior))), prior)
+    chosen = known.where("toxic = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(3))).limit(POSITIVES)
+    rows = texts(docs).where(~held_out())
+    sample = materialize(bagged(rows.join(F.broadcast(chosen), "doc_id", "left_semi")), "positives")
+    heads = sample.select("doc_id", "keys").toArrow().sort_by("doc_id")
+    if not len(heads):
+        return nothing
+    ids, found = heads["doc_id"].to_numpy(), np.array(heads["keys"].to_pylist(), np.int64).view(np.uint64).reshape(-1, 2)
+    apart = ids[fresh(found, set())].tolist()
+    count, n_docs, total = frequencies(rows)
+    scale = telling([counted(sample, apart), count], [len(apart), n_docs])
+    used = scale != 0
+    place = np.where(used, np.cumsum(used) - 1, -1)
+    positive = Bag.of(narrowed(sample, place).select("features").toArrow()["features"])
+    shared = docs.sparkSession.sparkContext.broadcast((used, place, positive, scale[used]))
+
+    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at, _, _ = shared.value
+        for batch in batches:
+            doc, feature = features(batch.column(1), own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(doc, at[feature], batch.num_rows)], ["doc_id", "features"])
+
+    def learn(table: pa.Table) -> pa.Table:
+        _, _, toxic, size = shared.value
+        got = train(toxic, Bag.of(table["features"]), table["n"].to_numpy(), size, prior)
+        return pa.table({"weights": pa.array([got], pa.list_(pa.float64()))})
+
+    slices = sliced(rows.mapInArrow(compact, "doc_id long, features array<int>"), total, SLICE, "features")
+    mean = averaged(slices.groupBy("slice").applyInArrow(learn, "weights array<double>"))
+    weight = np.zeros(SIZE, np.float32)
+    weight[used] = mean[:-1]
+    return Model(weight, float(mean[-1]), prior)
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
@@ -162,11 +131,8 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
         for batch in batches:
-            text = batch.column(place)
-            score = fitted.score(text.cast(pa.string()) if pa.types.is_null(text.type) else text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, column])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(batch.column(place)), pa.float64())], [*batch.schema.names, column])
 
     return docs.mapInArrow(run, schema)
 
@@ -177,7 +143,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A null or empty text scores by the prior alone. Labels of held-out rows
     (crc32(doc_id as text) mod 5 = 0) aren't read, and labels, lang, source and
     doc_id are no inputs. Without positives every document scores the prior. An empty
-    table gives no rows; extra columns are ignored; repeated rows are scored each.
+    table gives no rows; extra columns are ignored; repeated rows are scored each; a null doc_id isn't held out.
     """
-    out = scored(texts(docs), fit(docs, labels))
+    out = restored(scored(texts(docs), fit(docs, labels)))
     return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
