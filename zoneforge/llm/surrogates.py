@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -15,9 +16,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoneforge.llm.common import configure, materialize, sized_lookup, texts
+from zoneforge.llm.common import configure, materialize, restored, sized_lookup, texts
 
-KEY = b"zoneforge"
+#: Setting that has the key, as text. Whoever has the key can tell which surrogate a value gets, so there is none in the code.
+KEY_SETTING = "zoneforge.surrogates.key"
+
+#: Country codes of two digits; 1 and 7 have one, all others three; fixed values.
+TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: What secrets begin with that says whose they are; fixed values.
+MARKS = re.compile("AKIA|gh[pousr]_|sk-")
+#: Titles by gender; fixed values.
+FEMALE = frozenset("Mrs Ms Miss Frau Madame Mme Señora Sra Госпожа".split())
+#: Given names by script and gender; fixed values of our own choosing.
+GIVEN = {
+    ("latin", "f"): "Alma Berta Clara Dora Elsa Flora Greta Hilda Irma Julia Klara Lena Mara Nora Olga Paula Rita Sara Thea Vera".split(),
+    ("latin", "m"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jakob Karl Leo Martin Nils Oskar Paul Rolf Simon Tom Viktor".split(),
+    ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Жанна Зоя Инна Клара Лидия Мария Нина Ольга Полина Рита София".split(),
+    ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Захар Иван Кирилл Лев Максим Никита Олег Павел Роман Семён".split(),
+}
+#: Given names by gender that show a person without a title before a capital word; fixed values of our own choosing.
+KNOWN = {
+    "f": "Alice Anna Barbara Carol Charlotte Chloe Claire Diana Elena Elizabeth Emily Emma Eva Hannah Helen Jane Jennifer Jessica Julia Karen Laura Linda Lisa Maria Marie Mary Michelle Nancy Olivia Patricia Rachel Rebecca Sarah Sophie Susan".split(),
+    "m": "Adam Alexander Andrew Anthony Antonio Benjamin Charles Christopher Daniel David Edward Eric Francisco Frank George Hans Henry Jack James Jason John Jonathan José Joseph Juan Kevin Klaus Lucas Martin Matthew Michael Nicholas Patrick Paul Peter Pierre Richard Robert Ryan Samuel Stephen Steven Thomas Timothy William".split(),
+}
 
 #: Kinds and patterns, in order of precedence.
 PATTERNS = (
@@ -28,7 +49,11 @@ PATTERNS = (
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"),
     ("phone", r"(?<![\w])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,11}(?!\w)|(?<![\w])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
+    ("ipv6", r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:.])"),
+    ("birth", r"(?i:\b(?:dob|date of birth|birth ?date|born(?: on)?|geboren(?: am)?|née? le)\s*[:=]?\s*)(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?!\w)"),
+    ("address", r"\b\d{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square)\b"),
     ("person", r"\b(?P<title>Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? (?P<name>[^\W\d_a-zа-я]\w+(?:[ -][^\W\d_a-zа-я]\w+){0,2})"),
+    ("named", rf"\b(?P<first>{'|'.join(sorted({*' '.join(map(' '.join, KNOWN.values())).split()}))}) (?P<last>[A-Z][a-z]+(?:-[A-Z][a-z]+)?)\b"),
 )
 _COMPILED = {kind: re.compile(body) for kind, body in PATTERNS}
 _DIGIT = re.compile(r"\d")
@@ -36,18 +61,11 @@ _DIGIT = re.compile(r"\d")
 _CUES = {
     "email": re.compile("@"),
     "secret": re.compile(r"(?i:token|secret|api_?key|passw)|AKIA|gh[pousr]_|sk-"),
+    "ipv6": re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f:]"),
+    "named": re.compile("|".join(sorted({x[:3] for names in KNOWN.values() for x in names}))),
     "person": re.compile("M(?:r|s|iss|onsieur|adame|me)|Herr|Frau|Señor|Sr|Господин|Госпожа"),
 }
 
-#: Titles by gender; fixed values.
-FEMALE = frozenset("Mrs Ms Miss Frau Madame Mme Señora Sra Госпожа".split())
-#: Given names by script and gender; fixed values of our own choosing.
-GIVEN = {
-    ("latin", "f"): "Alma Berta Clara Dora Elsa Flora Greta Hilda Irma Julia Klara Lena Mara Nora Olga Paula Rita Sara Thea Vera".split(),
-    ("latin", "m"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jakob Karl Leo Martin Nils Oskar Paul Rolf Simon Tom Viktor".split(),
-    ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Жанна Зоя Инна Клара Лидия Мария Нина Ольга Полина Рита София".split(),
-    ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Захар Иван Кирилл Лев Максим Никита Олег Павел Роман Семён".split(),
-}
 #: Syllables of family names by script; fixed values of our own choosing.
 SYLLABLES = {"latin": "ba be bo da de do fa fe ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va ve vo".split(), "cyrillic": "ба бе бо да де до ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та те то ва ве во".split()}
 
@@ -123,16 +141,55 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def mod97(iban: str) -> int:
+    """Remainder that is 1 for a right IBAN."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
 def canonical(kind: str, text: str) -> str:
     """What mentions of one entity share: letters folded, digits without their spacing; a name part carries gender and script."""
     if kind in ("phone", "card", "ssn"):
-        return re.sub(r"\D", "", text)
+        return ("+" if text[0] == "+" else "") + re.sub(r"\D", "", text)
     if kind == "iban":
         return text.replace(" ", "")
-    return text if kind == "secret" else text.casefold()
+    return text if kind in ("secret", "birth") else text.casefold()
+
+
+def _phone(value: str, s: Stream, attempt: int) -> str:
+    """The country code, if there is one, stays."""
+    if value[0] != "+":
+        return _drawn(value, s, attempt)
+    code = "".join(str(unicodedata.decimal(c)) for c in value[1:4])
+    n = 1 + (1 if code[0] in "17" else 2 if code[:2] in TWO_DIGITS else 3)
+    return value[:n] + _drawn(value[n:], s, attempt)
+
+
+def _iban(value: str, s: Stream, attempt: int) -> str:
+    """Country stays; check digits are right if the value's are."""
+    rest = _drawn(value[4:], s, attempt)
+    plain = value.isascii() and mod97(value) == 1
+    return value[:2] + (f"{98 - mod97(value[:2] + '00' + rest):02d}" if plain else _drawn(value[2:4], s, 0)) + rest
+
+
+def _date(value: str, s: Stream, attempt: int) -> str:
+    """A date in the value's form: a year near its own (any after some attempts), day and month that do in either order."""
+    parts = re.split(r"\D", value)
+    year = max(parts, key=len)
+    near = int(year) - 5 + s.below(11) if attempt < PATIENCE else 1 + s.below(9999)
+    out = [f"{max(1, near):04d}" if x is year else str(1 + s.below(12)).zfill(len(x)) for x in parts]
+    mark = next(c for c in value if not c.isdecimal())
+    return mark.join(out)
+
 
+def _address(value: str, s: Stream, attempt: int) -> str:
+    """Another number and invented names of as many words; what kind of street it is stays."""
+    number, *words, last = value.split(" ")
+    syllables = SYLLABLES["latin"]
+    invented = ["".join(syllables[s.below(len(syllables))] for _ in range(3 + attempt)) for _ in words]
+    return " ".join([str(1 + s.below(10 ** min(5, len(number)) - 1)), *invented, last])
 
-def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
+
+def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
     """The canonical surrogate of a canonical value: same kind, length of digits, script and gender.
 
     From the attempt ``PATIENCE`` on surrogates are longer with each attempt, or a secret is all
@@ -150,10 +207,10 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
         head = _drawn(value[:-1], s, attempt)
         last = luhn(head) if luhn(value[:-1]) == int(value[-1]) else s.below(10)
         return head + chr(ord(value[-1]) - int(value[-1]) + last)
-    if kind == "phone":
-        return (value[:1] + _drawn(value[1:], s, attempt)) if len(value) > 10 else _drawn(value, s, attempt)
-    if kind == "iban":
-        return value[:2] + _drawn(value[2:], s, attempt)
+    if kind in ("phone", "iban", "birth", "address"):
+        return {"phone": _phone, "iban": _iban, "birth": _date, "address": _address}[kind](value, s, attempt)
+    if kind == "ipv6":
+        return re.sub("[0-9a-f]", lambda m: "0123456789abcdef"[s.below(16)], value)
     if kind.startswith(("given:other", "family:other")):
         return _drawn(value, s, attempt)
     if kind.startswith("given"):
@@ -165,6 +222,8 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
         return "".join(syllables[s.below(len(syllables))] for _ in range(3 + attempt))
     if kind == "secret" and re.fullmatch("[0-9a-f]+", value):
         return "".join("0123456789abcdef"[s.below(16)] for _ in value)
+    if kind == "secret" and (mark := MARKS.match(value)):
+        return mark[0] + _drawn(value[mark.end() :], s, attempt)
     if kind == "secret":
         return _drawn(value, s, 0) if attempt < PATIENCE else _shift("a" * len(value), s)
     return _drawn(value, s, attempt)
@@ -172,43 +231,69 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
 
 def _like(pattern: str, digits: str) -> str:
     """The digits (or letters) in the spacing of a mention; those that it has no room for follow."""
-    rest = iter(digits)
+    rest = iter(digits.removeprefix("+"))
     return "".join(next(rest, "") if c.isalnum() else c for c in pattern) + "".join(rest)
 
 
-def _name_parts(title: str, name: str) -> list[tuple[str, str]]:
+def _name_parts(gender: str, name: str) -> list[tuple[str, str]]:
     parts = name.split(" ")
     script = "cyrillic" if re.search("[а-яА-ЯёЁ]", name) else "latin" if any(c.isalpha() and _script(c)[0] == "LATIN" for c in name) else "other"
-    gender = "f" if title in FEMALE else "m"
     kinds = [f"given:{script}:{gender}"] * (len(parts) - 1) + [f"family:{script}"]
     return list(zip(kinds, parts, strict=True))
 
 
+def _valid(kind: str, m: re.Match) -> bool:
+    """What a pattern can't say: numbers of an address, check digits of a card, a name's capital, a birth date's fields."""
+    if kind == "ip":
+        return all(int(x) <= 255 for x in m[0].split("."))
+    if kind == "card":
+        digits = re.sub(r"\D", "", m[0])
+        return luhn(digits[:-1]) == int(digits[-1])
+    return kind != "person" or not m["name"][0].islower()
+
+
+def _search(kind: str, text: str, at: int) -> re.Match | None:
+    """The first match from ``at`` on that is valid; what an invalid one covers is looked at again."""
+    while m := _COMPILED[kind].search(text, at):
+        if _valid(kind, m):
+            return m
+        at = m.start() + 1
+    return None
+
+
 def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, mention) of each entity, left to right; a person's name gives one for each part.
 
     Each kind's pattern runs only over texts that hold its cue; of matches that
-    overlap the first stands, of those that begin together the kind listed first.
+    overlap the first stands, of those that begin together the kind listed first, and the others are looked for behind it.
     """
-    found, digits = [], _DIGIT.search(text)
-    for order, (kind, pattern) in enumerate(_COMPILED.items()):
+    digits, waiting = _DIGIT.search(text), []
+    for order, kind in enumerate(_COMPILED):
         cue = _CUES.get(kind)
-        if cue.search(text) if cue else digits:
-            found += [(m.start(), order, kind, m) for m in pattern.finditer(text)]
-    last = 0
-    for start, _, kind, m in sorted(found, key=lambda x: x[:2]):
-        if start < last or kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
-            continue
-        last = m.end()
-        if kind == "person":
-            at = m.start("name")
-            for part_kind, part in _name_parts(m["title"], m["name"]):
+        if (cue.search(text) if cue else digits) and (m := _search(kind, text, 0)):
+            waiting.append((m.start(), order, kind, m))
+    while waiting:
+        _, _, kind, m = min(waiting, key=lambda x: x[:2])
+        if kind in ("person", "named"):
+            if kind == "person":
+                at, parts = m.start("name"), m["name"].split(" ")
+                n = next((i for i, part in enumerate(parts) if part[0].islower()), len(parts))
+                name, gender = " ".join(parts[:n]), "f" if m["title"] in FEMALE else "m"
+            else:
+                at, name, gender = m.start(), m[0], "f" if m["first"] in KNOWN["f"] else "m"
+            for part_kind, part in _name_parts(gender, name):
                 yield at, at + len(part), part_kind, part
                 at += len(part) + 1
-        elif kind == "secret" and m["secret"] is not None:
-            yield m.start("secret"), m.end("secret"), kind, m["secret"]
+            end = at - 1
         else:
-            yield m.start(), m.end(), kind, m[0]
+            group = "secret" if kind == "secret" and m["secret"] is not None else "date" if kind == "birth" else 0
+            yield m.start(group), m.end(group), kind, m[group]
+            end = m.end()
+        again = [x for x in waiting if x[0] < end]
+        waiting = [x for x in waiting if x[0] >= end]
+        for _, order, other, _ in again:
+            if found := _search(other, text, end):
+                waiting.append((found.start(), order, other, found))
 
 
 def render(kind: str, mention: str, value: str) -> str:
@@ -217,20 +302,25 @@ def render(kind: str, mention: str, value: str) -> str:
         return _like(mention, value)
     if kind.startswith(("given", "family")):
         return value.upper() if mention.isupper() and len(mention) > 1 else "-".join(x.capitalize() for x in value.split("-"))
+    if kind == "address":
+        return " ".join(x if x.isdecimal() else x.capitalize() for x in value.split(" "))
+    if kind == "ipv6":
+        return value.upper() if mention.isupper() else value
     if kind == "email" and mention != mention.casefold():
         return value.upper() if mention.isupper() else "".join(a.upper() if b.isupper() else a for a, b in zip(value, mention.ljust(len(value)), strict=False))
     return value
 
 
-def replaced(text: str, mapping: dict[tuple[str, str], str]) -> str:
+def replaced(text: str, spans: list[dict], mapping: dict[tuple[str, str], str]) -> str:
+    """``text`` with each span (start, end, kind, value) in the form of its mention."""
     out, last = [], 0
-    for start, end, kind, mention in mentions(text):
-        out += [text[last:start], render(kind, mention, mapping[kind, canonical(kind, mention)])]
-        last = end
+    for x in spans:
+        out += [text[last : x["start"]], render(x["kind"], text[x["start"] : x["end"]], mapping[x["kind"], x["value"]])]
+        last = x["end"]
     return "".join([*out, text[last:]])
 
 
-def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
+def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, surrogate) for distinct (kind, value): no two of a kind share a
     surrogate, and none is a value that the corpus has.
 
@@ -260,15 +350,18 @@ def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
             return done
 
 
-def anonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def anonymize(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """One row per document: doc_id, n_entities, text with every detected entity replaced.
 
     The same entity has the same surrogate in every document and form (spacing, capitals),
-    different ones have different ones. Documents without entities pass as they are and are
-    never shuffled; those with some travel once. A null text stays null; an empty
-    one empty. An empty table gives no rows; extra columns are ignored; repeated rows are each kept.
+    different ones have different ones. Draws hang on ``key``, or the setting KEY_SETTING; without
+    either a key is drawn for this call and kept nowhere, so that nobody can draw again. Documents without
+    entities pass as they are and are never shuffled; those with some travel once. A null text stays null; an empty
+    one empty. An empty table gives no rows; extra columns are ignored; repeated rows are each kept, so are those of a null doc_id.
     """
-    configure(docs.sparkSession)
+    spark = configure(docs.sparkSession)
+    setting = spark.conf.get(KEY_SETTING, None)
+    key = key or (setting.encode() if setting else secrets.token_bytes(32))
     rows = texts(docs)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,33 +370,32 @@ def anonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             yield batch.filter(keep)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
         for batch in batches:
-            ids, bodies, lists, counts = [], [], [], []
+            ids, bodies, spans = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = list(mentions(text)) if text else []
+                own = [{"start": a, "end": b, "kind": k, "value": canonical(k, m)} for a, b, k, m in mentions(text)] if text else []
                 if own:
                     ids.append(doc)
                     bodies.append(text)
-                    counts.append(len(own))
-                    lists.append([{"kind": k, "value": v} for k, v in sorted({(k, canonical(k, m)) for _, _, k, m in own})])
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.string()), pa.array(counts, pa.int64()), pa.array(lists, kind)], ["doc_id", "text", "n_entities", "entities"])
+                    spans.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.string()), pa.array(spans, kind)], ["doc_id", "text", "spans"])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [replaced(t, {(x["kind"], x["value"]): x["surrogate"] for x in own}) for t, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["doc_id", "n_entities", "text"])
+            out = []
+            for text, spans, own in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                out.append(replaced(text, spans, {(x["kind"], x["value"]): x["surrogate"] for x in own}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in batch.column(2).to_pylist()], pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_entities", "text"])
 
-    schema = "doc_id long, text string, n_entities long, entities array<struct<kind:string,value:string>>"
-    own = materialize(rows.mapInArrow(found, schema), "mentions")
-    each = own.select("doc_id", F.explode("entities").alias("e")).select("doc_id", F.struct("e.kind", "e.value").alias("entity"))
+    own = materialize(rows.mapInArrow(found, "doc_id long, text string, spans array<struct<start:int,end:int,kind:string,value:string>>"), "mentions")
+    each = own.select("doc_id", F.explode("spans").alias("e")).select("doc_id", F.struct("e.kind", "e.value").alias("entity"))
     each = materialize(each.distinct(), "each")
     sizes = materialize(each.groupBy("entity").agg(F.count(F.lit(1)).alias("n")), "entities")
     mapping = assign(sizes.select("entity.kind", "entity.value"), key).select(F.struct("kind", "value").alias("entity"), "surrogate")
     known = materialize(sizes.join(mapping, "entity"), "mapping")
     per_doc = sized_lookup(each, known, "entity", "n", max(1, each.count()))
     per_doc = per_doc.groupBy("doc_id").agg(F.collect_list(F.struct("entity.kind", "entity.value", "surrogate")).alias("surrogates"))
-    changed = own.select("doc_id", "n_entities", "text").join(per_doc, "doc_id").select("doc_id", "n_entities", "text", "surrogates")
-    changed = changed.mapInArrow(put, "doc_id long, n_entities long, text string")
+    changed = own.join(per_doc, "doc_id").select("doc_id", "text", "spans", "surrogates").mapInArrow(put, "doc_id long, n_entities long, text string")
     same = rows.mapInArrow(clean, "doc_id long, text string").select("doc_id", F.lit(0).cast("long").alias("n_entities"), "text")
-    return changed.unionByName(same)
+    return restored(changed.unionByName(same))
