@@ -144,16 +144,32 @@ def test_bit_sliced_distances(radius):
     assert got == {(i, j) for i in range(130) for j in range(130) if bin(int(values[i] ^ values[j])).count("1") <= radius}
 
 
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_masks_leave_no_pair_out(radius):
+    """Whatever bits differ, some key of a bucket and some key that cuts it further are free of them."""
+    whole = (1 << 64) - 1
+    for bits in itertools.chain(itertools.combinations(range(0, 64, 3), radius), [tuple(range(k, k + radius)) for k in range(60)]):
+        far = sum(1 << b for b in bits)
+        free = [own for own in simhash.masks(radius) if not own[0] & whole & far]
+        assert free and all(any(not m & whole & far for m in own[1:]) for own in free)
+    assert all(m & own[0] == own[0] for own in simhash.masks(radius) for m in own[1:])
+
+
 def test_simhash_links_join_all(spark):
     base = int(RNG.integers(1 << 40))
     chain = [base]
     for k in range(40):
         chain.append(chain[-1] ^ (3 << (k % 60)))
-    rows = spark.createDataFrame([(v,) for v in {*chain, *range(10**12, 10**12 + 40)}], "fp long")
+    values = sorted({*chain, *range(10**12, 10**12 + 40)})
+    rows = spark.createDataFrame([(v,) for v in values], "fp long")
+    near = [(a, b) for a, b in itertools.combinations(values, 2) if bin(a ^ b).count("1") <= 2]
     for block in (2048, 8):
-        got = simhash.links(rows, block=block).collect()
-        ends = {v for r in got for v in (r.src, r.dst)}
-        assert set(chain) <= ends and all(bin((r.src ^ r.dst) & (1 << 64) - 1).count("1") <= 2 for r in got)
+        got = [(r.src, r.dst) for r in simhash.links(rows, block=block).collect()]
+        root = {v: v for v in values}
+        for _ in values:
+            for a, b in got:
+                root[a] = root[b] = min(root[a], root[b])
+        assert all(root[a] == root[b] for a, b in near) and all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 2 for a, b in got)
 
 
 @pytest.mark.parametrize("window,held,share", [(4, 2_000_000, 4 << 20), (35, 2_000_000, 4 << 20), (4, 50, 2000), (35, 50, 2000)])

@@ -122,26 +122,49 @@ def keys(radius: int) -> list[tuple[int, ...]]:
     return list(combinations(range(radius + 2), 2))
 
 
+def masks(radius: int) -> list[list[int]]:
+    """By bucket key its mask, and the masks that cut a bucket further: the rest of the bits in
+    radius + 2 parts in turn, of which two at least agree, so each mask has two more parts."""
+    parts = radius + 2
+
+    def cuts(bits: list[int]) -> list[list[int]]:
+        edges = [round(i * len(bits) / parts) for i in range(parts + 1)]
+        own = [bits[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return [own[i] + own[j] for i, j in keys(radius)]
+
+    signed = lambda bits: (m := sum(1 << (BITS - 1 - b) for b in bits)) - (1 << 64 if m >= 1 << 63 else 0)
+    out = []
+    for own in cuts(list(range(BITS))):
+        rest = [b for b in range(BITS) if b not in own]
+        out.append([signed(own), *(signed(own + more) for more in cuts(rest))])
+    return out
+
+
 def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(src, dst) between distinct fingerprints, joining all that differ in up to ``radius`` bits.
 
     Bits are cut into radius + 2 parts; two within the radius agree on two parts
-    at least. So each pair of parts gives a bucket key; a bucket is compared bit-sliced
-    in blocks, all pairs of its blocks by tasks of their own, so a bucket of
+    at least. So each pair of parts gives a bucket key. A bucket of more than ``block`` is cut further by
+    pairs of parts of its other bits, which costs each print a few rows, not one for every block. What is still
+    larger is compared in blocks, all pairs of its blocks by tasks of their own, so a bucket of
     any size stays whole and no task holds more than two blocks.
     """
-    parts = radius + 2
-    edges = [round(i * BITS / parts) for i in range(parts + 1)]
-    masks = [sum(1 << (BITS - 1 - b) for p in pair for b in range(edges[p], edges[p + 1])) for pair in keys(radius)]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    own = F.array(*[F.struct(F.lit(i).alias("no"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(signed)])
-    rows = prints.select("fp", F.explode(own).alias("k")).select("fp", "k.no", "k.part")
+    table = masks(radius)
+    part = lambda no, m: F.struct(F.lit(no).alias("no"), F.col("fp").bitwiseAND(F.lit(m)).alias("part"))
+    rows = prints.select("fp", F.explode(F.array(*[part(i, own[0]) for i, own in enumerate(table)])).alias("k")).select("fp", "k.no", "k.part")
     sizes = rows.groupBy("no", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = materialize(rows.join(sizes, ["no", "part"]), "bucketed")
+    few = rows.where(F.col("n") <= block).select("no", "part", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("mine"), "fp")
+    width = len(table[0])
+    more = F.element_at(F.array(*[F.array(*[part((i + 1) * width + j, m) for j, m in enumerate(own[1:])]) for i, own in enumerate(table)]), F.col("no") + 1)
+    many = rows.where(F.col("n") > block).select("fp", F.explode(more).alias("k")).select("fp", "k.no", "k.part")
+    sizes = many.groupBy("no", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
-    rows = rows.join(sizes.select("no", "part", blocks.alias("blocks")), ["no", "part"])
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("no", "part", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "fp")
+    many = many.join(sizes.select("no", "part", blocks.alias("blocks")), ["no", "part"])
+    many = many.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.select("no", "part", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "fp")
+    rows = few.unionByName(many)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         fp, mine, a, b = frame["fp"].to_numpy().view(np.uint64), frame["mine"].to_numpy(), frame["a"].iat[0], frame["b"].iat[0]
