@@ -16,7 +16,7 @@ from zoneforge.llm.words import BASE, OTHER_BASE, bounds, mix, raw, windows, wor
 #: Words of a window.
 WINDOW = 35
 #: Bytes of text whose windows a task sends at once; bytes of text to a task of the exchange, for a corpus of up to 1 GB; keys that a bucket sorts at once.
-FLUSH, SHARE, SORTED = 8 << 20, 4 << 20, 2_000_000
+FLUSH, SHARE, SORTED = 2 << 20, 4 << 20, 1_000_000
 SECOND_BASE = 0x94D049BB133111EB
 _ROWS = "bucket int, docs binary, counts binary, keys binary, more binary, places binary, flags binary"
 _NAMES = ["bucket", "docs", "counts", "keys", "more", "places", "flags"]
