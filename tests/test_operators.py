@@ -98,6 +98,69 @@ def test_allocate_splits(spark, sizes, targets, expected):
     assert drawn.keys() == expected.keys() and set(drawn.values()) <= set(targets)
 
 
+def folded(sizes, targets):
+    """The fold one group after another."""
+    names, total = list(targets), sum(sizes.values())
+    goal, have, out = [total * w / sum(targets.values()) for w in targets.values()], [0] * len(targets), {}
+    for group, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        room = [g - h - n for g, h in zip(goal, have, strict=True)]
+        if all(r <= 0 for r in room):
+            room = [g - h for g, h in zip(goal, have, strict=True)]
+        k = max(range(len(names)), key=lambda i: (room[i], -i))
+        have[k] += n
+        out[group] = names[k]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_allocation_by_histogram_is_the_fold(spark, seed):
+    rng = np.random.default_rng(seed)
+    n = [0, 1, 7, 60, 400, 3000][seed]
+    sizes = {k: int(v) for k, v in enumerate(rng.geometric(0.3, n) if seed % 2 else rng.integers(0, 40, n))}
+    targets = [{"train": 8.0, "val": 1.0, "test": 1.0}, {"a": 1.0, "b": 1.0}, {"a": 0.5, "b": 0.25, "c": 0.25, "d": 0.0}][seed % 3]
+    groups = spark.createDataFrame(list(sizes.items()), "group_id long, zones long").repartition(4)
+    assert {x.group_id: x.split for x in splits.allocate_splits(groups, targets, "argmax").collect()} == folded(sizes, targets)
+    drawn = [{x.group_id: x.split for x in splits.allocate_splits(groups.repartition(k), targets, "weighted", 5).collect()} for k in (1, 3)]
+    assert drawn[0] == drawn[1] and drawn[0].keys() == sizes.keys()
+    if n > 1000:
+        total = sum(sizes.values())
+        for k, w in targets.items():
+            share = sum(v for g, v in sizes.items() if drawn[0][g] == k) / total
+            assert share == pytest.approx(w / sum(targets.values()), abs=0.02)
+
+
+def test_fractions_and_dense_index(spark):
+    rows = spark.createDataFrame([(k, float(k)) for k in range(1, 5)], "k long, v double")
+    assert {r.k: r.f for r in tables.fraction_of_total(rows, "v", "f").collect()} == {1: 0.1, 2: 0.2, 3: 0.3, 4: 0.4}
+    assert tables.fraction_of_total(rows.where("k < 0"), "v", "f").count() == 0
+    many = spark.range(1000).selectExpr("id", "cast(hash(id) % 7 as int) AS g").repartition(9)
+    got = sorted(tables.dense_index(many, ["g", "id"], "at", 5).collect(), key=lambda r: (r.g, r.id))
+    assert [r["at"] for r in got] == list(range(5, 1005))
+    assert tables.dense_index(many.where("id < 0"), ["g", "id"]).count() == 0
+
+
+def test_vectors_of_no_length_are_an_error(spark):
+    rows = spark.sql("SELECT named_struct('x', 0D, 'y', 0D, 'z', 0D) AS p, named_struct('x', 1D, 'y', 0D, 'z', 0D) AS q")
+    for a, b in (("p", "q"), ("q", "p")):
+        with pytest.raises(Exception, match="no length"):
+            f.align_vectors(rows, a, b).collect()
+
+
+def test_mmcif_with_missing_values_and_gzip(spark, tmp_path):
+    import gzip
+
+    head = "loop_\n" + "".join(f"_atom_site.{c}\n" for c in ("id", "type_symbol", "label_atom_id", "label_comp_id", "label_asym_id", "label_entity_id", "label_seq_id", "Cartn_x", "Cartn_y", "Cartn_z"))
+    body = "data_1ABC\n" + head + "1 C CA ALA A 1 5 1.5 2.5 3.5\n2 N N ALA A 1 . ? . 3.5\n#\n_entity.id 1\n_entity.type polymer\n"
+    (tmp_path / "a.cif").write_text(body)
+    with gzip.open(tmp_path / "b.cif.gz", "wt") as out:
+        out.write(body.replace("1ABC", "2XYZ"))
+    found = readers.ingest_mmcif(spark, f"file://{tmp_path}/*")
+    atoms = sorted(found["asym_atoms"].collect(), key=lambda r: (r.pdb_id, r.atom_id))
+    assert [(r.pdb_id, r.atom_id, r.seq_id, r.x, r.y, r.z, r.occupancy, r.model_id) for r in atoms[:2]] == [("1abc", 1, 5, 1.5, 2.5, 3.5, 1.0, "1"), ("1abc", 2, None, None, None, 3.5, 1.0, "1")]
+    assert len(atoms) == 4 and atoms[3].pdb_id == "2xyz" and [r.type for r in found["entities"].collect()] == ["polymer"] * 2
+    assert found["oper_map"].count() == found["polymers"].count() == 0
+
+
 def test_direction_sets_are_unit_vectors():
     sizes = {"tetrahedron": 4, "cube": 6, "octahedron": 8, "dodecahedron": 12, "icosahedron": 20, "octahedron+cube": 14, "icosahedron+dodecahedron": 32, "icosphere2": 42, "icosphere3": 92}
     for name, n in sizes.items():

@@ -82,7 +82,7 @@ def make_samples(spark, sf):
     return drawn.select("i", "zone_id", *[F.round(F.col("origin")[c], 6).alias(c) for c in "xyz"])
 
 
-_TRAIN = ", seed AS (SELECT max(random_seed) + 1 AS s FROM fx_curriculum), m AS (SELECT count(*) * 2 // 64 * 64 AS total FROM val), drawn AS (SELECT zone_id, s + j AS i FROM range(200000) r(j), seed, m, val WHERE j < total AND k = (s + j) % n)"
+_TRAIN = ", seed AS (SELECT max(random_seed) + 1 AS s FROM fx_curriculum), m AS (SELECT count(*) * 2 // 64 * 64 AS total FROM val), drawn AS (SELECT zone_id, s + j AS i FROM m, range(m.total) r(j), seed, val WHERE k = (s + j) % n)"
 
 
 @query(_VAL.format(split="train").replace("WITH RECURSIVE ", f"WITH RECURSIVE fx_curriculum AS ({fx.SQL['fx_curriculum']}), ") + _TRAIN + f" SELECT zone_id, i AS random_seed, round({u(3)}, 6) AS difficulty FROM drawn UNION ALL SELECT zone_id, random_seed, round(difficulty, 6) FROM fx_curriculum")

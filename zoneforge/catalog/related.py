@@ -11,7 +11,6 @@ from zoneforge.functions.storage import materialize, new_path
 from zoneforge.operators import sampling, splits
 from zoneforge.plans import jobs
 from zoneforge.sources.readers import parse_annotation_responses
-from zoneforge.sources.store import append_scores
 from zoneforge.streaming import jobs as streams
 
 TARGETS = {"train": 8.0, "val": 1.0, "test": 1.0}
@@ -47,15 +46,14 @@ def group_sizes(spark, sf):
     return splits.group_sizes(_groups(spark, sf), fx.struct_zones(spark, sf))
 
 
-#: An ordered fold over the groups in SQL: a row a group, three running sums.
-FOLD = """, o AS (SELECT group_id, zones, row_number() OVER (ORDER BY zones DESC, group_id) AS rn FROM gs), tot AS (SELECT sum(zones) * 0.8 AS g0, sum(zones) * 0.1 AS g1, sum(zones) * 0.1 AS g2 FROM gs),
-fold AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS group_id, CAST(NULL AS VARCHAR) AS split, CAST(0 AS DOUBLE) AS h0, CAST(0 AS DOUBLE) AS h1, CAST(0 AS DOUBLE) AS h2
- UNION ALL SELECT rn, group_id, CASE k WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END, h0 + CASE k WHEN 0 THEN zones ELSE 0 END, h1 + CASE k WHEN 1 THEN zones ELSE 0 END, h2 + CASE k WHEN 2 THEN zones ELSE 0 END
- FROM (SELECT *, CASE WHEN r0 >= r1 AND r0 >= r2 THEN 0 WHEN r1 >= r2 THEN 1 ELSE 2 END AS k FROM (SELECT o.rn, o.group_id, o.zones, h0, h1, h2,
-  CASE WHEN g0-h0-o.zones <= 0 AND g1-h1-o.zones <= 0 AND g2-h2-o.zones <= 0 THEN g0-h0 ELSE g0-h0-o.zones END AS r0,
-  CASE WHEN g0-h0-o.zones <= 0 AND g1-h1-o.zones <= 0 AND g2-h2-o.zones <= 0 THEN g1-h1 ELSE g1-h1-o.zones END AS r1,
-  CASE WHEN g0-h0-o.zones <= 0 AND g1-h1-o.zones <= 0 AND g2-h2-o.zones <= 0 THEN g2-h2 ELSE g2-h2-o.zones END AS r2 FROM fold JOIN o ON o.rn = fold.rn + 1, tot))),
-alloc AS (SELECT group_id, split FROM fold WHERE rn > 0), given AS (SELECT pdb_id, split FROM grp JOIN alloc USING (group_id))"""
+#: The fold in SQL: a row a size with what splits have after it. Of a size's groups the r-th goes to the split that has the r-th greatest room.
+_ROOMS = "SELECT {own}, k, row_number() OVER (PARTITION BY s.zones ORDER BY CASE k WHEN 0 THEN g0 - (h0 + s.zones * j) WHEN 1 THEN g1 - (h1 + s.zones * j) ELSE g2 - (h2 + s.zones * j) END DESC, k) AS rn FROM st JOIN sz s ON s.step = st.step + 1, tot, (VALUES (0), (1), (2)) v(k), range(s.c) r(j)"
+FOLD = f""", tot AS (SELECT sum(zones) * 0.8 AS g0, sum(zones) * 0.1 AS g1, sum(zones) * 0.1 AS g2 FROM gs), sz AS (SELECT zones, count(*) AS c, row_number() OVER (ORDER BY zones DESC) AS step FROM gs GROUP BY zones),
+st AS (SELECT CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS h0, CAST(0 AS BIGINT) AS h1, CAST(0 AS BIGINT) AS h2 UNION ALL
+ SELECT step, CAST(any_value(h0) + any_value(zones) * count(*) FILTER (k = 0) AS BIGINT), CAST(any_value(h1) + any_value(zones) * count(*) FILTER (k = 1) AS BIGINT), CAST(any_value(h2) + any_value(zones) * count(*) FILTER (k = 2) AS BIGINT)
+ FROM ({_ROOMS.format(own="s.step, s.zones, s.c, h0, h1, h2")}) WHERE rn <= c GROUP BY step),
+o AS (SELECT group_id, zones, row_number() OVER (PARTITION BY zones ORDER BY group_id) AS rn FROM gs),
+alloc AS (SELECT group_id, CASE k WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM o JOIN ({_ROOMS.format(own="s.zones")}) USING (zones, rn)), given AS (SELECT pdb_id, split FROM grp JOIN alloc USING (group_id))"""
 SUMMARY = """, got AS (SELECT split, count(*) AS structures, CAST(sum(zones) AS BIGINT) AS zones FROM given JOIN fx_struct_zones USING (pdb_id) GROUP BY 1)
 SELECT t.split, coalesce(structures, 0) AS structures, coalesce(zones, 0) AS zones, target, round(coalesce(structures, 0) / sum(structures) OVER (), 6) AS struct_fraction, round(coalesce(zones, 0) / sum(zones) OVER (), 6) AS zone_fraction
 FROM (VALUES ('train', CAST(0.8 AS DOUBLE)), ('val', CAST(0.1 AS DOUBLE)), ('test', CAST(0.1 AS DOUBLE))) t(split, target) LEFT JOIN got ON got.split = t.split"""
@@ -199,9 +197,3 @@ def stream_curriculum(spark, sf):
     src = new_path(spark, "scores")
     fx.curriculum(spark, sf).repartition(3, "random_seed").write.parquet(src)
     return streams.stream_curriculum(spark, src).withColumn("difficulty", F.round("difficulty", 6))
-
-
-@query(with_sql("fx_curriculum") + " SELECT zone_id, count(*) AS n, CAST(min(random_seed) AS BIGINT) AS first_seed FROM fx_curriculum GROUP BY 1")
-def append_scores_summary(spark, sf):
-    own = fx.curriculum(spark, sf)
-    return append_scores(own.where("random_seed % 2 = 0"), own).groupBy("zone_id").agg(F.count(F.lit(1)).alias("n"), F.min("random_seed").alias("first_seed"))

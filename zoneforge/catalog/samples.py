@@ -93,19 +93,19 @@ def dirs_sql(name, distance=1.0):
     return f"(SELECT neighbor_id, CAST(dx AS DOUBLE) AS dx, CAST(dy AS DOUBLE) AS dy, CAST(dz AS DOUBLE) AS dz FROM {_values([(i, *(float(distance * v) for v in p)) for i, p in enumerate(f.directions(name))])} d(neighbor_id, dx, dy, dz))"
 
 
-@query(_VEC + " " + " UNION ALL ".join(f"SELECT '{n}' AS name, s.i, CAST(d.neighbor_id AS INT) AS neighbor_id, round(vx*dx + vy*dy + vz*dz, 6) AS along FROM s, {dirs_sql(n)} d WHERE s.label = 3" for n in SETS))
+@query(_VEC + " " + " UNION ALL ".join(f"SELECT '{n}' AS name, s.i, CAST(d.neighbor_id AS INT) AS neighbor_id, round(vx*dx + vy*dy + vz*dz, 6) AS along FROM s, {dirs_sql(n)} d" for n in SETS))
 def direction_sets(spark, sf):
     from functools import reduce
 
-    s = vectors(spark, sf).where("label = 3")
+    s = vectors(spark, sf)
     parts = [s.crossJoin(F.broadcast(f.direction_sets(spark, n))).select(F.lit(n).alias("name"), "i", "neighbor_id", F.round(F.col("v.x") * F.col("dx") + F.col("v.y") * F.col("dy") + F.col("v.z") * F.col("dz"), 6).alias("along")) for n in SETS]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@query(_VEC + f" SELECT s.i, CAST(d.neighbor_id AS INT) AS neighbor_id, round(vx*dx + vy*dy + vz*dz, 6) AS along FROM s, (SELECT * FROM {dirs_sql('cube', 3.0)} UNION ALL SELECT neighbor_id + 6, dx, dy, dz FROM {dirs_sql('tetrahedron', 2.0)}) d WHERE s.label = 3")
+@query(_VEC + f" SELECT s.i, CAST(d.neighbor_id AS INT) AS neighbor_id, round(vx*dx + vy*dy + vz*dz, 6) AS along FROM s, (SELECT * FROM {dirs_sql('cube', 3.0)} UNION ALL SELECT neighbor_id + 6, dx, dy, dz FROM {dirs_sql('tetrahedron', 2.0)}) d")
 def union_directions(spark, sf):
     both = f.union_directions(f.direction_sets(spark, "cube", 3.0), f.direction_sets(spark, "tetrahedron", 2.0))
-    return vectors(spark, sf).where("label = 3").crossJoin(F.broadcast(both)).select("i", "neighbor_id", F.round(F.col("v.x") * F.col("dx") + F.col("v.y") * F.col("dy") + F.col("v.z") * F.col("dz"), 6).alias("along"))
+    return vectors(spark, sf).crossJoin(F.broadcast(both)).select("i", "neighbor_id", F.round(F.col("v.x") * F.col("dx") + F.col("v.y") * F.col("dy") + F.col("v.z") * F.col("dz"), 6).alias("along"))
 
 
 @query(_VEC + f" SELECT s.i, CAST(d.neighbor_id AS INT) AS neighbor_id, round(vx*dx + vy*dy + vz*dz, 6) AS along FROM s, {dirs_sql('dodecahedron')} d")

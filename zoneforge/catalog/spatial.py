@@ -168,13 +168,12 @@ def gate_min_density(spark, sf):
     return filters.gate_min_density(measured(spark, sf), LIMIT).select("zone_id", "assembly_id")
 
 
-_PRUNE = """, chosen AS (SELECT * FROM zones WHERE zone_id % 40 = 0), best AS (SELECT a.assembly_id, a.atom_id, min((cx-x)*(cx-x)+(cy-y)*(cy-y)+(cz-a.z)*(cz-a.z)) AS d2 FROM chosen s JOIN fx_atoms a ON a.assembly_id = s.assembly_id GROUP BY 1, 2)"""
+_PRUNE = """, best AS (SELECT a.assembly_id, a.atom_id, min((cx-x)*(cx-x)+(cy-y)*(cy-y)+(cz-a.z)*(cz-a.z)) AS d2 FROM zones s JOIN fx_atoms a ON a.assembly_id = s.assembly_id GROUP BY 1, 2)"""
 
 
 @query(ATOMS + ZONES + _PRUNE + " SELECT assembly_id, atom_id, d2 > 100 AS out_of_bounds FROM best WHERE d2 <= 225")
 def prune_distant_atoms(spark, sf):
-    some = zones(spark, sf).where("zone_id % 40 = 0")
-    return spatial.prune_distant_atoms(some, fx.atoms(spark, sf), 10.0, 5.0).select("assembly_id", "atom_id", "out_of_bounds")
+    return spatial.prune_distant_atoms(zones(spark, sf), fx.atoms(spark, sf), 10.0, 5.0).select("assembly_id", "atom_id", "out_of_bounds")
 
 
 @query(ATOMS + " SELECT assembly_id, subchain_id, symmetry_mate, sum(occupancy) AS occupancy FROM fx_atoms GROUP BY 1, 2, 3")
@@ -292,13 +291,13 @@ def polymer_vocabulary(spark, sf):
     return named.join(F.broadcast(words), "name").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-_LABELLED = """, lab AS (SELECT chr(CAST(65+p_partkey%4 AS INT)) AS chain_id, p_partkey AS domain_id, p_size AS lo, CAST(p_partkey%25 AS INT) AS cath_label FROM part WHERE p_partkey <= 200),
+_LABELLED = """, lab AS (SELECT chr(CAST(65+p_partkey%4 AS INT)) AS chain_id, p_partkey AS domain_id, p_size AS lo, CAST(p_partkey%25 AS INT) AS cath_label FROM part),
 res AS (SELECT chain_id, domain_id, CAST(lo + k AS INT) AS seq_id, cath_label FROM lab, range(4) r(k)),
 one AS (SELECT chain_id, seq_id, cath_label FROM (SELECT *, row_number() OVER (PARTITION BY chain_id, seq_id ORDER BY domain_id) AS n FROM res) WHERE n = 1)"""
 
 
 def _labelled(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey <= 200")
+    p = table(spark, sf, "part")
     return p.selectExpr("char(cast(65 + p_partkey % 4 as int)) AS chain_id", "p_partkey AS domain_id", "sequence(p_size, p_size + 3) AS seq_ids", "cast(p_partkey % 25 as int) AS cath_label")
 
 

@@ -15,13 +15,13 @@ SQL = {
        100*CAST(list_extract(embedding, CAST(3*k+1 AS INT)) AS DOUBLE) AS x, 100*CAST(list_extract(embedding, CAST(3*k+2 AS INT)) AS DOUBLE) AS y,
        100*CAST(list_extract(embedding, CAST(3*k+3 AS INT)) AS DOUBLE) AS z,
        CASE WHEN k%7=0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS occupancy, vec_id%5<>4 AS is_polymer FROM embeddings, range(21) t(k)""",
-    "fx_clusters": "SELECT DISTINCT l_orderkey AS pdb_id, l_partkey AS cluster FROM lineitem WHERE l_quantity=50",
-    "fx_struct_zones": "SELECT l_orderkey AS pdb_id, count(*) AS zones FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity=50) GROUP BY l_orderkey",
+    "fx_clusters": "SELECT DISTINCT l_orderkey AS pdb_id, l_partkey*1000 + CAST(floor(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE))/7) AS BIGINT) AS cluster FROM lineitem",
+    "fx_struct_zones": "SELECT l_orderkey AS pdb_id, count(*) AS zones FROM lineitem GROUP BY l_orderkey",
     "fx_domains": "SELECT p_partkey AS pdb_id, CAST(substr(p_brand,7) AS INT) AS c, p_size%5 AS a, p_size AS t, CAST(p_partkey%7 AS INT) AS h FROM part",
     "fx_curriculum": "SELECT user_id AS zone_id, event_id AS random_seed, value/500 AS difficulty FROM events",
-    "fx_candidates": "SELECT l_orderkey AS assembly_rank, l_linenumber AS zone, l_partkey AS key FROM lineitem WHERE l_suppkey<=5",
+    "fx_candidates": "SELECT l_orderkey AS assembly_rank, l_linenumber AS zone, l_partkey AS key FROM lineitem",
     "fx_logits": "SELECT vec_id AS i, CAST(label AS INT) AS y, list_slice(embedding,1,10) AS logits FROM embeddings",
-    "fx_zone": "SELECT DISTINCT l_orderkey*10+l_linenumber AS zone_id, l_orderkey AS assembly_id FROM lineitem WHERE l_suppkey<=20",
+    "fx_zone": "SELECT DISTINCT l_orderkey*10+l_linenumber AS zone_id, l_orderkey AS assembly_id FROM lineitem",
     "fx_assembly": "SELECT o_orderkey AS assembly_id, o_custkey AS struct_id, concat('a', o_orderkey) AS pdb_id FROM orders",
     "fx_structure": "SELECT c_custkey AS struct_id, concat('s', c_custkey) AS pdb_id, '1' AS model_id, CASE c_custkey%4 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split FROM customer",
     "fx_responses": """SELECT event_id AS pdb_id, CASE WHEN event_id%5=0 THEN 404 ELSE 200 END AS http_status,
@@ -53,13 +53,12 @@ def atoms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").where("l_quantity = 50").select(F.col("l_orderkey").alias("pdb_id"), F.col("l_partkey").alias("cluster")).distinct()
+    """Structures that share a part in a week: components stay small however many rows there are."""
+    return table(spark, sf, "lineitem").selectExpr("l_orderkey AS pdb_id", "l_partkey * 1000 + floor(datediff(cast(l_shipdate as date), date'1992-01-01') / 7) AS cluster").distinct()
 
 
 def struct_zones(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem")
-    wanted = lines.where("l_quantity = 50").select("l_orderkey").distinct()
-    return lines.join(wanted, "l_orderkey", "left_semi").groupBy(F.col("l_orderkey").alias("pdb_id")).agg(F.count(F.lit(1)).alias("zones"))
+    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("pdb_id")).agg(F.count(F.lit(1)).alias("zones"))
 
 
 def domains(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +70,7 @@ def curriculum(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").where("l_suppkey <= 5").selectExpr("l_orderkey AS assembly_rank", "l_linenumber AS zone", "l_partkey AS key")
+    return table(spark, sf, "lineitem").selectExpr("l_orderkey AS assembly_rank", "l_linenumber AS zone", "l_partkey AS key")
 
 
 def logits(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +78,7 @@ def logits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def zone(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").where("l_suppkey <= 20").selectExpr("l_orderkey * 10 + l_linenumber AS zone_id", "l_orderkey AS assembly_id").distinct()
+    return table(spark, sf, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS zone_id", "l_orderkey AS assembly_id").distinct()
 
 
 def assembly(spark: SparkSession, sf: str) -> DataFrame:

@@ -172,7 +172,7 @@ def _across(p: Column) -> Column:
 
 
 def aligning(a: Column, b: Column) -> Column:
-    """The least rotation that takes the direction of ``b`` to that of ``a``; null for a zero vector.
+    """The least rotation that takes the direction of ``b`` to that of ``a``; an error for a zero vector, null for a null one.
 
     Opposite directions turn by half a circle about an axis across the least entry of ``a``.
     """
@@ -181,7 +181,7 @@ def aligning(a: Column, b: Column) -> Column:
         kept = let({"p": s["p"], "v": _cross(s["q"], s["p"]), "c": _dot(s["q"], s["p"])}, lambda t: F.when(t["c"] > -1 + 1e-12, _usual(t)).otherwise(let({"u": unit(_across(t["p"]))}, lambda w: _half_turn(w["u"]))))
         return F.when(F.isnan(s["p"]["x"]) | F.isnan(s["q"]["x"]) | s["p"]["x"].isNull() | s["q"]["x"].isNull(), F.lit(None)).otherwise(kept)
 
-    safe = lambda v: let({"v": v}, lambda s: F.when(_dot(s["v"], s["v"]) > 0, unit(s["v"])))
+    safe = lambda v: let({"v": v}, lambda s: F.when(_dot(s["v"], s["v"]) > 0, unit(s["v"])).when(s["v"].isNotNull() & (_dot(s["v"], s["v"]) == 0), F.raise_error(F.lit("a vector of no length has no direction to align"))))
     return let({"p": safe(a), "q": safe(b)}, between)
 
 

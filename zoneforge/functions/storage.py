@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder of
-    this machine is named instead, for the life of the session.
+    Only where the setting is absent and all tasks run on this machine (tests, a laptop) a temporary folder
+    of it is named instead, for the life of the session; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     own = spark.conf.get("zoneforge.shared.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="spark-zf-")
         spark.conf.set("zoneforge.shared.dir", own)
     return own

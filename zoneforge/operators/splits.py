@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zoneforge.operators.graph import components
+from zoneforge.operators.tables import dense_index
 
 
 def select_novel_zones(candidates: DataFrame, dedupe_within: bool = False) -> DataFrame:
@@ -63,41 +65,110 @@ def group_sizes(groups: DataFrame, counts: DataFrame) -> DataFrame:
     return groups.join(counts, "pdb_id").groupBy("group_id").agg(F.sum("zones").cast("long").alias("zones"))
 
 
+def _before(goal: list[float], have: list[int], n: int, k: int, j: np.ndarray) -> np.ndarray:
+    """How many groups of ``n`` zones are dealt before split k gets its group number j (from 0), by argmax.
+
+    Split m's room before its i-th is goal - have - i n. The greatest room takes the next, the first on ties,
+    so groups go in order of falling rooms, merged over the splits.
+    """
+    room, out = goal[k] - (have[k] + n * j), j.copy()
+    for m in range(len(goal)):
+        if m != k:
+            ahead = lambda i, m=m: (goal[m] - (have[m] + n * i) >= room) if m < k else (goal[m] - (have[m] + n * i) > room)
+            count = np.maximum(0, np.floor((goal[m] - have[m] - room) / n).astype(np.int64))
+            count = np.where((count > 0) & ~ahead(count - 1), count - 1, count)
+            out += np.where(ahead(count), count + 1, count)
+    return out
+
+
+def _dealt(goal: list[float], have: list[int], n: int, rank: np.ndarray) -> np.ndarray:
+    """The split of the groups of these ranks among those of ``n`` zones."""
+    out = np.zeros(len(rank), np.int64)
+    for k in range(len(goal)):
+        low, high = np.zeros(len(rank), np.int64), rank + 1
+        while (low < high).any():
+            mid = (low + high) // 2
+            less = _before(goal, have, n, k, mid) < rank
+            low, high = np.where((low < high) & less, mid + 1, low), np.where((low < high) & ~less, mid, high)
+        out[_before(goal, have, n, k, low) == rank] = k
+    return out
+
+
+def _plan(sizes: list[tuple[int, int]], goal: list[float], mode: str, seed: int) -> dict[int, tuple]:
+    """By size, largest first: what splits have before it (argmax), or the numbers that batches of its groups give each split (weighted)."""
+    have, out = [0] * len(goal), {}
+    for n, count in sizes:
+        if n <= 0:
+            out[n] = (list(have), None)
+        elif mode == "argmax":
+            out[n] = (list(have), None)
+            for k in range(len(goal)):
+                low, high = 0, count
+                while low < high:
+                    mid = (low + high) // 2
+                    low, high = (mid + 1, high) if _before(goal, out[n][0], n, k, np.array([mid]))[0] < count else (low, mid)
+                have[k] += n * low
+        else:
+            given, left = [], count
+            rng = np.random.default_rng((seed % (1 << 32), n))
+            while left:
+                batch = min(left, max(1, count // BATCHES))
+                room = [g - h - n for g, h in zip(goal, have, strict=True)]
+                if all(r <= 0 for r in room):
+                    room = [g - h for g, h in zip(goal, have, strict=True)]
+                weight = np.maximum(room, 0.0)
+                odds = weight / weight.sum() if weight.sum() > 0 else np.eye(len(goal))[int(np.argmax(room))]
+                given.append(rng.multinomial(batch, odds))
+                have = [h + n * int(x) for h, x in zip(have, given[-1], strict=True)]
+                left -= batch
+            out[n] = (None, np.array(given))
+    return out
+
+
+#: Draws of a size at most: its groups are drawn in so many batches, each by the room that splits have then.
+BATCHES = 256
+
+
 def allocate_splits(groups: DataFrame, targets: dict[str, float], mode: str = "weighted", seed: int = 0) -> DataFrame:
-    """(group_id, split) by an ordered fold: largest groups first, drawn by the room that splits have left.
+    """(group_id, split): largest groups first, each to a split by the room that splits have left.
 
     A split's weight is its room after taking the group, where positive; if none is, its room before.
-    'argmax' takes the greatest (the first on ties), 'weighted' draws by a hash of seed and group.
-    Groups of one size meet as one row each; the fold is sequential by nature and sees
-    the compact table (group_id, zones) alone, streamed in order.
+    'argmax' takes the greatest (the first on ties), 'weighted' draws: numbers by size and batch from a multinomial of the
+    weights, and which group gets which by a hash of seed and group. The order is that of (zones, group_id), for drawn ones (zones, hash).
+
+    Only the histogram of sizes is folded, on the driver: different sizes that sum to the number of zones are
+    at most the root of twice that number. A group finds its split from what splits had before its size and
+    its rank among equals, both exact, where it lies.
     """
     names = list(targets)
-    total = groups.agg(F.sum("zones")).first()[0] or 0
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("group_id").cast("string")))
+    order = [F.desc("zones"), "group_id"] if mode == "argmax" else [F.desc("zones"), hashed, "group_id"]
+    ranked = dense_index(groups.select("group_id", F.coalesce("zones", F.lit(0)).cast("long").alias("zones")), order, "_at")
+    sizes = sorted(((r.zones, r.n) for r in ranked.groupBy("zones").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    total = sum(n * count for n, count in sizes)
     goal = [total * targets[k] / sum(targets.values()) for k in names]
+    plan, first, at = _plan(sizes, goal, mode, seed), {}, 0
+    for n, count in sizes:
+        first[n], at = at, at + count
+    shared = groups.sparkSession.sparkContext.broadcast((plan, first))
 
-    def fold(frames):
-        import hashlib
-
-        have = [0.0] * len(names)
+    def deal(frames):
+        known, starts = shared.value
         for frame in frames:
-            taken = []
-            for group, n in zip(frame["group_id"], frame["zones"], strict=True):
-                room = [g - h - n for g, h in zip(goal, have, strict=True)]
-                if all(r <= 0 for r in room):
-                    room = [g - h for g, h in zip(goal, have, strict=True)]
-                weight = [max(r, 0.0) for r in room]
-                if mode == "argmax" or sum(weight) == 0:
-                    k = max(range(len(names)), key=lambda i: (room[i], -i))
+            zones, out = frame["zones"].to_numpy(), np.zeros(len(frame), np.int64)
+            for n in np.unique(zones).tolist():
+                own = np.flatnonzero(zones == n)
+                rank = frame["_at"].to_numpy()[own] - starts[n]
+                have, given = known[n]
+                if n <= 0:
+                    out[own] = int(np.argmax([g - h for g, h in zip(goal, have, strict=True)]))
+                elif given is None:
+                    out[own] = _dealt(goal, have, n, rank)
                 else:
-                    u = int(hashlib.md5(f"{seed}:{group}".encode()).hexdigest()[:13], 16) / 2**52 * sum(weight)
-                    k = next((i for i in range(len(names)) if (u := u - weight[i]) < 0), max(range(len(names)), key=weight.__getitem__))
-                have[k] += n
-                taken.append(names[k])
-            yield pd.DataFrame({"group_id": frame["group_id"], "split": taken})
-
-    kind = dict(groups.dtypes)["group_id"]
-    ordered = groups.select("group_id", "zones").coalesce(1).sortWithinPartitions(F.desc("zones"), "group_id")
-    return ordered.mapInPandas(fold, f"group_id {kind}, split string")
+                    out[own] = np.searchsorted(np.cumsum(given.ravel()), rank, side="right") % len(names)
+            yield pd.DataFrame({"group_id": frame["group_id"], "split": [names[k] for k in out.tolist()]})
+
+    return ranked.mapInPandas(deal, f"group_id {dict(groups.dtypes)['group_id']}, split string")
 
 
 def split_summary(splits: DataFrame, counts: DataFrame, targets: dict[str, float]) -> DataFrame:

@@ -67,7 +67,7 @@ def config_drift(meta: DataFrame, params: DataFrame) -> DataFrame:
 
 def check_config(meta: DataFrame, params: DataFrame) -> None:
     """Raise if the store lacks a key or holds another value; the message lists the keys."""
-    bad = config_drift(meta, params).orderBy("key").take(50)
+    bad = config_drift(meta, params).orderBy("key").collect()
     if bad:
         raise ValueError("config differs from the store: " + ", ".join(f"{r.key} ({r.status})" for r in bad))
 
@@ -114,17 +114,19 @@ def update_splits(structure: DataFrame, splits: DataFrame) -> DataFrame:
 def dense_index(df: DataFrame, order: list[str | Column], name: str = "index", start: int = 0) -> DataFrame:
     """Row numbers over a total order without an unpartitioned window.
 
-    Rows are dealt by range and numbered within their task; tasks are shifted
+    Rows are dealt by range, sorted and numbered within their task in one shuffle; tasks are shifted
     by the counts of those before, one number each.
     """
-    ranged = materialize(df.repartitionByRange(*order).withColumn("_task", F.spark_partition_id()), "index")
+    own = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = materialize(ranged.withColumns({"_task": F.shiftright(own, 33), "_row": own.bitwiseAND(F.lit((1 << 33) - 1))}), "index")
     per_task = ranged.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
-    base = per_task.select("_task", F.coalesce(before, F.lit(0)).alias("_base"))
-    number = F.row_number().over(Window.partitionBy("_task").orderBy(*order)) - 1 + start
-    return ranged.join(F.broadcast(base), "_task").withColumn(name, (F.col("_base") + number).cast("long")).drop("_task", "_base")
+    base = per_task.select("_task", (F.coalesce(before, F.lit(0)) + start).alias("_base"))
+    return ranged.join(F.broadcast(base), "_task").withColumn(name, (F.col("_base") + F.col("_row")).cast("long")).drop("_task", "_row", "_base")
 
 
 def fraction_of_total(df: DataFrame, col: str, name: str) -> DataFrame:
-    """``col`` over its sum, on a small summary."""
-    return df.withColumn(name, F.col(col) / F.sum(col).over(Window.partitionBy()))
+    """``col`` over its sum, which is one aggregate; null if the sum is 0 or nothing is summed."""
+    total = df.agg(F.sum(col)).first()[0]
+    return df.withColumn(name, F.col(col) / F.lit(total) if total else F.lit(None).cast("double"))

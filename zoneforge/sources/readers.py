@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from zoneforge import schemas
+from zoneforge.functions.storage import materialize
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -56,8 +60,8 @@ def write_clusters(df: DataFrame, path: str) -> None:
 
 
 def read_residue_list(spark: SparkSession, path: str) -> list[str]:
-    """One residue a line, at most 5 characters; '-' alone means none. A short list by its nature: a setting, not data."""
-    rows = [r.line for r in _lines(spark, path).limit(100_000).collect()]
+    """One residue a line, at most 5 characters; '-' alone means none. All of the list: names of 5 characters are a setting, not data."""
+    rows = [r.line for r in _lines(spark, path).collect()]
     if rows == ["-"]:
         return []
     if bad := [r for r in rows if len(r) > 5]:
@@ -158,7 +162,7 @@ def _cif_rows(name: str, pdb_id: str, t: dict[str, list[dict]]) -> Iterator[tupl
             get = r.get
             yield (
                 pdb_id, get("pdbx_PDB_model_num") or "1", number(int, get("id"), k + 1), get("label_asym_id"), get("auth_asym_id") or get("label_asym_id"), get("label_entity_id"), get("label_comp_id"),
-                number(int, get("label_seq_id")), get("label_atom_id"), get("type_symbol"), *(float(get(f"Cartn_{c}")) for c in "xyz"), number(float, get("occupancy"), 1.0),
+                number(int, get("label_seq_id")), get("label_atom_id"), get("type_symbol"), *(number(float, get(f"Cartn_{c}")) for c in "xyz"), number(float, get("occupancy"), 1.0),
             )
     elif name == "entities":
         yield from ((pdb_id, r.get("id"), r.get("type")) for r in t.get("_entity", []))
@@ -176,20 +180,24 @@ def _cif_rows(name: str, pdb_id: str, t: dict[str, list[dict]]) -> Iterator[tupl
 def ingest_mmcif(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of a folder (or glob) of mmCIF files, plain or gzipped: asym_atoms, entities, polymers, assembly_gen, oper_map.
 
-    Each data block is a structure of its name; a file is one row, parsed where it is read.
+    Each data block is a structure of its name; a file is one row. It is read and parsed once, in order of its tables,
+    into one table with a struct for each kind of row, which is written; the five tables are scans of its columns.
     """
-    files = spark.read.text(path, wholetext=True)
-    out = {}
-    for name, schema in _CIF.items():
-        columns = [c.split(" ")[0] for c in schema.split(", ")]
-
-        def parse(frames: Iterator[pd.DataFrame], name=name, columns=columns) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for text in frame["value"]:
-                    for block in re.split(r"(?m)^(?=data_)", text):
-                        if head := re.match(r"data_(\S+)", block):
-                            rows = list(_cif_rows(name, head[1].lower(), cif_tables(block)))
-                            yield pd.DataFrame(rows, columns=columns, dtype=object)
-
-        out[name] = files.mapInPandas(parse, schema)
-    return out
+    parts = {name: [c.split(" ")[0] for c in schema.split(", ")] for name, schema in _CIF.items()}
+    schema = ", ".join(f"{name} struct<{', '.join(':'.join(c.split(' ')) for c in columns.split(', '))}>" for name, columns in _CIF.items())
+
+    kind = to_arrow_schema(_parse_datatype_string(schema))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for block in re.split(r"(?m)^(?=data_)", text):
+                    if head := re.match(r"data_(\S+)", block):
+                        own = cif_tables(block)
+                        for name, columns in parts.items():
+                            rows = _cif_rows(name, head[1].lower(), own)
+                            while some := [{name: dict(zip(columns, r, strict=True))} for r in islice(rows, 10_000)]:
+                                yield pa.RecordBatch.from_pylist(some, kind)
+
+    parsed = materialize(spark.read.text(path, wholetext=True).mapInArrow(parse, schema), "mmcif")
+    return {name: parsed.where(F.col(name).isNotNull()).select(f"{name}.*") for name in _CIF}
