@@ -174,7 +174,9 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
         ends = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"src": ends[:, 0], "dst": ends[:, 1]})
 
-    return rows.groupBy("no", "part", "a", "b").applyInPandas(compare, "src long, dst long").distinct()
+    # small rows, dear groups: as many tasks as the session deals out, which adaptive execution would put together by bytes
+    dealt = rows.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "no", "part", "a", "b")
+    return dealt.groupBy("no", "part", "a", "b").applyInPandas(compare, "src long, dst long").distinct()
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
