@@ -165,7 +165,8 @@ def slots(spark: SparkSession, shares: list[Share], shard: int = SHARD, seed: in
     if not total:
         return spark.createDataFrame([], names)
     odds, chunks = due / total, -(-total // (shard * CHUNK))
-    drawn = spark.range(0, chunks, 1, max(1, -(-chunks // 16)))
+    tasks = -(-chunks // 16)
+    drawn = spark.range(0, chunks, 1, tasks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +177,8 @@ def slots(spark: SparkSession, shares: list[Share], shard: int = SHARD, seed: in
     counts = materialize(drawn.mapInArrow(count, "chunk long, source int, n long"), "draws")
     before = F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     firsts = counts.select("chunk", "source", F.coalesce(before, F.lit(0)).alias("first"))
-    firsts = firsts.groupBy("chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("source", "first"))), lambda x: x["first"]).alias("firsts"))
+    # few rows, each of many slots: as many tasks as the draw has, which adaptive execution would put together by bytes
+    firsts = firsts.repartition(tasks, "chunk").groupBy("chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("source", "first"))), lambda x: x["first"]).alias("firsts"))
     got = np.zeros(len(due), np.int64)
     for source, n in counts.groupBy("source").agg(F.sum("n")).collect():
         got[source] = n
