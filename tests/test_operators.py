@@ -196,6 +196,36 @@ def test_image_sums_to_occupancy(spark):
     assert len(image) == 2 * 125 and sum(image[:125]) == pytest.approx(1) and sum(image[125:]) == pytest.approx(0.5)
 
 
+def test_overlaps_are_shares_of_spheres():
+    rng = np.random.default_rng(4)
+    for radius, width in ((0.5, 1.0), (1.3, 1.0), (0.2, 1.0), (2.0, 1.5)):
+        center = np.concatenate([rng.uniform(-3, 3, (20, 3)), [[0.0, 0.0, 0.0], [0.5 * width] * 3, [0.5 * width, 0.5 * width, 0.0]]])
+        first, share = raster.overlaps(center, radius, width)
+        assert share.min() > -1e-9 and np.allclose(share.sum((1, 2, 3)), 1, atol=1e-6)
+        points = rng.uniform(-radius, radius, (400_000, 3))
+        points = points[(points**2).sum(1) <= radius**2]
+        for c, f0, s in zip(center[:20], first, share, strict=False):
+            cell = np.floor((points + c) / width).astype(int) - f0
+            counted = np.zeros(s.shape)
+            np.add.at(counted, tuple(cell.T), 1 / len(points))
+            assert np.abs(counted - s).max() < 0.005
+    _, share = raster.overlaps(np.array([[0.0, 0.0, 0.0], [0.5, 0.5, 0.0], [0.5, 0.5, 0.5]]), 0.5, 1.0)
+    assert sorted(share[0].ravel()) == pytest.approx([1 / 8] * 8) and sorted(share[1].ravel())[-2:] == pytest.approx([0.5, 0.5]) and share[2].max() == pytest.approx(1)
+
+
+def test_images_of_samples_near_their_origin(spark):
+    rng = np.random.default_rng(5)
+    atoms = spark.createDataFrame([(k % 2, *map(float, rng.uniform(-20, 20, 3)), 1.0, "CNO"[k % 3]) for k in range(600)], "assembly_id long, x double, y double, z double, occupancy double, element string")
+    grid, channels = raster.Grid(5, 1.5, 2), [["C"], ["*"]]
+    frames = r.sample_frame(spark.createDataFrame([(i, i % 3, (float(i), 2.0, -3.0)) for i in range(7)], "i long, assembly_id long, origin struct<x:double,y:double,z:double>"), "origin")
+    reach = (grid.half + grid.atom_radius) * 3**0.5
+    seen = [raster.element_channels(raster.clip_to_image(sampling.apply_frames(atoms, frames, within=w), grid), channels) for w in (None, reach)]
+    whole = raster.pack_image(raster.dense(raster.rasterize(seen[0], grid), frames, grid), grid)
+    a, b = ({x.i: x.image for x in d.collect()} for d in (whole, raster.images(raster.rasterize(seen[1], grid), frames.select("i"), grid)))
+    assert a.keys() == b.keys() == set(range(7)) and sum(map(sum, a.values())) > 5
+    assert all(np.allclose(a[i], b[i], atol=1e-6) for i in a) and not any(b[2])
+
+
 def test_parameters_are_checked():
     with pytest.raises(ValueError, match="either a distance or a padding"):
         sampling.NeighborParams()

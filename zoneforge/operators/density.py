@@ -21,7 +21,7 @@ def voxel_occupancy(atoms: DataFrame, voxel: float) -> DataFrame:
     return rows.groupBy("assembly_id", "ix", "iy", "iz").agg((F.sum("occupancy") / (voxel / 10) ** 3).alias("rho"))
 
 
-def _corner_area(a: np.ndarray, b: np.ndarray, r: np.ndarray) -> np.ndarray:
+def corner_area(a: np.ndarray, b: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Area of the disc of radius ``r`` around 0 where x <= a and y <= b."""
     a, b = np.clip(a, -r, r), np.clip(b, -r, r)
     primitive = lambda x: 0.5 * (x * np.sqrt(np.maximum(r * r - x * x, 0)) + r * r * np.arcsin(np.clip(x / r, -1, 1)))
@@ -55,7 +55,7 @@ def kernel_cells(radius: float, voxel: float) -> tuple[tuple[int, int, int, floa
         k = int(np.searchsorted(edges, (low + high) / 2)) - 1
         z = (low + high) / 2 + (high - low) / 2 * nodes
         r = np.sqrt(np.maximum(radius**2 - z * z, 1e-30))
-        area = _corner_area(edges[:, None, None], edges[None, :, None], r[None, None, :])
+        area = corner_area(edges[:, None, None], edges[None, :, None], r[None, None, :])
         cell = area[1:, 1:] - area[:-1, 1:] - area[1:, :-1] + area[:-1, :-1]
         out[:, :, k] += (cell * weights).sum(-1) * (high - low) / 2
     out /= 4 / 3 * math.pi * radius**3

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from zoneforge.functions import frames as f
 from zoneforge.functions.random import sample_in_cube, sample_noise_frame, sample_unit_vector, uniform
+from zoneforge.operators import spatial
 from zoneforge.operators.tables import dense_index
 
 
@@ -46,9 +47,18 @@ def sample_index(zones: DataFrame, start: int, n: int) -> DataFrame:
     return samples.join(indexed, "_k").drop("_k")
 
 
-def apply_frames(atoms: DataFrame, frames: DataFrame, frame: str = "frame") -> DataFrame:
-    """Atoms of each sample's assembly in the sample's frame: frames has (i, assembly_id, frame)."""
-    joined = atoms.join(frames.select("i", "assembly_id", F.col(frame).alias("_f")), "assembly_id")
+def apply_frames(atoms: DataFrame, frames: DataFrame, frame: str = "frame", within: float | None = None) -> DataFrame:
+    """Atoms of each sample's assembly in the sample's frame: frames has (i, assembly_id, frame).
+
+    With ``within`` only those so near the frame's origin: a join on cells, so that a sample does not meet all
+    atoms of a large assembly.
+    """
+    own = frames.select("i", "assembly_id", F.col(frame).alias("_f"))
+    if within is None:
+        joined = atoms.join(own, "assembly_id")
+    else:
+        origins = own.withColumn("_o", f.inverted(F.col("_f"))["t"]).select("i", "assembly_id", "_f", *[F.col("_o")[c].alias(f"c{c}") for c in "xyz"])
+        joined = spatial.atoms_within(origins, atoms, within).drop(*spatial.CENTER, "d2")
     moved = joined.withColumn("_v", f.applied(F.col("_f"), f.vector("x", "y", "z")))
     return moved.withColumns({c: F.col("_v")[c] for c in "xyz"}).drop("_f", "_v")
 

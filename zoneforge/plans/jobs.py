@@ -138,8 +138,10 @@ def make_samples(store: dict[str, DataFrame], split: str, size: float, start: in
     out = materialize(out, "samples")
     result = out
     for view, name in views.items():
-        seen = raster.element_channels(raster.clip_to_image(sampling.apply_frames(store["atoms"], out.select("i", "assembly_id", view), view), grid), channels or [["*"]])
-        packed = raster.pack_image(raster.dense(raster.rasterize(seen, grid), out, grid), grid)
+        reach = (grid.half + grid.atom_radius) * 3**0.5
+        near = sampling.apply_frames(store["atoms"], out.select("i", "assembly_id", view), view, reach)
+        seen = raster.element_channels(raster.clip_to_image(near, grid), channels or [["*"]])
+        packed = raster.images(raster.rasterize(seen, grid), out.select("i"), grid)
         result = result.join(packed.withColumnRenamed("image", name), "i")
     return result
 
