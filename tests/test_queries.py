@@ -15,7 +15,7 @@ from zoneforge import queries
 SOME = (
     "ingest_mmcif read_domain_ranges write_clusters write_dataset unpack_atoms dataset_fingerprint eval_log config_drift label_drift check_fk set_equality dense_index "
     "check_elements smooth_density interpolate_density atoms_within zone_neighbors subchain_pairs annotate_domains build_assembly select_novel_zones connected_groups allocate_splits "
-    "split_summary stream_annotations stream_curriculum classification_metrics align_vectors nearest_direction sample_direction_near neighbor_frames batch_plan rasterize image_pair flagship pick_training_zones make_samples make_curriculum"
+    "split_summary stream_annotations stream_curriculum classification_metrics align_vectors nearest_direction sample_direction_near neighbor_frames batch_plan rasterize image_pair flagship pick_training_zones stream_pick principal_axes zone_grid_principal make_samples make_curriculum"
 ).split()
 
 

@@ -49,21 +49,24 @@ def pick_training_zones(spark, sf):
     return jobs.pick_training_zones(_inputs(spark, sf), PARAMS)["zone"].select("zone_id", "assembly_id", "center.*")
 
 
-_STREAM = jobs.PickParams(spacing=SPACING, density_radius=R, min_density=5.0, max_density=1000.0, zone_radius=R, boundary_depth=5.0, solo=SOLO, pair=PAIR, axes="identity", novelty=False)
+#: Even assemblies arrive before odd ones.
+_ARRIVAL = "(assembly_id % 2 * 1000000000 + assembly_id)"
 
 
-@query(ATOMS + ZONES + NEAR + DENSE + " SELECT assembly_id, count(*) AS zones FROM dens WHERE density > 5 GROUP BY 1")
+@query(_PICK.replace("min(assembly_id) AS r", f"min({_ARRIVAL}) AS r").replace("WHERE assembly_id = r", f"WHERE {_ARRIVAL} = r") + " SELECT assembly_id, count(*) AS zones FROM thick WHERE zone_id IN (SELECT zone_id FROM picked) GROUP BY 1")
 def stream_pick(spark, sf):
     src, dst = new_path(spark, "arriving"), new_path(spark, "picked")
-    atoms = materialize(fx.atoms(spark, sf), "atoms")
-    atoms.repartition(8, "assembly_id").write.parquet(src)
+    inputs = _inputs(spark, sf)
+    atoms = materialize(inputs["atoms"], "atoms")
 
-    def pick(batch):
-        tables = jobs.pick_training_zones({"atoms": batch, "asym": spatial.count_atoms(batch, ["assembly_id", "subchain_id"])}, _STREAM)
+    def pick(batch, seen):
+        tables = jobs.pick_training_zones(inputs | {"atoms": batch, "seen": seen}, PARAMS)
         # dense ids would start anew in each batch
-        return {"zone": tables["zone"].withColumn("zone_id", F.col("assembly_id") * 1_000_000 + F.col("zone_id"))}
+        return {"zone": tables["zone"].withColumn("zone_id", F.xxhash64("assembly_id", "center.x", "center.y", "center.z")), "novel_key": tables["novel_key"]}
 
-    found = streams.stream_pick(spark, src, dst, pick, ", ".join(f"{n} {t}" for n, t in atoms.dtypes))
+    for odd in (0, 1):
+        atoms.where(F.col("assembly_id") % 2 == odd).repartition(8, "assembly_id").write.mode("append").parquet(src)
+        found = streams.stream_pick(spark, src, dst, pick, ", ".join(f"{n} {t}" for n, t in atoms.dtypes), files=8)
     return found.groupBy("assembly_id").agg(F.count(F.lit(1)).alias("zones"))
 
 

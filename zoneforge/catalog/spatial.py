@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from zoneforge import fixtures as fx
 from zoneforge.catalog import query
+from zoneforge.catalog.samples import V
 from zoneforge.catalog.stored import _values
 from zoneforge.fixtures import table, with_sql
 from zoneforge.functions import frames
@@ -142,12 +145,26 @@ def zone_grid(spark, sf):
     return zones(spark, sf)
 
 
-@query()
+#: Eigenvectors of the covariances in closed form: eigenvalues by the cosine formula, vectors as the longest cross product of two rows of (matrix - eigenvalue).
+_ROWS = [V("(xx - l)", "xy", "xz"), V("xy", "(yy - l)", "yz"), V("xz", "yz", "(zz - l)")]
+_CROSS = " UNION ALL ".join(f"SELECT assembly_id, k, {_ROWS[i].cross(_ROWS[j]).named('v')} FROM val" for i, j in ((0, 1), (0, 2), (1, 2)))
+_LONG = "arg_max(struct_pack(x := vx, y := vy, z := vz), vx*vx + vy*vy + vz*vz)"
+_SIGN = "CASE WHEN abs(v.x) >= abs(v.y) AND abs(v.x) >= abs(v.z) THEN sign(v.x) WHEN abs(v.y) >= abs(v.z) THEN sign(v.y) ELSE sign(v.z) END / sqrt(v.x*v.x + v.y*v.y + v.z*v.z)"
+AXES = f""", cov AS (SELECT assembly_id, {", ".join(f"covar_pop({a}, {b}) AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))} FROM fx_atoms GROUP BY 1), mid AS (SELECT *, (xx + yy + zz) / 3 AS q FROM cov),
+wide AS (SELECT *, sqrt(((xx-q)*(xx-q) + (yy-q)*(yy-q) + (zz-q)*(zz-q) + 2*(xy*xy + xz*xz + yz*yz)) / 6) AS p FROM mid),
+turn AS (SELECT *, acos(greatest(-1, least(1, ((xx-q)*((yy-q)*(zz-q) - yz*yz) - xy*(xy*(zz-q) - yz*xz) + xz*(xy*yz - (yy-q)*xz)) / (2*p*p*p)))) / 3 AS phi FROM wide),
+val AS (SELECT turn.*, k, q + 2*p*cos(phi + [0, 4, 2][k] * pi() / 3) AS l FROM turn, range(1, 4) r(k)), crossed AS ({_CROSS}), long AS (SELECT assembly_id, k, {_LONG} AS v FROM crossed GROUP BY 1, 2),
+units AS (SELECT assembly_id, k, v, {_SIGN} AS s FROM long), paxes AS (SELECT assembly_id, {", ".join(f"max(v.{c} * s) FILTER (k = {i}) AS a{i}{j}" for i in (1, 2, 3) for j, c in enumerate("xyz", 1))} FROM units GROUP BY 1)"""
+_TURNED = ", turned AS (SELECT fx_atoms.assembly_id, " + ", ".join(f"a{i}1*x + a{i}2*y + a{i}3*z AS {c}" for i, c in enumerate("xyz", 1)) + " FROM fx_atoms JOIN paxes ON paxes.assembly_id = fx_atoms.assembly_id)"
+_OWN = re.sub(r"round\((a. \+ g.\*[\d.]+), 6\)", r"\1", ZONES.replace("FROM fx_atoms", "FROM turned"))
+
+
+@query(ATOMS + AXES + _TURNED + _OWN + " SELECT grid.assembly_id, " + ", ".join(f"round(a1{j}*cx + a2{j}*cy + a3{j}*cz, 4) AS c{c}" for j, c in enumerate("xyz", 1)) + " FROM grid JOIN paxes ON paxes.assembly_id = grid.assembly_id")
 def zone_grid_principal(spark, sf):
-    return spatial.zone_grid(fx.atoms(spark, sf), SPACING).select("assembly_id", *[F.round(c, 6).alias(c) for c in spatial.CENTER])
+    return spatial.zone_grid(fx.atoms(spark, sf), SPACING).select("assembly_id", *[F.round(c, 4).alias(c) for c in spatial.CENTER])
 
 
-@query()
+@query(ATOMS + AXES + " SELECT assembly_id, " + ", ".join(f"round(a{i}{j}, 6) AS a{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)) + " FROM paxes")
 def principal_axes(spark, sf):
     axes = spatial.principal_axes(fx.atoms(spark, sf))
     return axes.select("assembly_id", *[F.round(c, 6).alias(c) for c in axes.columns[1:]])

@@ -63,7 +63,7 @@ def pick_training_zones(inputs: dict[str, DataFrame], params: PickParams) -> dic
 
     inputs: atoms; asym (assembly_id, subchain_id, occupancy: totals of allowed subchains);
     and, for novelty, rank (assembly_id, assembly_rank), subchain_entity (assembly_id, subchain_id, entity_id, comp_id),
-    cluster (entity_id, cluster_id), nonspecific (comp_id). Cheap gates stand before dear ones: lists, elements, density, neighbours, subchains, novelty.
+    cluster (entity_id, cluster_id), nonspecific (comp_id), and seen (key) of earlier runs, or None: with it new keys are given as novel_key. Cheap gates stand before dear ones: lists, elements, density, neighbours, subchains, novelty.
     """
     atoms = inputs["atoms"]
     if params.exclude:
@@ -91,12 +91,16 @@ def pick_training_zones(inputs: dict[str, DataFrame], params: PickParams) -> dic
         entity = inputs["subchain_entity"]
         own = lambda df, k="": df.join(where, "zone_id").join(entity.toDF("assembly_id", f"subchain_id{k}", f"entity{k}" if k else "entity_id", f"comp{k}" if k else "comp_id"), ["assembly_id", f"subchain_id{k}"]).drop("assembly_id")
         keys = splits.novelty_keys(own(solo).select("zone_id", "entity_id", "comp_id"), own(own(pairs, "_1"), "_2").select("zone_id", "entity_1", "comp_1", "entity_2", "comp_2"), inputs["cluster"], inputs["nonspecific"])
+        if inputs.get("seen") is not None:
+            keys = keys.join(inputs["seen"].select("key"), "key", "left_anti")
         ranked = keys.join(where, "zone_id").join(inputs["rank"], "assembly_id").select("assembly_rank", F.col("zone_id").alias("zone"), "key")
         novel = splits.select_novel_zones(ranked).select(F.col("zone").alias("zone_id"))
         zones = materialize(zones.join(novel, "zone_id", "left_semi"), "novel")
         solo, pairs = (x.join(zones, "zone_id", "left_semi") for x in (solo, pairs))
         neighbors = neighbors.join(zones, "zone_id", "left_semi") if neighbors is not None else None
     out = {"zone": zones.select("zone_id", "assembly_id", F.struct(*[F.col(c).alias(c[1]) for c in spatial.CENTER]).alias("center")), "subchain": solo, "subchain_pair": pairs, "atoms": spatial.prune_distant_atoms(zones, atoms, params.zone_radius, params.boundary_depth)}
+    if params.novelty and "seen" in inputs:
+        out["novel_key"] = keys.select("key").distinct()
     return out if neighbors is None else out | {"zone_neighbor": neighbors}
 
 

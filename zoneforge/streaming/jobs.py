@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from zoneforge import schemas
 from zoneforge.functions.storage import new_path
 from zoneforge.sources.readers import parse_annotation_responses
-from zoneforge.sources.store import write_dataset
+from zoneforge.sources.store import read_table, write_dataset
 
 
 def _run(writer) -> None:
@@ -40,15 +40,30 @@ def stream_curriculum(spark: SparkSession, src: str, schema: str = schemas.CURRI
     return spark.read.parquet(f"{dst}/state")
 
 
-def stream_pick(spark: SparkSession, src: str, dst: str, pick, schema: str) -> DataFrame:
-    """Assemblies' atoms, as files come, through ``pick`` (atoms -> tables); writes are idempotent by key.
+def stream_pick(spark: SparkSession, src: str, dst: str, pick, schema: str, files: int = 4) -> DataFrame:
+    """Assemblies' atoms, as files come, through ``pick`` (atoms, keys seen or None -> tables); writes are idempotent by key.
 
-    The checkpoint takes the place of a resume token: a batch that failed half way is run again and adds what it lacks.
+    What ``pick`` gives as ``novel_key`` (key) is seen by all later batches, so a zone is novel against everything before it.
+    Keys lie by batch: a batch that failed half way is run again against the same ones, and replaces its own.
+    The checkpoint takes the place of a resume token. An assembly comes whole, in files of one batch of ``files``; one
+    that an earlier batch held is an error, as the grid of a part is another.
     """
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 4).parquet(src)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files).parquet(src)
 
     def put(batch: DataFrame, epoch: int) -> None:
-        write_dataset(pick(batch), f"{dst}/tables")
+        def earlier(name: str) -> DataFrame | None:
+            found = read_table(batch.sparkSession, dst, name)
+            return None if found is None else found.where(F.col("epoch") < epoch).drop("epoch")
+
+        own, known = batch.select("assembly_id").distinct(), earlier("arrived")
+        again = [] if known is None else own.join(known, "assembly_id", "left_semi").take(1)
+        if again:
+            raise ValueError(f"assembly {again[0].assembly_id} comes in two batches")
+        tables = dict(pick(batch, earlier("seen")))
+        if "novel_key" in tables:
+            tables.pop("novel_key").write.mode("overwrite").parquet(f"{dst}/seen/epoch={epoch}")
+        write_dataset(tables, f"{dst}/tables")
+        own.write.mode("overwrite").parquet(f"{dst}/arrived/epoch={epoch}")
 
     _run(rows.writeStream.option("checkpointLocation", f"{dst}/checkpoint").foreachBatch(put))
     return spark.read.parquet(f"{dst}/tables/zone")
