@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, with production parameters over whole tables."""
+"""Registered queries of the operators, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zoneforge.llm import cotraining, decision_list, exact_dedup, mixing, packing, simhash, substring_dedup, surrogates, token_file, toxicity
+from zoneforge.llm import alignment, cotraining, decision_list, exact_dedup, mixing, packing, simhash, substring_dedup, surrogates, token_file, toxicity
 from zoneforge.llm.common import read
 
 
@@ -50,8 +50,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(read(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_surrogates, op2_cotraining, op3_toxicity, op4_packing, op5_decision_list, op6_simhash, op7_token_file, op8_mixing, op9_substring_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_surrogates, op2_cotraining, op3_toxicity, op4_packing, op5_decision_list, op6_simhash, op7_token_file, op8_mixing, op9_substring_dedup, op10_exact_dedup, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
