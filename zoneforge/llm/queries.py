@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zoneforge.llm import alignment, cotraining, decision_list, exact_dedup, mixing, packing, simhash, substring_dedup, surrogates, token_file, toxicity
+from zoneforge.llm import alignment, collocations, cotraining, decision_list, exact_dedup, mixing, packing, simhash, substring_dedup, surrogates, token_file, toxicity, warc
 from zoneforge.llm.common import read
 
 
@@ -50,13 +50,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(read(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(read(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_surrogates, op2_cotraining, op3_toxicity, op4_packing, op5_decision_list, op6_simhash, op7_token_file, op8_mixing, op9_substring_dedup, op10_exact_dedup, op13_alignment)}
+    every = (op1_surrogates, op2_cotraining, op3_toxicity, op4_packing, op5_decision_list, op6_simhash, op7_token_file, op8_mixing, op9_substring_dedup, op10_exact_dedup, op11_warc, op12_collocations, op13_alignment)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_substring_dedup": substring_dedup.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op9_substring_dedup": substring_dedup.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op11_warc": warc.ORACLE, "op12_collocations": collocations.ORACLE}
