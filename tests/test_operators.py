@@ -280,23 +280,3 @@ def test_novelty_can_keep_one_zone_of_an_assembly(spark):
     every = {tuple(x) for x in splits.select_novel_zones(rows).collect()}
     one = {tuple(x) for x in splits.select_novel_zones(rows, True).collect()}
     assert every == {(1, 1), (1, 2), (2, 3)} and one == {(1, 1), (2, 3)}
-
-
-def test_stream_pick_remembers_keys_and_whole_assemblies(spark, tmp_path):
-    from zoneforge.streaming.jobs import stream_pick
-
-    src, dst, schema = f"file://{tmp_path}/src", f"file://{tmp_path}/dst", "assembly_id long, key string"
-
-    def pick(batch, seen):
-        fresh = batch if seen is None else batch.join(seen, "key", "left_anti")
-        return {"zone": fresh.selectExpr("xxhash64(assembly_id, key) AS zone_id", "assembly_id", "key"), "novel_key": batch.select("key").distinct()}
-
-    def arrive(*rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        return sorted((x.assembly_id, x.key) for x in stream_pick(spark, src, dst, pick, schema).collect())
-
-    assert arrive((1, "a"), (2, "b")) == [(1, "a"), (2, "b")]
-    assert arrive((3, "a"), (3, "c"), (4, "c")) == [(1, "a"), (2, "b"), (3, "c"), (4, "c")]
-    assert len(stream_pick(spark, src, dst, pick, schema).collect()) == 4
-    with pytest.raises(Exception, match="two batches"):
-        arrive((2, "z"))

@@ -12,7 +12,8 @@ from zoneforge.fixtures import with_sql
 from zoneforge.functions import frames as f
 from zoneforge.functions.storage import materialize, new_path
 from zoneforge.operators import spatial, splits
-from zoneforge.plans import jobs
+from zoneforge.plans import jobs, pick
+from zoneforge.sources import store
 from zoneforge.streaming import jobs as streams
 
 PARAMS = jobs.PickParams(
@@ -33,10 +34,10 @@ def _inputs(spark, sf):
     return {"atoms": atoms, "asym": asym(spark, sf), "rank": atoms.select("assembly_id").distinct().withColumn("assembly_rank", F.col("assembly_id")), "subchain_entity": entity, "cluster": cluster, "nonspecific": spark.createDataFrame([("GOL",)], "comp_id string")}
 
 
-_SOLID = f", solid AS (SELECT * FROM fx_atoms WHERE assembly_id NOT IN (SELECT assembly_id FROM fx_atoms WHERE element NOT IN ('C','N','O','S','P')) AND NOT (comp_id IN ('GOL','PEG') AND NOT is_polymer))"
+_SOLID = ", checked AS (SELECT * FROM fx_atoms WHERE assembly_id NOT IN (SELECT assembly_id FROM fx_atoms WHERE element NOT IN ('C','N','O','S','P'))), solid AS (SELECT * FROM checked WHERE NOT (comp_id IN ('GOL','PEG') AND NOT is_polymer))"
 _NAME = "CASE {c} WHEN 'A' THEN 'c1' WHEN 'C' THEN 'c2' ELSE concat('e', {c}, assembly_id % 3) END"
 _PICK = (
-    ATOMS + _SOLID + ZONES.replace("FROM fx_atoms GROUP BY assembly_id", "FROM solid GROUP BY assembly_id") + NEAR
+    ATOMS + _SOLID + ZONES.replace("FROM fx_atoms GROUP BY assembly_id", "FROM checked GROUP BY assembly_id") + NEAR
     + f", sdens AS (SELECT z.zone_id, z.assembly_id, cx, cy, cz, coalesce(sum(a.occupancy), 0) / {spatial.sphere_volume_nm3(R)!r} AS density FROM zones z LEFT JOIN solid a ON a.assembly_id = z.assembly_id AND (cx-a.x)*(cx-a.x)+(cy-a.y)*(cy-a.y)+(cz-a.z)*(cz-a.z) <= {R * R} GROUP BY ALL), thick AS (SELECT * FROM sdens WHERE density > {LIMIT})"
     + ASYM + f", keyed AS (SELECT zone_id, assembly_id, {_NAME.format(c='subchain_id')} AS key FROM solo JOIN thick USING (zone_id) WHERE subchain_id <> 'D' UNION ALL"
     + f" SELECT zone_id, assembly_id, concat(least(k1, k2), '|', greatest(k1, k2)) FROM (SELECT zone_id, assembly_id, {_NAME.format(c='subchain_id_1')} AS k1, {_NAME.format(c='subchain_id_2')} AS k2 FROM pair JOIN thick USING (zone_id) WHERE subchain_id_1 <> 'D' AND subchain_id_2 <> 'D')),"
@@ -49,6 +50,62 @@ def pick_training_zones(spark, sf):
     return jobs.pick_training_zones(_inputs(spark, sf), PARAMS)["zone"].select("zone_id", "assembly_id", "center.*")
 
 
+def cif_files(spark, sf, path: str) -> None:
+    """An mmCIF file for each assembly of the atoms' view: chains A to D, of which A and B stand twice in the assembly, and things to leave out."""
+    atoms = fx.atoms(spark, sf).withColumn("vec_id", F.floor(F.col("atom_id") / 21)).withColumn("k", F.col("atom_id") % 21)
+    line = lambda atom_id, element, comp, model: F.concat_ws(" ", F.lit("ATOM"), atom_id, element, F.lit("X"), comp, "subchain_id", F.ascii("subchain_id") - 64, "seq_id", *[F.round(c, 6) for c in "xyz"], "occupancy", "subchain_id", F.lit(model))
+    extra = [("k = 0 AND vec_id % 10 = 0", line(F.col("atom_id") + 10_000_000, F.lit("O"), F.lit("HOH"), "1")), ("k = 1", line(F.col("atom_id") + 20_000_000, F.lit("H"), F.col("comp_id"), "1")), ("k = 2", line(F.col("atom_id"), F.col("element"), F.col("comp_id"), "2"))]
+    rows = atoms.select("assembly_id", line(F.col("atom_id"), F.col("element"), F.col("comp_id"), "1").alias("line"))
+    for which, text in extra:
+        rows = rows.unionByName(atoms.where(which).select("assembly_id", text.alias("line")))
+    fields = "group_PDB id type_symbol label_atom_id label_comp_id label_asym_id label_entity_id label_seq_id Cartn_x Cartn_y Cartn_z occupancy auth_asym_id pdbx_PDB_model_num".split()
+    loop = lambda name, columns, body: "#\nloop_\n" + "".join(f"_{name}.{c}\n" for c in columns) + body
+    entity = loop("entity", ["id", "type"], "".join(f"{i} {kind}\n" for i, kind in enumerate(["polymer"] * 3 + ["non-polymer"], 1)))
+    poly = loop("entity_poly", ["entity_id", "type"], "1 'polypeptide(L)'\n2 polydeoxyribonucleotide\n3 'peptide nucleic acid'\n")
+    gen = loop("pdbx_struct_assembly_gen", ["assembly_id", "oper_expression", "asym_id_list"], "1 1,2 A,B\n1 1 C,D\n")
+    matrix = [f"matrix[{i}][{j}]" for i in (1, 2, 3) for j in (1, 2, 3)]
+    ops = loop("pdbx_struct_oper_list", ["id", *matrix, "vector[1]", "vector[2]", "vector[3]"], "".join(f"{i} 1 0 0 0 1 0 0 0 1 {x} 0 0\n" for i, x in ((1, 0), (2, 30))))
+    head = F.concat(F.lit("data_S"), F.lpad(F.col("assembly_id").cast("string"), 2, "0"), F.lit("\n" + entity + poly + gen + ops + loop("atom_site", fields, "")))
+    rows.groupBy("assembly_id").agg(F.concat_ws("\n", F.collect_list("line")).alias("lines")).select(F.concat(head, "lines", F.lit("\n#\n"))).write.option("maxRecordsPerFile", 1).text(path)
+
+
+def file_census(spark, sf) -> pick.Census:
+    """Chains A are one cluster, chains C another; ligands whose first residue is ALA are nonspecific."""
+    names = fx.atoms(spark, sf).select(F.concat(F.lit("s"), F.lpad(F.col("assembly_id").cast("string"), 2, "0")).alias("pdb_id")).distinct()
+    clusters = names.select("pdb_id", F.explode(F.array(*[F.struct(F.lit(e).alias("entity_id"), F.lit(c).alias("cluster_id")) for e, c in (("1", 1), ("3", 2))])).alias("c")).select("pdb_id", "c.*")
+    return pick.Census(clusters=clusters, nonspecific=spark.createDataFrame([("ALA",)], "comp_id string"))
+
+
+_FILED = (
+    f"WITH RECURSIVE src AS ({fx.SQL['fx_atoms']}), base AS (SELECT assembly_id, atom_id, subchain_id, comp_id, element, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, occupancy, subchain_id <> 'D' AS is_polymer FROM src),"
+    " fx_atoms AS (SELECT *, 0 AS symmetry_mate FROM base UNION ALL SELECT * REPLACE (x + 30 AS x), 1 FROM base WHERE subchain_id IN ('A', 'B')), ligand AS (SELECT assembly_id FROM base WHERE subchain_id = 'D' GROUP BY 1 HAVING min(comp_id) <> 'ALA')"
+)
+_FILED_PICK = _PICK.replace(ATOMS, _FILED, 1).replace("WHERE symmetry_mate = 0 AND subchain_id <> 'D'", "WHERE symmetry_mate = 0")
+for _c in ("subchain_id", "subchain_id_1", "subchain_id_2"):
+    _FILED_PICK = _FILED_PICK.replace(_NAME.format(c=_c), f"CASE {_c} WHEN 'A' THEN 'c1' WHEN 'C' THEN 'c2' ELSE concat('e', assembly_id, '/', {_c}) END").replace(f"{_c} <> 'D'", f"({_c} <> 'D' OR assembly_id IN (SELECT assembly_id FROM ligand))")
+_FILED_PICK = _FILED_PICK.replace("(subchain_id <> 'D' OR assembly_id IN (SELECT assembly_id FROM ligand)) AS is_polymer", "subchain_id <> 'D' AS is_polymer")
+
+
+@query(
+    _FILED_PICK + """, kept AS (SELECT * FROM thick WHERE zone_id IN (SELECT zone_id FROM picked)),
+ reach AS (SELECT k.zone_id, count(*) AS atoms FROM kept k JOIN fx_atoms a ON a.assembly_id = k.assembly_id AND (cx-a.x)*(cx-a.x)+(cy-a.y)*(cy-a.y)+(cz-a.z)*(cz-a.z) <= 400 GROUP BY 1)
+SELECT concat('s', lpad(CAST(assembly_id AS VARCHAR), 2, '0')) AS pdb_id, cx AS x, cy AS y, cz AS z, (SELECT count(*) FROM solo s WHERE s.zone_id = k.zone_id) AS subchains, (SELECT count(*) FROM pair p WHERE p.zone_id = k.zone_id) AS pairs, r.atoms
+FROM kept k JOIN reach r ON r.zone_id = k.zone_id"""
+)
+def pick_files(spark, sf):
+    """Zones of the store that mmCIF files were picked into, with their children and the stored atoms around them."""
+    src, path = new_path(spark, "cif"), new_path(spark, "store")
+    cif_files(spark, sf, src)
+    pick.pick_files(spark, f"{src}/*.txt", path, PARAMS, file_census(spark, sf))
+    zone, assembly, structure, atoms, solo, pair = (store.read_table(spark, path, n) for n in ("zone", "assembly", "structure", "atoms", "subchain", "subchain_pair"))
+    centers = zone.select("zone_id", "assembly_id", *[F.col("center")[c].alias(f"c{c}") for c in "xyz"])
+    near = spatial.atoms_within(centers, atoms.select("assembly_id", "x", "y", "z"), R + 5.0).groupBy("zone_id").agg(F.count(F.lit(1)).alias("atoms"))
+    count = lambda df, name: df.groupBy("zone_id").agg(F.count(F.lit(1)).alias(name))
+    out = centers.join(near, "zone_id").join(count(solo, "subchains"), "zone_id", "left").join(count(pair, "pairs"), "zone_id", "left").na.fill(0, ["subchains", "pairs"])
+    named = assembly.select("assembly_id", "struct_id").join(structure.select("struct_id", "pdb_id"), "struct_id")
+    return out.join(named, "assembly_id").select("pdb_id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"), "subchains", "pairs", "atoms")
+
+
 #: Even assemblies arrive before odd ones.
 _ARRIVAL = "(assembly_id % 2 * 1000000000 + assembly_id)"
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,3 +42,44 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _fs(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, whatever its scheme, and the path there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    fs, at = _fs(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, whole."""
+    fs, at = _fs(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file unless there is one of that name: of several writers one does, and the others get False."""
+    fs, at = _fs(spark, path)
+    try:
+        stream = fs.create(at, False)
+    except Py4JJavaError as e:
+        if fs.exists(at):
+            return False
+        raise e
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    return True
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)

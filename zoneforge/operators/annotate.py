@@ -18,11 +18,16 @@ def join_domain_tables(domains: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def annotate_polymers(atoms: DataFrame, entities: DataFrame, polymers: DataFrame, labels: list[str]) -> DataFrame:
-    """is_polymer (false where unknown) and polymer_label: the type's place in ``labels``, null if not listed."""
-    kinds = entities.select(F.col("id").alias("entity_id"), (F.col("type") == "polymer").alias("is_polymer"))
+    """is_polymer (false where unknown) and polymer_label: the type's place in ``labels``, null if not listed.
+
+    Entities are those of one structure, or of each where all three tables have ``pdb_id``.
+    """
+    own_id = ["pdb_id"] if all("pdb_id" in df.columns for df in (atoms, entities, polymers)) else []
+    on = [*own_id, "entity_id"]
+    kinds = entities.select(*own_id, F.col("id").alias("entity_id"), (F.col("type") == "polymer").alias("is_polymer"))
     place = F.array_position(F.array(*map(F.lit, labels)), F.col("type")).cast("int")
-    own = polymers.select("entity_id", F.when(place > 0, place - 1).alias("polymer_label"))
-    return atoms.drop("is_polymer", "polymer_label").join(kinds, "entity_id", "left").join(own, "entity_id", "left").withColumn("is_polymer", F.coalesce("is_polymer", F.lit(False)))
+    own = polymers.select(*on, F.when(place > 0, place - 1).alias("polymer_label"))
+    return atoms.drop("is_polymer", "polymer_label").join(kinds, on, "left").join(own, on, "left").withColumn("is_polymer", F.coalesce("is_polymer", F.lit(False)))
 
 
 def first_domain_per_residue(labelled: DataFrame, key: tuple[str, ...] = ("chain_id",), order: tuple[str, ...] = ("domain_id",)) -> DataFrame:
@@ -51,11 +56,13 @@ def label_domains(domains: DataFrame, classes: DataFrame) -> DataFrame:
 def build_assembly(asym_atoms: DataFrame, gen: DataFrame, ops: DataFrame) -> DataFrame:
     """Atoms of an assembly: each subchain under each of its operators, mates numbered from 0.
 
-    gen: (assembly_id, subchain_id, oper_id); ops: (oper_id, r11 .. r33, t1 .. t3).
+    gen: (assembly_id, subchain_id, oper_id); ops: (oper_id, r11 .. r33, t1 .. t3). With ``pdb_id`` in all of
+    them subchains and operators are those of their structure.
     """
     mate = F.row_number().over(Window.partitionBy("assembly_id", "subchain_id").orderBy("oper_id")) - 1
-    plan = gen.distinct().withColumn("symmetry_mate", mate.cast("int")).join(ops, "oper_id")
-    on = [c for c in ("assembly_id", "subchain_id") if c in asym_atoms.columns]
+    own = ["pdb_id"] if "pdb_id" in gen.columns and "pdb_id" in ops.columns else []
+    plan = gen.distinct().withColumn("symmetry_mate", mate.cast("int")).join(ops, [*own, "oper_id"])
+    on = [c for c in ("assembly_id", "pdb_id", "subchain_id") if c in asym_atoms.columns and c in plan.columns]
     rows = asym_atoms.drop("symmetry_mate").join(plan, on)
     new = {c: F.col(f"r{i}1") * F.col("x") + F.col(f"r{i}2") * F.col("y") + F.col(f"r{i}3") * F.col("z") + F.col(f"t{i}") for i, c in enumerate("xyz", 1)}
     return rows.withColumns(new).drop("oper_id", *(f"r{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)), "t1", "t2", "t3")

@@ -36,9 +36,10 @@ def atoms_within(centers: DataFrame, atoms: DataFrame, radius: float) -> DataFra
 
 def prune_distant_atoms(centers: DataFrame, atoms: DataFrame, radius: float, depth: float) -> DataFrame:
     """Atoms within ``radius + depth`` of any centre; out_of_bounds if none is within ``radius``."""
-    near = atoms_within(centers.select("assembly_id", *CENTER), atoms.select("assembly_id", "atom_id", "x", "y", "z"), radius + depth)
-    least = near.groupBy("assembly_id", "atom_id").agg(F.min("d2").alias("least"))
-    return atoms.drop("out_of_bounds").join(least, ["assembly_id", "atom_id"]).withColumn("out_of_bounds", F.col("least") > radius * radius).drop("least")
+    key = ["assembly_id", "atom_id", *(["symmetry_mate"] if "symmetry_mate" in atoms.columns else [])]
+    near = atoms_within(centers.select("assembly_id", *CENTER), atoms.select(*key, "x", "y", "z"), radius + depth)
+    least = near.groupBy(*key).agg(F.min("d2").alias("least"))
+    return atoms.drop("out_of_bounds").join(least, key).withColumn("out_of_bounds", F.col("least") > radius * radius).drop("least")
 
 
 def count_atoms(atoms: DataFrame, by: list[str]) -> DataFrame:

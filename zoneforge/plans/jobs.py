@@ -63,7 +63,7 @@ def pick_training_zones(inputs: dict[str, DataFrame], params: PickParams) -> dic
 
     inputs: atoms; asym (assembly_id, subchain_id, occupancy: totals of allowed subchains);
     and, for novelty, rank (assembly_id, assembly_rank), subchain_entity (assembly_id, subchain_id, entity_id, comp_id),
-    cluster (entity_id, cluster_id), nonspecific (comp_id), and seen (key) of earlier runs, or None: with it new keys are given as novel_key. Cheap gates stand before dear ones: lists, elements, density, neighbours, subchains, novelty.
+    cluster (entity_id, cluster_id), nonspecific (comp_id), and seen: keys (key) of earlier runs, None, or a function that gives what is new of a table of keys: with it new keys are given as novel_key. Cheap gates stand before dear ones: lists, elements, density, neighbours, subchains, novelty.
     """
     atoms = inputs["atoms"]
     if params.exclude:
@@ -75,7 +75,7 @@ def pick_training_zones(inputs: dict[str, DataFrame], params: PickParams) -> dic
     measure, grid = _density(solid, params)
     if grid is not None:
         atoms, solid = (filters.gate_max_density(x, grid, params.max_density) for x in (atoms, solid))
-    centers = spatial.zone_grid(solid, params.spacing, params.axes)
+    centers = spatial.zone_grid(atoms, params.spacing, params.axes)
     centers = tables.dense_index(centers.select("assembly_id", *[F.round(c, 6).alias(c) for c in spatial.CENTER]), ["assembly_id", *spatial.CENTER], "zone_id")
     zones = materialize(filters.gate_min_density(measure(centers), params.min_density), "zones")
     neighbors = None
@@ -91,8 +91,11 @@ def pick_training_zones(inputs: dict[str, DataFrame], params: PickParams) -> dic
         entity = inputs["subchain_entity"]
         own = lambda df, k="": df.join(where, "zone_id").join(entity.toDF("assembly_id", f"subchain_id{k}", f"entity{k}" if k else "entity_id", f"comp{k}" if k else "comp_id"), ["assembly_id", f"subchain_id{k}"]).drop("assembly_id")
         keys = splits.novelty_keys(own(solo).select("zone_id", "entity_id", "comp_id"), own(own(pairs, "_1"), "_2").select("zone_id", "entity_1", "comp_1", "entity_2", "comp_2"), inputs["cluster"], inputs["nonspecific"])
-        if inputs.get("seen") is not None:
-            keys = keys.join(inputs["seen"].select("key"), "key", "left_anti")
+        seen = inputs.get("seen")
+        if callable(seen):
+            keys = seen(keys)
+        elif seen is not None:
+            keys = keys.join(seen.select("key"), "key", "left_anti")
         ranked = keys.join(where, "zone_id").join(inputs["rank"], "assembly_id").select("assembly_rank", F.col("zone_id").alias("zone"), "key")
         novel = splits.select_novel_zones(ranked).select(F.col("zone").alias("zone_id"))
         zones = materialize(zones.join(novel, "zone_id", "left_semi"), "novel")
