@@ -3,12 +3,13 @@
 import os
 import shutil
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from zoneforge.catalog import composite
 from zoneforge.functions.storage import listed
-from zoneforge.operators import annotate, spatial, splits
+from zoneforge.operators import annotate, density, spatial, splits
 from zoneforge.plans import pick
 from zoneforge.sources import store
 
@@ -108,3 +109,23 @@ def test_operators_of_several_structures_do_not_mix(spark):
     frame = spark.createDataFrame(ops, "pdb_id string, oper_id string, " + ", ".join(f"r{i}{j} double" for i in (1, 2, 3) for j in (1, 2, 3)) + ", t1 double, t2 double, t3 double")
     gen = spark.createDataFrame([(7, "p", "A", "1"), (8, "q", "A", "1"), (8, "q", "A", "2")], "assembly_id long, pdb_id string, subchain_id string, oper_id string")
     assert sorted((r.assembly_id, r.symmetry_mate, r.x) for r in annotate.build_assembly(asym, gen, frame).collect()) == [(7, 0, 1.0), (8, 0, 12.0), (8, 1, 22.0)]
+
+
+def test_one_pass_measures_assemblies_of_two_voxel_sizes(spark):
+    rng = np.random.default_rng(8)
+    rows = [(a, k, *map(float, rng.uniform(0, 30, 3)), 1.0) for a, n in ((1, 400), (2, 900)) for k in range(n)]
+    atoms = spark.createDataFrame(rows, "assembly_id long, atom_id long, x double, y double, z double, occupancy double")
+    points = spark.createDataFrame([(a, 10 * a + k, 15.0 + k, 15.0, 14.0) for a in (1, 2, 3) for k in range(3)], "assembly_id long, zone_id long, cx double, cy double, cz double")
+    sizes = density.coarsen_large(atoms, 2.0, 900, 5.0)
+    assert {r.assembly_id: r.voxel for r in sizes.collect()} == {1: 2.0, 2: 5.0}
+    marked = density.voxel_occupancy(density.with_resolution(atoms, sizes, 2.0))
+    value = lambda df: {r.zone_id: r.density for r in df.collect()}
+    for method in ("fft", "relational"):
+        found = value(density.interpolate_density(density.smooth_density(marked, 8.0, method=method, sizes=(2.0, 5.0)), points))
+        for assembly, voxel in ((1, 2.0), (2, 5.0)):
+            own = atoms.where(F.col("assembly_id") == assembly)
+            alone = value(density.interpolate_density(density.smooth_density(density.voxel_occupancy(own, voxel), 8.0, voxel, method), points, voxel))
+            assert all(found[10 * assembly + k] == pytest.approx(alone[10 * assembly + k]) and alone[10 * assembly + k] > 1 for k in range(3))
+        assert all(found[30 + k] == 0 for k in range(3))
+    with pytest.raises(Exception, match="isn't listed"):
+        density.smooth_density(marked, 8.0, sizes=(2.0,)).collect()

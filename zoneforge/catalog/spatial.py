@@ -96,7 +96,7 @@ def voxel_occupancy(spark, sf):
 
 @query(ATOMS + GRID + KERNEL + SMOOTH + " SELECT assembly_id, ix, iy, iz, round(rho, 6) AS rho FROM smooth WHERE rho > 0.001")
 def smooth_density(spark, sf):
-    return density.smooth_density(voxels(spark, sf), RADIUS, VOXEL).where("rho > 0.001").withColumn("rho", F.round("rho", 6))
+    return density.smooth_density(voxels(spark, sf), RADIUS, VOXEL, "relational").where("rho > 0.001").withColumn("rho", F.round("rho", 6))
 
 
 @query(ATOMS + GRID + KERNEL + SMOOTH + " SELECT assembly_id, ix, iy, iz, round(rho, 6) AS rho FROM smooth WHERE rho > 0.001")
@@ -135,6 +135,38 @@ def interpolate_density(spark, sf):
     return density.interpolate_density(grid, zones(spark, sf), VOXEL).select("zone_id", F.round("density", 6).alias("density"))
 
 
+#: Assemblies of at least the mean number of atoms have voxels of 5 instead of 4.
+MIXED = (VOXEL, 5.0)
+_MIXED = f""", mean AS (SELECT CAST(floor(count(*) / count(DISTINCT assembly_id)) AS BIGINT) AS m FROM fx_atoms),
+sized AS (SELECT assembly_id, CASE WHEN count(*) < (SELECT m FROM mean) THEN CAST({MIXED[0]} AS DOUBLE) ELSE CAST({MIXED[1]} AS DOUBLE) END AS voxel FROM fx_atoms GROUP BY 1),
+vox AS (SELECT assembly_id, voxel, CAST(floor(x/voxel) AS BIGINT) AS ix, CAST(floor(y/voxel) AS BIGINT) AS iy, CAST(floor(z/voxel) AS BIGINT) AS iz, sum(occupancy) / (voxel/10)**3 AS rho FROM fx_atoms JOIN sized USING (assembly_id) GROUP BY 1, 2, 3, 4, 5),
+kern(s, dx, dy, dz, w) AS (SELECT * FROM {_values([(s, *c) for s in MIXED for c in density.kernel_cells(RADIUS, s)])} k),
+smooth AS (SELECT assembly_id, voxel, ix+dx AS ix, iy+dy AS iy, iz+dz AS iz, sum(rho*w) AS rho FROM vox JOIN kern ON s = voxel GROUP BY 1, 2, 3, 4, 5)"""
+
+
+def mixed_grid(spark, sf, method):
+    atoms = fx.atoms(spark, sf)
+    n, assemblies = atoms.agg(F.count(F.lit(1)), F.countDistinct("assembly_id")).first()
+    sizes = density.coarsen_large(atoms, MIXED[0], n // assemblies, MIXED[1])
+    return density.smooth_density(density.voxel_occupancy(density.with_resolution(atoms, sizes, MIXED[0])), RADIUS, method=method, sizes=MIXED)
+
+
+@query(ATOMS + _MIXED + " SELECT assembly_id, voxel, ix, iy, iz, round(rho, 6) AS rho FROM smooth WHERE rho > 0.001")
+def smooth_density_mixed(spark, sf):
+    return mixed_grid(spark, sf, "fft").where("rho > 0.001").withColumn("rho", F.round("rho", 6))
+
+
+@query(ATOMS + ZONES + _MIXED + """, box AS (SELECT assembly_id, voxel, min(ix) AS lx, max(ix) AS hx, min(iy) AS ly, max(iy) AS hy, min(iz) AS lz, max(iz) AS hz FROM smooth GROUP BY 1, 2),
+spot AS (SELECT zone_id, b.*, cx/voxel-0.5 AS ux, cy/voxel-0.5 AS uy, cz/voxel-0.5 AS uz FROM zones JOIN box b USING (assembly_id)),
+corner AS (SELECT zone_id, assembly_id, CAST(floor(ux) AS BIGINT)+ox AS ix, CAST(floor(uy) AS BIGINT)+oy AS iy, CAST(floor(uz) AS BIGINT)+oz AS iz,
+ CASE ox WHEN 1 THEN ux-floor(ux) ELSE 1-(ux-floor(ux)) END * CASE oy WHEN 1 THEN uy-floor(uy) ELSE 1-(uy-floor(uy)) END * CASE oz WHEN 1 THEN uz-floor(uz) ELSE 1-(uz-floor(uz)) END AS w
+ FROM spot, range(2) a(ox), range(2) b(oy), range(2) c(oz) WHERE ux BETWEEN lx AND hx AND uy BETWEEN ly AND hy AND uz BETWEEN lz AND hz),
+met AS (SELECT zone_id, sum(w*rho) AS density FROM corner JOIN smooth USING (assembly_id, ix, iy, iz) GROUP BY 1)
+SELECT z.zone_id, round(coalesce(density, 0), 6) AS density FROM zones z LEFT JOIN met m ON m.zone_id = z.zone_id""")
+def interpolate_density_mixed(spark, sf):
+    return density.interpolate_density(mixed_grid(spark, sf, "relational"), zones(spark, sf)).select("zone_id", F.round("density", 6).alias("density"))
+
+
 @query(ATOMS + ", n AS (SELECT assembly_id, count(*) AS n_atoms FROM fx_atoms GROUP BY 1) SELECT assembly_id, n_atoms, CAST(CASE WHEN n_atoms < 1050 THEN 2 ELSE 5 END AS DOUBLE) AS voxel FROM n")
 def coarsen_large(spark, sf):
     return density.coarsen_large(fx.atoms(spark, sf), 2.0, 1050)

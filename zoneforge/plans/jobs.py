@@ -31,6 +31,8 @@ class PickParams:
     nonbiological: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
     voxel: float = 2.0
+    coarse_voxel: float = density.COARSE
+    coarse_from: int = density.LARGE
     axes: str = "principal"
     density_method: str = "exact"
     geometry: str | None = None
@@ -40,7 +42,7 @@ class PickParams:
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        for name in ("spacing", "density_radius", "zone_radius", "voxel"):
+        for name in ("spacing", "density_radius", "zone_radius", "voxel", "coarse_voxel"):
             if not getattr(self, name) > 0:
                 raise ValueError(f"{name} must be positive")
         if any(not 0 <= v <= 1 for v in (*self.solo, *self.pair)):
@@ -51,11 +53,14 @@ class PickParams:
             raise ValueError(f"unknown keys: {', '.join(sorted(self.extra))}")
 
 
-def _density(atoms: DataFrame, params: PickParams) -> tuple[Callable[[DataFrame], DataFrame], DataFrame | None]:
+def _density(atoms: DataFrame, solid: DataFrame, params: PickParams) -> tuple[Callable[[DataFrame], DataFrame], DataFrame | None]:
+    """What measures points by the density of ``solid``, and the grid if there is one. Assemblies of very many ``atoms`` have coarse voxels, in the same pass."""
     if params.density_method == "exact":
-        return lambda points: spatial.exact_density(atoms, points, params.density_radius), None
-    grid = materialize(density.smooth_density(density.voxel_occupancy(atoms, params.voxel), params.density_radius, params.voxel, "fft"), "grid")
-    return lambda points: density.interpolate_density(grid, points, params.voxel), grid
+        return lambda points: spatial.exact_density(solid, points, params.density_radius), None
+    sizes = density.coarsen_large(atoms, params.voxel, params.coarse_from, params.coarse_voxel)
+    voxels = density.voxel_occupancy(density.with_resolution(solid, sizes, params.voxel))
+    grid = materialize(density.smooth_density(voxels, params.density_radius, sizes=(params.voxel, params.coarse_voxel)), "grid")
+    return lambda points: density.interpolate_density(grid, points), grid
 
 
 def pick_training_zones(inputs: dict[str, DataFrame], params: PickParams) -> dict[str, DataFrame]:
@@ -72,7 +77,7 @@ def pick_training_zones(inputs: dict[str, DataFrame], params: PickParams) -> dic
         ok = filters.check_elements(atoms, list(params.elements)).where("ok")
         atoms = atoms.join(ok, "assembly_id", "left_semi")
     solid = filters.prune_nonbiological(atoms, list(params.nonbiological))
-    measure, grid = _density(solid, params)
+    measure, grid = _density(atoms, solid, params)
     if grid is not None:
         atoms, solid = (filters.gate_max_density(x, grid, params.max_density) for x in (atoms, solid))
     centers = spatial.zone_grid(atoms, params.spacing, params.axes)
