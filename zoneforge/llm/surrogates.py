@@ -189,11 +189,22 @@ def _address(value: str, s: Stream, attempt: int) -> str:
     return " ".join([str(1 + s.below(10 ** min(5, len(number)) - 1)), *invented, last])
 
 
+def _ipv6(value: str, s: Stream, attempt: int) -> str:
+    """Other hex digits; after some attempts each group has one more, up to 4, and behind the gap stand more groups, up to 7 in all."""
+    more = max(0, attempt - PATIENCE + 1)
+    left, gap, right = value.partition("::")
+    groups = [side.split(":") if side else [] for side in (left, right)]
+    if gap:
+        groups[1] += ["0"] * min(more, 7 - len(groups[0]) - len(groups[1]))
+    drawn = ["".join("0123456789abcdef"[s.below(16)] for _ in range(min(4, len(g) + more))) for side in groups for g in side]
+    return ":".join(drawn[: len(groups[0])]) + gap + ":".join(drawn[len(groups[0]) :])
+
+
 def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
     """The canonical surrogate of a canonical value: same kind, length of digits, script and gender.
 
     From the attempt ``PATIENCE`` on surrogates are longer with each attempt, or a secret is all
-    letters, so that each value settles; but an IP address, which has 254^4 draws.
+    letters, so that each value settles; but an IPv4 address, which has 254^4 draws.
     """
     s = Stream(key, kind, value, attempt)
     if kind == "email":
@@ -210,7 +221,7 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
     if kind in ("phone", "iban", "birth", "address"):
         return {"phone": _phone, "iban": _iban, "birth": _date, "address": _address}[kind](value, s, attempt)
     if kind == "ipv6":
-        return re.sub("[0-9a-f]", lambda m: "0123456789abcdef"[s.below(16)], value)
+        return _ipv6(value, s, attempt)
     if kind.startswith(("given:other", "family:other")):
         return _drawn(value, s, attempt)
     if kind.startswith("given"):
