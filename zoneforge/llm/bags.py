@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoneforge.llm.common import NULL_ID
+from zoneforge.llm.common import NULL_ID, materialize
 from zoneforge.llm.words import bounds, mix, raw, word_hashes
 
 #: Bits of a hashed feature; features of a word are itself and its first bytes, for stems that take many endings.
 FEATURE_BITS, PREFIXES = 18, (5, 7)
+#: Rows left out of the counts that are broadcast at most.
+FEW = 1_000_000
 SIZE = 1 << FEATURE_BITS
 
 _NOT_LETTER = np.ones(256, bool)
@@ -62,28 +64,49 @@ def lists(doc: np.ndarray, feature: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cut), pa.array(feature.astype(np.int32)))
 
 
-def frequencies(rows: DataFrame) -> tuple[np.ndarray, int, int]:
+def frequencies(rows: DataFrame, few: int = FEW) -> tuple[np.ndarray, int, int]:
     """(documents that each feature is in, documents counted, rows) over all ``rows`` (doc_id, text).
 
-    A task counts one of texts that are much alike, so a group of copies counts as often as there are
-    tasks at most. Tasks add up their own; only one number a feature leaves them.
+    Of texts that are much alike one counts, whatever task they lie in: of each first key the row of the least hash, and of those
+    that share a second key again; two aggregates find them. All rows are counted by tasks first, then the others are read once
+    more and taken off: they are broadcast up to ``few`` (32 bytes each) and joined beyond. So the counts hang on the rows alone.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen, docs, every = np.zeros(SIZE, np.int64), set(), 0, 0
+        total, names = np.zeros(SIZE, np.int64), ["feature", "n", "doc_id", "digest", "first", "second"]
         for batch in batches:
             doc, feature = features(batch.column(1))
-            own = fresh(keys(doc, feature, batch.num_rows), seen)
-            total += np.bincount(feature[own[doc]], minlength=SIZE)
-            docs, every = docs + int(own.sum()), every + batch.num_rows
+            found = keys(doc, feature, batch.num_rows).view(np.int64)
+            total += np.bincount(feature, minlength=SIZE)
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, batch.column(0), batch.column(2), pa.array(found[:, 0]), pa.array(found[:, 1])], names)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), *[pa.nulls(len(at), pa.int64())] * 4], names)
+
+    marked = rows.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    found = materialize(marked.mapInArrow(count, "feature long, n long, doc_id long, digest long, first long, second long"), "keys")
+    same = materialize(found.where("feature IS NULL").groupBy("doc_id", "digest", "first", "second").agg(F.count(F.lit(1)).alias("n")), "alike")
+    own = F.struct(F.xxhash64("doc_id", "digest").alias("h"), "doc_id", "digest")
+    one = same.where("first <> 0 OR second <> 0").groupBy("first").agg(F.min(F.struct(own.alias("own"), "second")).alias("r"))
+    one = materialize(one.groupBy("r.second").agg(F.min("r.own").alias("own")).select("own.doc_id", "own.digest", F.lit(1).alias("stays")), "stay")
+    # of n equal rows of one id, that many shares of each are taken off
+    off = same.join(one, ["doc_id", "digest"], "left").withColumn("share", 1 - F.coalesce("stays", F.lit(0)) / F.col("n")).where("share > 0 AND (first <> 0 OR second <> 0)").select("doc_id", "digest", "share")
+    off = materialize(off, "off")
+
+    def away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SIZE)
+        for batch in batches:
+            doc, feature = features(batch.column(0))
+            total += np.bincount(feature, batch.column(1).to_numpy()[doc], SIZE)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2]])), pa.array(np.concatenate([total[at], [docs, every]]))], ["feature", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["feature", "n"])
 
-    found = rows.select("doc_id", "text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
-    at, n = found["feature"].to_numpy(), found["n"].to_numpy()
+    again = marked.join(F.broadcast(off) if off.count() <= few else off, ["doc_id", "digest"]).select("text", "share")
+    summed = lambda df, kind: df.groupBy("feature").agg(F.sum("n").cast(kind).alias("n")).toArrow()
     total = np.zeros(SIZE, np.int64)
-    total[at[at >= 0]] = n[at >= 0]
-    return total, int(n[at == -1].sum()), int(n[at == -2].sum())
+    for part, sign in ((summed(found.where("feature IS NOT NULL").select("feature", "n"), "long"), 1), (summed(again.mapInArrow(away, "feature long, n double"), "double"), -1)):
+        total[part["feature"].to_numpy()] += sign * np.rint(part["n"].to_numpy()).astype(np.int64)
+    return total, one.count(), same.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def bagged(rows: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held_out())
     share = known.where("toxic is not null").agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     prior = min(0.9, max(1e-3, share or 0.0))
-    nothing = Model(np.zeros(SIZE, np.float32), float(np.log(prior / (1 - prior))), prior)
+    nothing = Model(np.zeros(SIZE), float(np.log(prior / (1 - prior))), prior)
     chosen = known.where("toxic = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(3))).limit(POSITIVES)
     rows = texts(docs).where(~held_out())
     sample = materialize(bagged(rows.join(F.broadcast(chosen), "doc_id", "left_semi")), "positives")
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     slices = sliced(rows.mapInArrow(compact, "doc_id long, features array<int>"), total, SLICE, "features")
     mean = averaged(slices.groupBy("slice").applyInArrow(learn, "weights array<double>"))
-    weight = np.zeros(SIZE, np.float32)
+    weight = np.zeros(SIZE)
     weight[used] = mean[:-1]
     return Model(weight, float(mean[-1]), prior)
 
