@@ -230,7 +230,15 @@ def noise_by_split(spark, sf):
     return sampling.noise_by_split(params, fx.structure(spark, sf)).select("pdb_id", "noise_distance", "noise_angle")
 
 
-_PLAN = "WITH c AS (SELECT count(*) AS n FROM customer), p AS (SELECT event_id + 2 * (SELECT count(*) FROM events) AS i FROM events), q AS (SELECT i, i % (SELECT n FROM c) AS zone_index, row_number() OVER (ORDER BY md5(concat('5:2:', i)), i) - 1 AS pos FROM p)"
+def _plan_sql() -> str:
+    """Rounds of pairs that swap or not, over the positions of all events."""
+    out = "WITH c AS (SELECT count(*) AS n FROM customer), e AS (SELECT count(*) AS m FROM events), r0 AS (SELECT pos, pos AS x FROM range((SELECT m FROM e)) t(pos))"
+    for k, key in enumerate(sampling.round_keys(5, 2)):
+        out += f", p{k} AS (SELECT pos, x, ({key} % m - x + m) % m AS p FROM r{k}, e), r{k + 1} AS (SELECT pos, CASE WHEN substr(md5(concat('5:2:{k}:', greatest(x, p))), 1, 1) < '8' THEN p ELSE x END AS x FROM p{k})"
+    return out + f", q AS (SELECT pos, x + 2 * m AS i, (x + 2 * m) % n AS zone_index FROM r{sampling.ROUNDS}, e, c), p AS (SELECT * FROM events)"
+
+
+_PLAN = _plan_sql()
 
 
 def _plan(spark, sf):
@@ -320,6 +328,35 @@ def _digest(packed, name, keep=()):
     return packed.select("i", *keep, F.size(name).cast("long").alias("n"), F.round(total, 3).alias("total"), F.round(weighted, 3).alias("weighted"))
 
 
+#: Spheres so small that each lies in one voxel, so the exact overlap is a count; the second view is the first one mirrored.
+SMALL = raster.Grid(length=9, resolution=2.0, channels=4, radius=1e-7)
+MEAN, STD = [0.1, 0.2, 0.0, 0.3], [0.5, 1.0, 2.0, 0.25]
+_SEEN = ", seen AS (SELECT *, 0 AS view, x AS sx FROM chans UNION ALL SELECT *, 1, -x FROM chans)"
+_SHOWN = f""", shown AS (SELECT i, view, channel, CAST(floor((sx+9)/2) AS INT) AS vx, CAST(floor((y+9)/2) AS INT) AS vy, CAST(floor((z+9)/2) AS INT) AS vz, sum(occupancy) AS value FROM (SELECT *, unnest(channels) AS channel FROM seen)
+ WHERE floor((sx+9)/2) BETWEEN 0 AND 8 AND floor((y+9)/2) BETWEEN 0 AND 8 AND floor((z+9)/2) BETWEEN 0 AND 8 GROUP BY ALL),
+every AS (SELECT s.i, CAST(w AS INT) AS view, CAST(c AS INT) AS channel, CAST(a AS INT) AS vx, CAST(b AS INT) AS vy, CAST(d AS INT) AS vz, (coalesce(value, 0) - {MEAN}[CAST(c + 1 AS INT)]) / {STD}[CAST(c + 1 AS INT)] AS value
+ FROM (SELECT DISTINCT assembly_id AS i FROM fx_atoms) s CROSS JOIN range(2) t0(w) CROSS JOIN range(4) t1(c) CROSS JOIN range(9) t2(a) CROSS JOIN range(9) t3(b) CROSS JOIN range(9) t4(d) LEFT JOIN shown r ON r.i = s.i AND r.view = w AND channel = c AND vx = a AND vy = b AND vz = d)"""
+
+
+def _stacks(spark, sf):
+    chans = _channels(spark, sf).select("i", "channels", "x", "y", "z", "occupancy")
+    seen = chans.withColumn("view", F.lit(0)).unionByName(chans.withColumns({"view": F.lit(1), "x": -F.col("x")}))
+    return raster.image_stacks(seen, _samples(spark, sf), SMALL, 2, MEAN, STD)
+
+
+@query(ATOMS + _CLIP + _CHAN + _SEEN + _SHOWN + f" SELECT i, view, count(*) AS n, round(sum(value), 3) AS total, round(sum(value * (({_AT}) % 7)), 3) AS weighted FROM every GROUP BY 1, 2")
+def image_stacks(spark, sf):
+    one = _stacks(spark, sf).select("i", F.posexplode("images").alias("view", "image"))
+    return _digest(one, "image", ("view",))
+
+
+@query(ATOMS + _CLIP + _CHAN + f", kept AS (SELECT i, unnest(channels) AS channel, occupancy FROM chans WHERE abs(x) < 8 AND abs(y) < 8 AND abs(z) < 8) SELECT i, CAST(channel AS INT) AS channel, round(sum(occupancy), 4) AS total FROM kept GROUP BY 1, 2")
+def rasterize_overlaps(spark, sf):
+    """Spheres of the voxels' own radius, wholly inside: the voxels of a channel sum to the occupancy, whatever their shares."""
+    inside = _channels(spark, sf).where("abs(x) < 8 AND abs(y) < 8 AND abs(z) < 8")
+    return raster.rasterize(inside, GRID).groupBy("i", "channel").agg(F.round(F.sum("value"), 4).alias("total"))
+
+
 @query(ATOMS + _CLIP + _CHAN + _RAST + _DENSE + " SELECT i, CAST(i % 6 AS INT) AS label, 2 AS views, round(sum(value), 3) AS total_a, round(sum(value) * 2, 3) AS total_b FROM dense GROUP BY 1")
 def image_pair(spark, sf):
     voxels = raster.dense(raster.rasterize(_channels(spark, sf), GRID, _K), _samples(spark, sf), GRID)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -94,15 +95,41 @@ def noise_by_split(params: NeighborParams, df: DataFrame, keep_for: tuple[str, .
     return df.withColumn("noise_distance", F.when(wanted, params.noise_distance).otherwise(0.0)).withColumn("noise_angle", F.when(wanted, params.noise_angle).otherwise(0.0))
 
 
+#: Rounds of the shuffle: more than four to a bit of the epochs' sizes in use.
+ROUNDS = 24
+
+
+def round_keys(seed: int, epoch: int) -> list[int]:
+    """A number below 2^52 for each round."""
+    return [int(hashlib.md5(f"{seed}:{epoch}:{k}".encode()).hexdigest()[:13], 16) for k in range(ROUNDS)]
+
+
+def shuffled(df: DataFrame, column: str, n: int, seed: int, epoch: int, name: str) -> DataFrame:
+    """``name``: the place of ``column`` (0 to n - 1) in a pseudorandom order of all n, by column expressions alone.
+
+    A round pairs x with key - x (mod n) and swaps a pair or not, by a bit that hangs on the pair, so it is one to
+    one for any n; rows need not meet.
+    """
+    out = df.withColumn("_x", F.col(column).cast("long"))
+    for k, key in enumerate(round_keys(seed, epoch)):
+        out = out.withColumn("_p", F.pmod(F.lit(key % n) - F.col("_x"), F.lit(n)))
+        digit = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.lit(str(k)), F.greatest("_x", "_p").cast("string")).cast("binary")), 1, 1)
+        out = out.withColumn("_x", F.when(digit < "8", F.col("_p")).otherwise(F.col("_x")))
+    return out.withColumnRenamed("_x", name).drop("_p")
+
+
 def epoch_plan(n: int, epoch: int, size: int, seed: int, advance: bool, zones: DataFrame) -> DataFrame:
-    """(pos, i): the epoch's ``size`` samples in shuffled order; i moves on each epoch only if it is to ``advance``.
+    """(pos, i, zone_index): the epoch's ``size`` samples in shuffled order; i moves on each epoch only if it is to ``advance``.
 
-    ``zones`` (at least ``n`` rows) gives the session and partitions; the order is by hash of (seed, epoch, i).
+    ``zones`` gives the session. Nothing is sorted or written: each position finds its sample by itself.
     """
     start = epoch * size if advance else 0
-    rows = zones.sparkSession.range(start, start + size).select(F.col("id").alias("i"), F.pmod("id", F.lit(max(1, n))).alias("zone_index"))
-    shuffled = rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col("i").cast("string")).cast("binary")))
-    return dense_index(shuffled, ["_h", "i"], "pos").select("pos", "i", "zone_index")
+    rows = zones.sparkSession.range(size).select(F.col("id").alias("pos"))
+    if size:
+        rows = shuffled(rows, "pos", size, seed, epoch, "i").withColumn("i", F.col("i") + start)
+    else:
+        rows = rows.withColumn("i", F.col("pos"))
+    return rows.select("pos", "i", F.pmod("i", F.lit(max(1, n))).alias("zone_index"))
 
 
 def batch_plan(plan: DataFrame, size: int) -> DataFrame:

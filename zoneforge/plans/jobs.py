@@ -127,8 +127,26 @@ def assign_splits(counts: DataFrame, clusters: DataFrame, targets: dict[str, flo
     return given, splits.split_summary(given, counts, targets)
 
 
-def make_samples(store: dict[str, DataFrame], split: str, size: float, start: int, n: int, max_difficulty: float = 1.0, pair: sampling.NeighborParams | None = None, grid: raster.Grid | None = None, channels: list[list[str]] | None = None) -> DataFrame:
-    """Samples ``start`` to ``start + n - 1`` of a split: frames, and images if a grid is given.
+@dataclass(frozen=True)
+class ImageParams:
+    """How samples are shown: a channel for each list of elements, one more for atoms of which ``ligand`` (SQL) holds, of atoms that ``keep`` (SQL) lets pass."""
+
+    length: int
+    resolution: float
+    channels: tuple[tuple[str, ...], ...] = (("*",),)
+    radius: float | None = None
+    ligand: str | None = None
+    keep: str | None = None
+    mean: float | tuple[float, ...] = 0.0
+    std: float | tuple[float, ...] = 1.0
+
+    @property
+    def grid(self) -> raster.Grid:
+        return raster.Grid(self.length, self.resolution, len(self.channels) + (self.ligand is not None), self.radius)
+
+
+def make_samples(store: dict[str, DataFrame], split: str, size: float, start: int, n: int, max_difficulty: float = 1.0, pair: sampling.NeighborParams | None = None, image: ImageParams | None = None) -> DataFrame:
+    """Samples ``start`` to ``start + n - 1`` of a split: frames, and normalised images if ``image`` says how (``image``, or ``image_a`` and ``image_b`` of pairs).
 
     Only the train split is filtered by the curriculum, and a limit of 1 or more filters nothing.
     """
@@ -145,17 +163,20 @@ def make_samples(store: dict[str, DataFrame], split: str, size: float, start: in
             drawn = drawn.join(spatial.collect_neighbors(store["zone_neighbor"]), "zone_id", "left")
         out = sampling.neighbor_frames(drawn, dirs, pair, size)
         views = {"frame_a": "image_a", "frame_c": "image_b"}
-    if grid is None:
+    if image is None:
         return out
-    out = materialize(out, "samples")
-    result = out
-    for view, name in views.items():
-        reach = (grid.half + grid.atom_radius) * 3**0.5
-        near = sampling.apply_frames(store["atoms"], out.select("i", "assembly_id", view), view, reach)
-        seen = raster.element_channels(raster.clip_to_image(near, grid), channels or [["*"]])
-        packed = raster.images(raster.rasterize(seen, grid), out.select("i"), grid)
-        result = result.join(packed.withColumnRenamed("image", name), "i")
-    return result
+    out, grid = materialize(out, "samples"), image.grid
+    atoms = store["atoms"] if image.keep is None else store["atoms"].where(image.keep)
+    reach = (grid.half + grid.atom_radius) * 3**0.5
+    seen = None
+    for k, view in enumerate(views):
+        near = raster.clip_to_image(sampling.apply_frames(atoms, out.select("i", "assembly_id", view), view, reach), grid)
+        near = raster.element_channels(near, [list(c) for c in image.channels])
+        near = near if image.ligand is None else raster.ligand_channel(near, image.ligand, len(image.channels))
+        near = near.select("i", "channels", "x", "y", "z", "occupancy", F.lit(k).alias("view"))
+        seen = near if seen is None else seen.unionByName(near)
+    packed = raster.image_stacks(seen, out, grid, len(views), image.mean, image.std)
+    return out.join(packed, "i").withColumns({name: F.col("images")[k] for k, name in enumerate(views.values())}).drop("images")
 
 
 def make_curriculum(store: dict[str, DataFrame], scored: Callable[[DataFrame], DataFrame], replicates: int, size: float, batch: int, pair: sampling.NeighborParams | None = None) -> DataFrame:
