@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from zoneforge.catalog import composite
 from zoneforge.functions.storage import listed
 from zoneforge.operators import annotate, density, spatial, splits
+from zoneforge.operators.graph import components
 from zoneforge.plans import pick
 from zoneforge.sources import store
 
@@ -129,3 +130,22 @@ def test_one_pass_measures_assemblies_of_two_voxel_sizes(spark):
         assert all(found[30 + k] == 0 for k in range(3))
     with pytest.raises(Exception, match="isn't listed"):
         density.smooth_density(marked, 8.0, sizes=(2.0,)).collect()
+
+
+@pytest.mark.parametrize("few", [0, 5, 10_000])
+def test_components_whoever_finishes_them(spark, few):
+    rng = np.random.default_rng(few)
+    edges = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 150, (120, 2))] + [(f"p{k}", f"p{k + 1}") for k in range(60)] + [("alone", "alone")]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "src string, dst string"), few=few).collect()}
+    parent = {v: v for e in edges for v in e}
+    find = lambda v: v if parent[v] == v else find(parent[v])
+    for a, b in edges:
+        parent[find(a)] = find(b)
+    assert got.keys() == parent.keys()
+    assert len({(find(v), got[v]) for v in got}) == len({find(v) for v in got}) == len(set(got.values()))
+
+
+def test_fingerprints_tell_rows_apart(spark):
+    print_of = lambda *rows: store.dataset_fingerprint({"t": spark.createDataFrame(rows, "a string, b string")}).first().fingerprint
+    assert len({print_of(("a|b", "c")), print_of(("a", "b|c")), print_of((None, "c")), print_of(("\\N", "c")), print_of(("N", "c")), print_of(("a", "b"), ("c", "d")), print_of(("a", "d"), ("c", "b"))}) == 7
+    assert print_of(("a", "b"), ("c", "d")) == print_of(("c", "d"), ("a", "b"))

@@ -127,8 +127,8 @@ def append_scores(spark, sf):
 
 
 def _print(t, cols) -> str:
-    cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in sorted(cols))
-    return f"SELECT '{t}' AS \"table\", count(*) AS n, CAST(sum(CAST(concat('0x', substr(md5(concat_ws('|', {cells})), 1, 8)) AS BIGINT)) AS BIGINT) AS fingerprint FROM {t}"
+    cells = ", ".join(f"coalesce(concat(length(CAST({c} AS VARCHAR)), ':', CAST({c} AS VARCHAR)), 'N')" for c in sorted(cols))
+    return f"SELECT '{t}' AS \"table\", count(*) AS n, CAST(sum(CAST(concat('0x', substr(md5(concat({cells})), 1, 15)) AS HUGEINT)) % {1 << 60} AS BIGINT) AS fingerprint FROM {t}"
 
 
 _PRINTED = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], "part": ["p_partkey", "p_name", "p_brand", "p_size"]}

@@ -7,13 +7,11 @@ struct<r: array<double>, t: struct<x,y,z>> and takes v to r v + t.
 from __future__ import annotations
 
 import math
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PHI = (1 + math.sqrt(5)) / 2
-_EVEN = [(a, b, c) for a, b, c in product((1.0, -1.0), repeat=3)]
 
 
 def _scaled(points: list[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
@@ -26,21 +24,30 @@ def directions(name: str) -> list[tuple[float, float, float]]:
 
     The order of the basic sets is fixed, because ids of stored neighbours refer to it.
     """
-    # fixed values: the order decides the ids of neighbours
-    s, g = 1 / math.sqrt(2), PHI
-    if name == "tetrahedron":
-        return _scaled([(1, 0, -s), (-1, 0, -s), (0, 1, s), (0, -1, s)])
-    if name == "cube":
-        return [(0.0, -1.0, 0.0), (0.0, 1.0, 0.0), (-1.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 0.0, 1.0), (0.0, 0.0, -1.0)]
-    if name == "octahedron":
-        return _scaled(_EVEN)
-    if name == "dodecahedron":
-        turns = [lambda a, b: (0.0, a, b), lambda a, b: (a, b, 0.0), lambda a, b: (b, 0.0, a)]
-        return _scaled([turn(a, b * g) for turn in turns for b, a in product((1, -1), repeat=2)])
-    if name == "icosahedron":
-        planes = [lambda a, b: (0.0, a * g, b / g), lambda a, b: (b / g, 0.0, a * g), lambda a, b: (a * g, b / g, 0.0)]
-        rest = [(p(a, b)) for k, p in enumerate(planes) for a, b in ([(1, 1), (1, -1), (-1, 1), (-1, -1)])]
-        return _scaled(_EVEN + rest)
+    # Their order decides the ids of neighbours.
+    s, g, h = 1 / math.sqrt(2), PHI, 1 / PHI
+    fixed = {
+        "tetrahedron": [(1, 0, -s), (-1, 0, -s), (0, 1, s), (0, -1, s)],
+        "cube": [(0, -1, 0), (0, 1, 0), (-1, 0, 0), (1, 0, 0), (0, 0, 1), (0, 0, -1)],
+        "octahedron": [
+            (1, 1, 1), (1, 1, -1), (1, -1, 1), (1, -1, -1),
+            (-1, 1, 1), (-1, 1, -1), (-1, -1, 1), (-1, -1, -1),
+        ],
+        "dodecahedron": [
+            (0, 1, g), (0, -1, g), (0, 1, -g), (0, -1, -g),
+            (1, g, 0), (-1, g, 0), (1, -g, 0), (-1, -g, 0),
+            (g, 0, 1), (g, 0, -1), (-g, 0, 1), (-g, 0, -1),
+        ],
+        "icosahedron": [
+            (1, 1, 1), (1, 1, -1), (1, -1, 1), (1, -1, -1),
+            (-1, 1, 1), (-1, 1, -1), (-1, -1, 1), (-1, -1, -1),
+            (0, g, h), (0, g, -h), (0, -g, h), (0, -g, -h),
+            (h, 0, g), (-h, 0, g), (h, 0, -g), (-h, 0, -g),
+            (g, h, 0), (g, -h, 0), (-g, h, 0), (-g, -h, 0),
+        ],
+    }
+    if name in fixed:
+        return _scaled(fixed[name])
     unions = {"octahedron+cube": ("octahedron", "cube"), "icosahedron+dodecahedron": ("icosahedron", "dodecahedron")}
     if name in unions:
         return [v for part in unions[name] for v in directions(part)]

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from zoneforge.operators.graph import components
 from zoneforge.operators.tables import dense_index
 
+#: Edges that one task may hold (about 100 bytes each) when the rounds on the cluster have left no more.
+FEW_EDGES = 1_000_000
+
 
 def select_novel_zones(candidates: DataFrame, dedupe_within: bool = False) -> DataFrame:
     """(assembly_rank, zone) of zones that show a key no assembly of lower rank shows.
@@ -55,7 +58,7 @@ def connected_groups(structures: DataFrame, clusters: DataFrame) -> DataFrame:
     """
     node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
     edges = clusters.select(node("s", "pdb_id").alias("src"), node("c", "cluster").alias("dst"))
-    roots = components(edges)
+    roots = components(edges, few=FEW_EDGES)
     own = structures.select("pdb_id").distinct().withColumn("node", node("s", "pdb_id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = own.groupBy("root").agg(F.min("pdb_id").alias("group_id"))
     return own.join(least, "root").select("pdb_id", "group_id")

@@ -165,12 +165,17 @@ def append_scores(store: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def dataset_fingerprint(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, n, fingerprint): a sum of row hashes, whatever the order of rows and columns."""
+    """(table, n, fingerprint): the sum of 60-bit hashes of rows, modulo 2^60, whatever the order of rows and columns.
+
+    Each field stands behind its length, and null apart from every text, so different rows hash different bytes.
+    """
     parts = []
     for name, df in tables.items():
-        cells = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(df.columns)]
-        digest = F.conv(F.substring(F.md5(F.concat_ws("|", *cells).cast("binary")), 1, 8), 16, 10).cast("long")
-        parts.append(df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(digest), F.lit(0)).alias("fingerprint")).select(F.lit(name).alias("table"), "n", "fingerprint"))
+        fields = [F.col(c).cast("string") for c in sorted(df.columns)]
+        cells = [F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("N")) for x in fields]
+        digest = F.conv(F.substring(F.md5(F.concat(*cells).cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+        total = F.coalesce(F.sum(digest), F.lit(0).cast("decimal(38,0)")) % F.lit(1 << 60).cast("decimal(38,0)")
+        parts.append(df.agg(F.count(F.lit(1)).alias("n"), total.cast("long").alias("fingerprint")).select(F.lit(name).alias("table"), "n", "fingerprint"))
     return reduce(DataFrame.unionByName, parts)
 
 
