@@ -26,17 +26,17 @@ def test_scores_hang_on_rows_alone(spark, tables):
         assert np.allclose([s for _, s, _ in other], [s for _, s, _ in found[0]], rtol=0, atol=1e-9)
 
 
-@pytest.mark.parametrize("few", [bags.FEW, 0])
-def test_of_texts_much_alike_one_counts(spark, few):
+def test_of_texts_much_alike_one_counts(spark):
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
-    texts = [base] * 5 + ["one two three four", "one two three four", "other words here", None, "", base + " nu"]
-    rows = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)] + [(5, "one two three four")] * 2, "doc_id long, text string").repartition(3)
-    total, docs, every = bags.frequencies(rows, few)
-    keys = {tuple(k) for t in (base, "one two three four", "other words here", base + " nu") for k in [bags.keys(*bags.features(pa.array([t])), 1)[0].tolist()]}
-    alike = len({k[0] for k in keys}) if len({k[0] for k in keys}) == len({k[1] for k in keys}) else None
-    assert every == 13 and docs in (3, 4) and (alike is None or docs == alike)
+    texts = [base] * 5 + ["one two three four", "one two three four", "other words here", None, ""]
+    rows = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)] + [(5, "one two three four")] * 2, "doc_id long, text string")
+    counts = [bags.frequencies(rows.repartition(n)) for n in (1, 3)]
+    assert (counts[0][0] == counts[1][0]).all() and counts[0][1:] == counts[1][1:]
+    total, docs, every = counts[0]
+    assert every == 12 and docs == pytest.approx(3, abs=1e-4)
     doc, feature = bags.features(pa.array(["two", "here", "gamma"]))
-    assert set(total[feature[doc == 0]].tolist()) == {1} and set(total[feature[doc == 1]].tolist()) == {1} and total[feature[doc == 2]].max() == docs - 2
+    for k in range(3):
+        assert total[feature[doc == k]] == pytest.approx(1, abs=1e-4)
 
 
 @pytest.mark.parametrize("values", [[f"{a:x}::{b:x}" for a in range(16) for b in range(16)], [f"{a:x}::0" for a in range(16)]])

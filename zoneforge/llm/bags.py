@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoneforge.llm.common import NULL_ID, materialize
+from zoneforge.llm.common import NULL_ID
 from zoneforge.llm.words import bounds, mix, raw, word_hashes
 
 #: Bits of a hashed feature; features of a word are itself and its first bytes, for stems that take many endings.
 FEATURE_BITS, PREFIXES = 18, (5, 7)
-#: Rows left out of the counts that are broadcast at most.
-FEW = 1_000_000
+#: Bits of the slots of the table of how often keys occur (32 MB); parts that counts of features are added up in.
+SLOT_BITS, PARTS = 22, 16
 SIZE = 1 << FEATURE_BITS
 
 _NOT_LETTER = np.ones(256, bool)
@@ -64,49 +65,60 @@ def lists(doc: np.ndarray, feature: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cut), pa.array(feature.astype(np.int32)))
 
 
-def frequencies(rows: DataFrame, few: int = FEW) -> tuple[np.ndarray, int, int]:
+def _slots(found: np.ndarray) -> np.ndarray:
+    """Places of both keys of each document in the table of how often keys occur."""
+    return (mix(found + np.array([0, 1], np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _occurrences(rows: DataFrame) -> np.ndarray:
+    """How many documents have a key in each slot; the table is of one size for every corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, feature = features(batch.column(0))
+            found = keys(doc, feature, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(_slots(found[found.any(1)]).ravel())], ["slot"])
+
+    found = rows.select("text").mapInArrow(run, "slot long").groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toArrow()
+    table = np.ones(1 << SLOT_BITS, np.int64)
+    table[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return table
+
+
+def frequencies(rows: DataFrame) -> tuple[np.ndarray, float, int]:
     """(documents that each feature is in, documents counted, rows) over all ``rows`` (doc_id, text).
 
-    Of texts that are much alike one counts, whatever task they lie in: of each first key the row of the least hash, and of those
-    that share a second key again; two aggregates find them. All rows are counted by tasks first, then the others are read once
-    more and taken off: they are broadcast up to ``few`` (32 bytes each) and joined beyond. So the counts hang on the rows alone.
+    Texts that are much alike share keys, and a key's documents count as one half, each for its part: so copies don't make chance
+    words look telling, and counts hang on the rows alone, not on how they are dealt. How often keys occur is a table of 2^SLOT_BITS
+    numbers; keys of one slot share as well. Parts are whole numbers of 2^-20, so sums are exact, in any order.
     """
+    shared = rows.sparkSession.sparkContext.broadcast(_occurrences(rows))
+    names, width = ["part", "data"], SIZE // PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, names = np.zeros(SIZE, np.int64), ["feature", "n", "doc_id", "digest", "first", "second"]
-        for batch in batches:
-            doc, feature = features(batch.column(1))
-            found = keys(doc, feature, batch.num_rows).view(np.int64)
-            total += np.bincount(feature, minlength=SIZE)
-            none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, batch.column(0), batch.column(2), pa.array(found[:, 0]), pa.array(found[:, 1])], names)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), *[pa.nulls(len(at), pa.int64())] * 4], names)
-
-    marked = rows.select("doc_id", "text", F.xxhash64("text").alias("digest"))
-    found = materialize(marked.mapInArrow(count, "feature long, n long, doc_id long, digest long, first long, second long"), "keys")
-    same = materialize(found.where("feature IS NULL").groupBy("doc_id", "digest", "first", "second").agg(F.count(F.lit(1)).alias("n")), "alike")
-    own = F.struct(F.xxhash64("doc_id", "digest").alias("h"), "doc_id", "digest")
-    one = same.where("first <> 0 OR second <> 0").groupBy("first").agg(F.min(F.struct(own.alias("own"), "second")).alias("r"))
-    one = materialize(one.groupBy("r.second").agg(F.min("r.own").alias("own")).select("own.doc_id", "own.digest", F.lit(1).alias("stays")), "stay")
-    # of n equal rows of one id, that many shares of each are taken off
-    off = same.join(one, ["doc_id", "digest"], "left").withColumn("share", 1 - F.coalesce("stays", F.lit(0)) / F.col("n")).where("share > 0 AND (first <> 0 OR second <> 0)").select("doc_id", "digest", "share")
-    off = materialize(off, "off")
-
-    def away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE)
+        total, every, docs = np.zeros(SIZE), 0, 0
         for batch in batches:
             doc, feature = features(batch.column(0))
-            total += np.bincount(feature, batch.column(1).to_numpy()[doc], SIZE)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["feature", "n"])
-
-    again = marked.join(F.broadcast(off) if off.count() <= few else off, ["doc_id", "digest"]).select("text", "share")
-    summed = lambda df, kind: df.groupBy("feature").agg(F.sum("n").cast(kind).alias("n")).toArrow()
-    total = np.zeros(SIZE, np.int64)
-    for part, sign in ((summed(found.where("feature IS NOT NULL").select("feature", "n"), "long"), 1), (summed(again.mapInArrow(away, "feature long, n double"), "double"), -1)):
-        total[part["feature"].to_numpy()] += sign * np.rint(part["n"].to_numpy()).astype(np.int64)
-    return total, one.count(), same.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            found = keys(doc, feature, batch.num_rows)
+            share = np.where(found.any(1), np.rint((1 << 19) / shared.value[_slots(found)]).sum(1), 0)
+            total += np.bincount(feature, share[doc], SIZE)
+            every, docs = every + batch.num_rows, docs + int(share.sum())
+        parts = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in [*total.reshape(PARTS, width), np.array([docs, every])]]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS + 1), pa.int32()), pa.array(parts, pa.binary())], names)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(data), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], names)
+
+    counted = rows.select("text").mapInArrow(count, "part int, data binary").repartition(PARTS, "part").mapInArrow(add, "part int, data binary").toArrow()
+    sums = {part: np.frombuffer(data, "<i8") for part, data in zip(counted["part"].to_pylist(), counted["data"].to_pylist(), strict=True)}
+    if not sums:
+        return np.zeros(SIZE), 0.0, 0
+    docs, every = sums.pop(PARTS).tolist()
+    return np.concatenate([sums[k] for k in range(PARTS)]) / (1 << 20), docs / (1 << 20), every
 
 
 def bagged(rows: DataFrame) -> DataFrame:
