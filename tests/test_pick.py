@@ -149,3 +149,27 @@ def test_fingerprints_tell_rows_apart(spark):
     print_of = lambda *rows: store.dataset_fingerprint({"t": spark.createDataFrame(rows, "a string, b string")}).first().fingerprint
     assert len({print_of(("a|b", "c")), print_of(("a", "b|c")), print_of((None, "c")), print_of(("\\N", "c")), print_of(("N", "c")), print_of(("a", "b"), ("c", "d")), print_of(("a", "d"), ("c", "b"))}) == 7
     assert print_of(("a", "b"), ("c", "d")) == print_of(("c", "d"), ("a", "b"))
+
+
+def test_atoms_laid_out_by_cell_are_not_shuffled(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(int(a), k, *map(float, rng.uniform(0, 60, 3)), 1.0) for k, a in enumerate(rng.choice([1, 2, 3], 2000, p=[0.9, 0.05, 0.05]))]
+    atoms = spark.createDataFrame(rows, "assembly_id long, atom_id long, x double, y double, z double, occupancy double")
+    centers = spark.createDataFrame([(a, 10 * a + k, *map(float, rng.uniform(10, 50, 3))) for a in (1, 2, 3) for k in range(5)], "assembly_id long, zone_id long, cx double, cy double, cz double")
+    laid = spatial.lay_out(atoms, "zf_laid_test", 10.0, f"file://{tmp_path}/laid")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for radius in (10.0, 6.0, 14.0):
+            found, plain = (spatial.atoms_within(centers, x, radius) for x in (laid, atoms))
+            key = lambda df: sorted((r.zone_id, r.atom_id) for r in df.collect())
+            assert key(found) == key(plain) and found.columns == plain.columns
+            plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+            assert plan.count("Exchange hashpartitioning") == (1 if radius <= 10 else 2)
+        value = lambda x: {r.zone_id: r.density for r in spatial.exact_density(x, centers, 8.0).collect()}
+        assert value(laid) == pytest.approx(value(atoms))
+        sizes = laid.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert sizes < 500  # an assembly of 1800 atoms is in many buckets
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE zf_laid_test")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from zoneforge.catalog.samples import V
 from zoneforge.catalog.stored import _values
 from zoneforge.fixtures import table, with_sql
 from zoneforge.functions import frames
+from zoneforge.functions.storage import new_path
 from zoneforge.operators import annotate, density, filters, spatial
 from zoneforge.operators.tables import dense_index
 
@@ -207,6 +209,13 @@ def atoms_within(spark, sf):
     return spatial.atoms_within(zones(spark, sf), fx.atoms(spark, sf), R).select("zone_id", "assembly_id", "atom_id")
 
 
+@query(ATOMS + ZONES + NEAR + " SELECT zone_id, assembly_id, atom_id FROM near")
+def atoms_within_laid_out(spark, sf):
+    """The same search on atoms that lie in buckets of assembly and cell."""
+    laid = spatial.lay_out(fx.atoms(spark, sf), f"zf_atoms_{uuid.uuid4().hex}", R, new_path(spark, "laid"))
+    return spatial.atoms_within(zones(spark, sf), laid, R).select("zone_id", "assembly_id", "atom_id")
+
+
 @query(ATOMS + ZONES + NEAR + DENSE + " SELECT zone_id, round(density, 6) AS density FROM dens")
 def exact_density(spark, sf):
     return measured(spark, sf).select("zone_id", F.round("density", 6).alias("density"))

@@ -21,25 +21,54 @@ def _near_cells(radius: float) -> Column:
     return F.flatten(F.transform(around, lambda i: F.flatten(F.transform(around, lambda j: F.transform(around, lambda k: F.struct(cell("cx", i).alias("ix"), cell("cy", j).alias("iy"), cell("cz", k).alias("iz")))))))
 
 
+CELL = ("ix", "iy", "iz")
+
+
+def celled(atoms: DataFrame, width: float) -> DataFrame:
+    """Atoms with the cell that each lies in; the width of cells goes with the columns."""
+    cells = {i: F.floor(F.col(c) / width).cast("long") for i, c in zip(CELL, "xyz", strict=True)}
+    return atoms.select(*[c for c in atoms.columns if c not in CELL], *[v.alias(i, metadata={"width": float(width)}) for i, v in cells.items()])
+
+
+def cell_columns(atoms: DataFrame) -> list[str]:
+    """The columns of the cells that atoms are laid out by; none if they aren't."""
+    return list(CELL) if all(c in atoms.columns and "width" in atoms.schema[c].metadata for c in CELL) else []
+
+
+def lay_out(atoms: DataFrame, table: str, width: float, path: str, buckets: int | None = None) -> DataFrame:
+    """Write atoms as a table bucketed by assembly and cell, and read it.
+
+    Searches up to ``width`` then join on the buckets as they lie: atoms aren't shuffled again, however often they are searched, and
+    an assembly is in as many buckets as it has cells. At least as many buckets as a shuffle has parts, or Spark would deal both sides anew.
+    """
+    spark = atoms.sparkSession
+    buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    key = ("assembly_id", *CELL)
+    celled(atoms, width).repartition(buckets, *key).write.option("path", path).bucketBy(buckets, *key).sortBy(*key).mode("overwrite").saveAsTable(table)
+    return spark.table(table)
+
+
 def atoms_within(centers: DataFrame, atoms: DataFrame, radius: float) -> DataFrame:
     """Atoms within ``radius`` (inclusive) of each centre of their assembly, and d2.
 
     centers: (assembly_id, zone_id, cx, cy, cz). Space is cut in cells of
-    ``radius``; a centre stands in 27 of them, an atom in one, so this is an equi-join on
-    cells. A dense assembly is many cells, hence many tasks.
+    ``radius``, or of the greater width that atoms are laid out by; a centre stands in 27 of them, an atom in one, so this is an
+    equi-join on cells. A dense assembly is many cells, hence many tasks.
     """
-    spread = centers.select("*", F.explode(_near_cells(radius)).alias("cell")).select(*centers.columns, "cell.*")
-    cells = {i: F.floor(F.col(c) / radius).cast("long") for i, c in zip(("ix", "iy", "iz"), "xyz", strict=True)}
-    joined = atoms.withColumns(cells).join(spread, ["assembly_id", "ix", "iy", "iz"]).withColumn("d2", distance2())
+    width = atoms.schema["ix"].metadata["width"] if cell_columns(atoms) else 0.0
+    if width < radius:
+        atoms, width = celled(atoms, radius), radius
+    spread = centers.select("*", F.explode(_near_cells(width)).alias("cell")).select(*centers.columns, "cell.*")
+    joined = atoms.join(spread, ["assembly_id", *CELL]).withColumn("d2", distance2())
     return joined.where(F.col("d2") <= radius * radius).drop("ix", "iy", "iz")
 
 
 def prune_distant_atoms(centers: DataFrame, atoms: DataFrame, radius: float, depth: float) -> DataFrame:
     """Atoms within ``radius + depth`` of any centre; out_of_bounds if none is within ``radius``."""
     key = ["assembly_id", "atom_id", *(["symmetry_mate"] if "symmetry_mate" in atoms.columns else [])]
-    near = atoms_within(centers.select("assembly_id", *CENTER), atoms.select(*key, "x", "y", "z"), radius + depth)
+    near = atoms_within(centers.select("assembly_id", *CENTER), atoms.select(*key, "x", "y", "z", *cell_columns(atoms)), radius + depth)
     least = near.groupBy(*key).agg(F.min("d2").alias("least"))
-    return atoms.drop("out_of_bounds").join(least, key).withColumn("out_of_bounds", F.col("least") > radius * radius).drop("least")
+    return atoms.drop("out_of_bounds", *cell_columns(atoms)).join(least, key).withColumn("out_of_bounds", F.col("least") > radius * radius).drop("least")
 
 
 def count_atoms(atoms: DataFrame, by: list[str]) -> DataFrame:
@@ -53,7 +82,7 @@ def sphere_volume_nm3(radius: float) -> float:
 
 def exact_density(atoms: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """``points`` with density: occupancy within ``radius`` over the sphere's volume, in atoms a cubic nanometre."""
-    near = atoms_within(points.select("assembly_id", "zone_id", *CENTER), atoms.select("assembly_id", "x", "y", "z", "occupancy"), radius)
+    near = atoms_within(points.select("assembly_id", "zone_id", *CENTER), atoms.select("assembly_id", "x", "y", "z", "occupancy", *cell_columns(atoms)), radius)
     found = near.groupBy("assembly_id", "zone_id").agg((F.sum("occupancy") / sphere_volume_nm3(radius)).alias("density"))
     return points.join(found, ["assembly_id", "zone_id"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)))
 
@@ -92,7 +121,7 @@ def subchain_fractions(counts: DataFrame) -> DataFrame:
 
 
 def zone_fractions(zones: DataFrame, atoms: DataFrame, asym: DataFrame, radius: float, allowed: DataFrame | None = None) -> DataFrame:
-    near = atoms_within(zones.select("assembly_id", "zone_id", *CENTER), atoms.select("assembly_id", "subchain_id", "symmetry_mate", "x", "y", "z", "occupancy"), radius)
+    near = atoms_within(zones.select("assembly_id", "zone_id", *CENTER), atoms.select("assembly_id", "subchain_id", "symmetry_mate", "x", "y", "z", "occupancy", *cell_columns(atoms)), radius)
     return subchain_fractions(join_asym_counts(count_atoms(near, ["assembly_id", "zone_id", "subchain_id", "symmetry_mate"]), asym, allowed))
 
 
