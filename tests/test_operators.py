@@ -259,6 +259,21 @@ def test_mmcif_tokens():
     assert readers._operators("(1-3)") == ["1", "2", "3"] and readers._operators("1,2") == ["1", "2"]
 
 
+def test_mmcif_rows_leave_before_the_file_is_read():
+    def lines():
+        yield from ["data_1ABC\n", "_entity.id 1\n", "_entity.type polymer\n", "loop_\n", "_atom_site.id\n", "_atom_site.Cartn_x\n"]
+        for k in range(50):
+            yield f"{k} {k}.5\n"
+        raise OSError("the rest isn't there")
+
+    rows = readers.cif_rows(lines())
+    assert [next(rows)[1][2] for _ in range(50)] == list(range(50))
+    with pytest.raises(OSError, match="isn't there"):
+        next(rows)
+    two = "data_A\n_entity.id 1\n_entity.type polymer\ndata_B\nloop_\n_entity.id\n_entity.type\n1 water\n2 'a b'\n"
+    assert [(t, *r) for t, r in readers.cif_rows(two.splitlines())] == [("entities", "a", "1", "polymer"), ("entities", "b", "1", "water"), ("entities", "b", "2", "a b")]
+
+
 def test_stored_directions_are_not_replaced(spark, tmp_path):
     path = f"file://{tmp_path}"
     assert store.load_direction_table(spark, path, "cube", 2.0).count() == store.load_direction_table(spark, path, "cube", 2.0).count() == 6

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
+import io
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import pyarrow as pa
@@ -83,10 +85,11 @@ def parse_annotation_responses(df: DataFrame) -> DataFrame:
 _TOKEN = re.compile(r"""'(?:[^'\n]|'(?=\S))*'(?=\s|$)|"(?:[^"\n]|"(?=\S))*"(?=\s|$)|\S+""")
 
 
-def cif_tokens(text: str) -> Iterator[tuple[str, bool]]:
-    """(token, quoted) of an mmCIF text; semicolon fields are one token, comments none."""
+def cif_tokens(lines: Iterable[str]) -> Iterator[tuple[str, bool]]:
+    """(token, quoted) of an mmCIF file's lines, as they come; semicolon fields are one token, comments none."""
     field: list[str] | None = None
-    for line in text.splitlines():
+    for line in lines:
+        line = line.rstrip("\r\n")
         if field is not None:
             if line.startswith(";"):
                 yield "\n".join(field), True
@@ -104,36 +107,47 @@ def cif_tokens(text: str) -> Iterator[tuple[str, bool]]:
                 yield (token[1:-1], True) if quoted else (token, False)
 
 
-def cif_tables(text: str) -> dict[str, list[dict[str, str]]]:
-    """Categories of a CIF text as lists of rows; '.' and '?' are missing."""
-    out: dict[str, list[dict[str, str]]] = {}
-    stream = list(cif_tokens(text))
-    i = 0
-    value = lambda t: None if not t[1] and t[0] in (".", "?") else t[0]
-    starts = lambda t: not t[1] and (t[0].startswith("_") or t[0].lower() == "loop_" or t[0].lower().startswith("data_"))
-    while i < len(stream):
-        token, quoted = stream[i]
-        if not quoted and token.lower() == "loop_":
-            i += 1
-            names = []
-            while i < len(stream) and not stream[i][1] and stream[i][0].startswith("_"):
-                names.append(stream[i][0])
-                i += 1
-            category = names[0].split(".")[0] if names else ""
-            fields = [n.split(".", 1)[-1] for n in names]
-            values = []
-            while i < len(stream) and not starts(stream[i]):
-                values.append(value(stream[i]))
-                i += 1
-            n = max(1, len(fields))
-            out.setdefault(category, []).extend(dict(zip(fields, values[k : k + n], strict=False)) for k in range(0, len(values), n))
-        elif not quoted and token.startswith("_") and i + 1 < len(stream):
+def cif_records(lines: Iterable[str]) -> Iterator[tuple[str, str, dict[str, str | None]]]:
+    """(block, category, row) of a CIF file; '.' and '?' are missing.
+
+    Rows of a loop come as they are read, so no more than one is held; categories without a loop are small, and come at the end of their block.
+    """
+    block, single, fields, category, values = "", {}, None, "", []
+    name: str | None = None
+    naming = False
+    for token, quoted in cif_tokens(lines):
+        plain = not quoted
+        if plain and naming and token.startswith("_"):
             category, _, field = token.partition(".")
-            rows = out.setdefault(category, [{}])
-            rows[0][field] = value(stream[i + 1])
-            i += 2
+            fields.append(field or category)
+            continue
+        naming = False
+        if plain and token.lower() == "loop_":
+            fields, values, naming, name = [], [], True, None
+        elif plain and token.lower().startswith("data_"):
+            yield from ((block, c, row) for c, row in single.items())
+            block, single, fields, name = token[5:], {}, None, None
+        elif plain and token.startswith("_"):
+            fields, name = None, token
         else:
-            i += 1
+            value = None if plain and token in (".", "?") else token
+            if fields:
+                values.append(value)
+                if len(values) == len(fields):
+                    yield block, category, dict(zip(fields, values, strict=True))
+                    values = []
+            elif name is not None:
+                own, _, field = name.partition(".")
+                single.setdefault(own, {})[field] = value
+                name = None
+    yield from ((block, c, row) for c, row in single.items())
+
+
+def cif_tables(text: str) -> dict[str, list[dict[str, str]]]:
+    """Categories of a small CIF text as lists of rows."""
+    out: dict[str, list[dict[str, str]]] = {}
+    for _, category, row in cif_records(text.splitlines()):
+        out.setdefault(category, []).append(row)
     return out
 
 
@@ -155,33 +169,48 @@ def _operators(expression: str) -> list[str]:
     return out
 
 
-def _cif_rows(name: str, pdb_id: str, t: dict[str, list[dict]]) -> Iterator[tuple]:
-    number = lambda kind, v, default=None: default if v is None else kind(v)
-    if name == "asym_atoms":
-        for k, r in enumerate(t.get("_atom_site", [])):
-            get = r.get
-            yield (
-                pdb_id, get("pdbx_PDB_model_num") or "1", number(int, get("id"), k + 1), get("label_asym_id"), get("auth_asym_id") or get("label_asym_id"), get("label_entity_id"), get("label_comp_id"),
-                number(int, get("label_seq_id")), get("label_atom_id"), get("type_symbol"), *(number(float, get(f"Cartn_{c}")) for c in "xyz"), number(float, get("occupancy"), 1.0),
-            )
-    elif name == "entities":
-        yield from ((pdb_id, r.get("id"), r.get("type")) for r in t.get("_entity", []))
-    elif name == "polymers":
-        yield from ((pdb_id, r.get("entity_id"), r.get("type")) for r in t.get("_entity_poly", []))
-    elif name == "assembly_gen":
-        for r in t.get("_pdbx_struct_assembly_gen", []):
-            for chain in (r.get("asym_id_list") or "").split(","):
-                yield from ((pdb_id, r.get("assembly_id"), chain.strip(), o) for o in _operators(r.get("oper_expression") or ""))
-    else:
-        for r in t.get("_pdbx_struct_oper_list", []):
-            yield (pdb_id, r.get("id"), *(float(r.get(f"matrix[{i}][{j}]") or 0) for i in (1, 2, 3) for j in (1, 2, 3)), *(float(r.get(f"vector[{i}]") or 0) for i in (1, 2, 3)))
+def _number(kind, v, default=None):
+    return default if v is None else kind(v)
+
+
+def cif_rows(lines: Iterable[str]) -> Iterator[tuple[str, tuple]]:
+    """(table, row) of the tables of ``_CIF``, as a file's lines come. Rows before the first block belong to none and are left out."""
+    last, atoms = None, 0
+    for block, category, r in cif_records(lines):
+        if block != last:
+            last, atoms = block, 0
+        if not block:
+            continue
+        pdb_id, get = block.lower(), r.get
+        if category == "_atom_site":
+            atoms += 1
+            yield "asym_atoms", (
+                pdb_id, get("pdbx_PDB_model_num") or "1", _number(int, get("id"), atoms), get("label_asym_id"), get("auth_asym_id") or get("label_asym_id"), get("label_entity_id"), get("label_comp_id"),
+                _number(int, get("label_seq_id")), get("label_atom_id"), get("type_symbol"), *(_number(float, get(f"Cartn_{c}")) for c in "xyz"), _number(float, get("occupancy"), 1.0),
+            )
+        elif category == "_entity":
+            yield "entities", (pdb_id, get("id"), get("type"))
+        elif category == "_entity_poly":
+            yield "polymers", (pdb_id, get("entity_id"), get("type"))
+        elif category == "_pdbx_struct_assembly_gen":
+            for chain in (get("asym_id_list") or "").split(","):
+                yield from (("assembly_gen", (pdb_id, get("assembly_id"), chain.strip(), o)) for o in _operators(get("oper_expression") or ""))
+        elif category == "_pdbx_struct_oper_list":
+            yield "oper_map", (pdb_id, get("id"), *(float(get(f"matrix[{i}][{j}]") or 0) for i in (1, 2, 3) for j in (1, 2, 3)), *(float(get(f"vector[{i}]") or 0) for i in (1, 2, 3)))
+
+
+def cif_lines(data: bytes) -> Iterator[str]:
+    """Lines of a file's bytes, plain or gzipped, decoded as they are asked for."""
+    raw = io.BytesIO(data)
+    return io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if data[:2] == b"\x1f\x8b" else raw, "utf-8", "replace")
 
 
 def ingest_mmcif(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of a folder (or glob) of mmCIF files, plain or gzipped: asym_atoms, entities, polymers, assembly_gen, oper_map.
 
-    Each data block is a structure of its name; a file is one row. It is read and parsed once, in order of its tables,
-    into one table with a struct for each kind of row, which is written; the five tables are scans of its columns.
+    Each data block is a structure of its name. A file is one row of bytes (compressed, if it is) and is read once, line by
+    line: rows leave as batches of 10 000, so what a task holds is the file's bytes and a batch. They go into one table with a struct for each kind of row, which is
+    written; the five tables are scans of its columns.
     """
     parts = {name: [c.split(" ")[0] for c in schema.split(", ")] for name, schema in _CIF.items()}
     schema = ", ".join(f"{name} struct<{', '.join(':'.join(c.split(' ')) for c in columns.split(', '))}>" for name, columns in _CIF.items())
@@ -190,14 +219,10 @@ def ingest_mmcif(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for block in re.split(r"(?m)^(?=data_)", text):
-                    if head := re.match(r"data_(\S+)", block):
-                        own = cif_tables(block)
-                        for name, columns in parts.items():
-                            rows = _cif_rows(name, head[1].lower(), own)
-                            while some := [{name: dict(zip(columns, r, strict=True))} for r in islice(rows, 10_000)]:
-                                yield pa.RecordBatch.from_pylist(some, kind)
-
-    parsed = materialize(spark.read.text(path, wholetext=True).mapInArrow(parse, schema), "mmcif")
+            for data in batch.column(0):
+                rows = cif_rows(cif_lines(data.as_py()))
+                while some := [{name: dict(zip(parts[name], r, strict=True))} for name, r in islice(rows, 10_000)]:
+                    yield pa.RecordBatch.from_pylist(some, kind)
+
+    parsed = materialize(spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, schema), "mmcif")
     return {name: parsed.where(F.col(name).isNotNull()).select(f"{name}.*") for name in _CIF}
