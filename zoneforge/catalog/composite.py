@@ -127,6 +127,24 @@ def stream_pick(spark, sf):
     return found.groupBy("assembly_id").agg(F.count(F.lit(1)).alias("zones"))
 
 
+@query(_PICK + " SELECT assembly_id, count(*) AS zones FROM thick WHERE zone_id IN (SELECT zone_id FROM picked) GROUP BY 1")
+def stream_pick_gathered(spark, sf):
+    """Each assembly's atoms come in three batches; it waits in the state until it is whole, and all are picked in the last."""
+    src, dst = new_path(spark, "arriving"), new_path(spark, "picked")
+    inputs = _inputs(spark, sf)
+    sizes = inputs["atoms"].groupBy("assembly_id").agg(F.count(F.lit(1)).alias("n_atoms"))
+    atoms = materialize(inputs["atoms"].join(F.broadcast(sizes), "assembly_id"), "atoms")
+
+    def pick_batch(batch, unseen):
+        tables = jobs.pick_training_zones(inputs | {"atoms": batch.drop("n_atoms"), "seen": unseen}, PARAMS)
+        return {"zone": tables["zone"].withColumn("zone_id", F.xxhash64("assembly_id", "center.x", "center.y", "center.z")), "novel_key": tables["novel_key"]}
+
+    for part in range(3):
+        atoms.where(F.col("atom_id") % 3 == part).coalesce(4).write.mode("append").parquet(src)
+        found = streams.stream_pick(spark, src, dst, pick_batch, ", ".join(f"{n} {t}" for n, t in atoms.dtypes), files=8, total="n_atoms")
+    return found.groupBy("assembly_id").agg(F.count(F.lit(1)).alias("zones"))
+
+
 def _store(spark, sf):
     zone = fx.zone(spark, sf).withColumn("center", f.vector(F.col("zone_id") % 97, F.col("zone_id") % 89, F.col("zone_id") % 83))
     return {"zone": zone, "assembly": fx.assembly(spark, sf), "structure": fx.structure(spark, sf), "curriculum": fx.curriculum(spark, sf)}
