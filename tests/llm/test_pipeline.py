@@ -2,7 +2,7 @@
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -106,6 +106,14 @@ def test_stages(spark, folder):
 
 def test_run_is_its_stages(spark, folder):
     got = corpus_pipeline.run(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, folder)
+        assert k + 1 == len(corpus_pipeline.STAGES) or out.columns == docs.columns, name
+        out.write.parquet(f"{folder}/by-hand-{k}")
+        docs = spark.read.parquet(f"{folder}/by-hand-{k}")
+    rows = lambda df: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect())
+    assert rows(got) == rows(docs) and got.select("sequence_id").distinct().count() == docs.select("sequence_id").distinct().count()
     assert {"doc_id", "piece", "sequence_id", "offset", "length"} <= set(got.columns)
     assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0 < got.count()
 
@@ -116,5 +124,10 @@ def test_stages_of_empty_and_repeated_rows(spark, folder):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, folder).count() == 0, name
         own = stage(spark, some.unionByName(some.where("doc_id = 4")).withColumn("doc_id", F.when(F.col("doc_id") != 20, F.col("doc_id"))), folder)
-        ids = {r.doc_id for r in own.collect()}
+        rows = own.collect()
+        ids = {r.doc_id for r in rows}
+        if name in ("toxicity", "exact_dedup", "simhash_near_dedup"):
+            had = Counter((None if r.doc_id == 20 else r.doc_id, r.text) for r in [*some.collect(), *some.where("doc_id = 4").collect()])
+            assert own.columns == docs.columns and Counter((r.doc_id, r.text) for r in rows) <= had, name
+            assert name != "exact_dedup" or [r.doc_id for r in rows].count(None) == 1
         assert ids <= {4, 5, None} and (name == "exact_dedup" or 4 in ids or name == "simhash_near_dedup") and re.fullmatch("[a-z_]+", name)
