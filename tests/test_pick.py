@@ -92,6 +92,19 @@ def test_groups_of_structures(spark, names, clusters, groups):
     assert sorted("".join(sorted(v)) for v in found.values()) == groups
 
 
+def test_only_shared_clusters_go_through_the_rounds(spark, monkeypatch):
+    """Of 1000 structures two share a cluster; a cluster of one structure is no edge, whatever its rows."""
+    sent = []
+    monkeypatch.setattr(splits, "components", lambda edges, *names, **more: sent.append(edges.count()) or components(edges, *names, **more))
+    ids = spark.range(1000).select(F.col("id").alias("pdb_id"))
+    rows = ids.select("pdb_id", F.col("pdb_id").alias("cluster"))
+    rows = rows.unionByName(rows).unionByName(spark.createDataFrame([(7, -1), (3, -1), (None, -1), (5, None), (5000, -2), (8, -2), (9, -2)], "pdb_id long, cluster long"))
+    found = {r.pdb_id: r.group_id for r in splits.connected_groups(ids, rows).collect()}
+    assert sent == [3] and found == {k: {7: 3, 9: 8}.get(k, k) for k in range(1000)}
+    named = {r.pdb_id: r.group_id for r in splits.connected_groups(ids, rows.withColumn("pdb_id", F.col("pdb_id").cast("string"))).collect()}
+    assert named == found
+
+
 @pytest.mark.parametrize(
     ("sizes", "targets", "expected"),
     [

@@ -33,7 +33,7 @@ _BASE = with_sql("fx_clusters", "fx_struct_zones")
 
 
 def _groups(spark, sf):
-    return splits.connected_groups(fx.struct_zones(spark, sf).select("pdb_id"), fx.clusters(spark, sf))
+    return splits.connected_groups(fx.struct_zones(spark, sf).select("pdb_id"), fx.cluster_rows(spark, sf))
 
 
 @query(_BASE + GROUPS + " SELECT pdb_id, group_id FROM grp")
@@ -68,7 +68,7 @@ def allocate_splits(spark, sf):
 @query(_BASE + GROUPS + FOLD + SUMMARY)
 def split_summary(spark, sf):
     counts = materialize(fx.struct_zones(spark, sf), "counts")
-    _, summary = jobs.assign_splits(counts, fx.clusters(spark, sf), TARGETS, "argmax")
+    _, summary = jobs.assign_splits(counts, fx.cluster_rows(spark, sf), TARGETS, "argmax")
     return summary.withColumns({c: F.round(c, 6) for c in ("struct_fraction", "zone_fraction")})
 
 
@@ -76,9 +76,9 @@ def split_summary(spark, sf):
 def make_splits(spark, sf):
     counts = fx.struct_zones(spark, sf)
     structure = counts.select(F.col("pdb_id").alias("struct_id"), "pdb_id")
-    zone = table(spark, sf, "lineitem").join(structure, F.col("l_orderkey") == F.col("pdb_id"), "left_semi").selectExpr("monotonically_increasing_id() AS zone_id", "l_orderkey AS assembly_id")
+    zone = table(spark, sf, "lineitem").where("l_orderkey is not null").selectExpr("monotonically_increasing_id() AS zone_id", "l_orderkey AS assembly_id")
     assembly = structure.selectExpr("pdb_id AS assembly_id", "struct_id", "pdb_id")
-    return jobs.make_splits({"zone": zone, "assembly": assembly, "structure": structure}, fx.clusters(spark, sf), TARGETS, "argmax")[0].select("pdb_id", "split")
+    return jobs.make_splits({"zone": zone, "assembly": assembly, "structure": structure}, fx.cluster_rows(spark, sf), TARGETS, "argmax")[0].select("pdb_id", "split")
 
 
 _STORE = with_sql("fx_zone", "fx_assembly", "fx_structure")

@@ -52,9 +52,13 @@ def atoms(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def cluster_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Structures that share a part in a week, a row for each time they do: components stay small however many rows there are."""
+    return table(spark, sf, "lineitem").selectExpr("l_orderkey AS pdb_id", "l_partkey * 1000 + floor(datediff(cast(l_shipdate as date), date'1992-01-01') / 7) AS cluster")
+
+
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Structures that share a part in a week: components stay small however many rows there are."""
-    return table(spark, sf, "lineitem").selectExpr("l_orderkey AS pdb_id", "l_partkey * 1000 + floor(datediff(cast(l_shipdate as date), date'1992-01-01') / 7) AS cluster").distinct()
+    return cluster_rows(spark, sf).distinct()
 
 
 def struct_zones(spark: SparkSession, sf: str) -> DataFrame:

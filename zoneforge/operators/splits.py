@@ -53,15 +53,20 @@ def structure_zone_counts(zone: DataFrame, assembly: DataFrame, structure: DataF
 def connected_groups(structures: DataFrame, clusters: DataFrame) -> DataFrame:
     """(pdb_id, group_id): structures chained by shared clusters; group_id is the least structure of the group.
 
-    The graph has structures and clusters as its nodes, so a cluster of any size is as many edges as
-    it has members. Unknown structures link others and are then left out.
+    A cluster links each member to its least one, so a cluster of any size is fewer edges than it has members, and one of a
+    single structure, however many rows it has, is none: only what is linked goes through the rounds. Rows may repeat. Unknown
+    structures link others and are then left out.
     """
-    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    edges = clusters.select(node("s", "pdb_id").alias("src"), node("c", "cluster").alias("dst"))
-    roots = components(edges, few=FEW_EDGES)
-    own = structures.select("pdb_id").distinct().withColumn("node", node("s", "pdb_id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = own.groupBy("root").agg(F.min("pdb_id").alias("group_id"))
-    return own.join(least, "root").select("pdb_id", "group_id")
+    alike = structures.schema["pdb_id"].dataType == clusters.schema["pdb_id"].dataType
+    node = (F.col("pdb_id") if alike else F.col("pdb_id").cast("string")).alias("node")
+    members = clusters.select(node, "cluster").where("node is not null and cluster is not null")
+    hubs = members.groupBy("cluster").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last")
+    roots = components(members.join(hubs, "cluster").where("node <> hub"), "node", "hub", few=FEW_EDGES)
+    own = structures.select("pdb_id", node).where("pdb_id is not null").distinct()
+    linked = own.join(roots, "node").select("pdb_id", "root")
+    least = linked.groupBy("root").agg(F.min("pdb_id").alias("group_id"))
+    found = linked.join(least, "root").select("pdb_id", "group_id")
+    return own.join(found, "pdb_id", "left").select("pdb_id", F.coalesce("group_id", "pdb_id").alias("group_id"))
 
 
 def group_sizes(groups: DataFrame, counts: DataFrame) -> DataFrame:
