@@ -122,7 +122,8 @@ def make_splits(store: dict[str, DataFrame], clusters: DataFrame, targets: dict[
 
 def assign_splits(counts: DataFrame, clusters: DataFrame, targets: dict[str, float], mode: str = "weighted", seed: int = 0) -> tuple[DataFrame, DataFrame]:
     groups = materialize(splits.connected_groups(counts.select("pdb_id"), clusters), "groups")
-    allocated = splits.allocate_splits(splits.group_sizes(groups, counts), targets, mode, seed)
+    sizes = materialize(splits.group_sizes(groups, counts), "sizes")  # it is dealt by range, which reads it twice
+    allocated = splits.allocate_splits(sizes, targets, mode, seed)
     given = materialize(groups.join(allocated, "group_id").select("pdb_id", "split"), "splits")
     return given, splits.split_summary(given, counts, targets)
 
