@@ -296,3 +296,24 @@ def test_novelty_can_keep_one_zone_of_an_assembly(spark):
     every = {tuple(x) for x in splits.select_novel_zones(rows).collect()}
     one = {tuple(x) for x in splits.select_novel_zones(rows, True).collect()}
     assert every == {(1, 1), (1, 2), (2, 3)} and one == {(1, 1), (2, 3)}
+
+
+def test_group_sizes_are_joined_once_before_they_are_dealt(spark, monkeypatch):
+    """Ranges are drawn from a table and not from the plan of joins behind it, which would run twice."""
+    seen = []
+    monkeypatch.setattr(jobs.splits, "allocate_splits", lambda sizes, *more, own=splits.allocate_splits: seen.append(sizes._jdf.queryExecution().optimizedPlan().toString()) or own(sizes, *more))
+    counts = spark.createDataFrame([(1, 2), (2, 3), (3, 5)], "pdb_id long, zones long")
+    given, _ = jobs.assign_splits(counts, spark.createDataFrame([(1, 1), (2, 1)], "pdb_id long, cluster long"), {"a": 1.0, "b": 1.0}, "argmax")
+    assert {r.pdb_id: r.split for r in given.collect()} == {1: "a", 2: "a", 3: "b"}
+    assert "Join" not in seen[0] and "Aggregate" not in seen[0]
+
+
+def test_zones_are_counted_before_they_are_joined(spark):
+    """What meets assemblies is a row for each of them, not one for each zone."""
+    zone = spark.createDataFrame([(k, k % 3) for k in range(30)] + [(99, None), (98, 77)], "zone_id long, assembly_id long")
+    assembly = spark.createDataFrame([(0, 10), (1, 10), (2, 11)], "assembly_id long, struct_id long")
+    structure = spark.createDataFrame([(10, "p"), (11, "q"), (12, "r")], "struct_id long, pdb_id string")
+    found = splits.structure_zone_counts(zone, assembly, structure)
+    assert {r.pdb_id: r.zones for r in found.collect()} == {"p": 20, "q": 10} and found.dtypes[1] == ("zones", "bigint")
+    joins = found._jdf.queryExecution().optimizedPlan().toString().split("Join")
+    assert any(line.lstrip(" +-:").startswith("Aggregate [assembly_id") for line in joins[-1].splitlines())

@@ -45,9 +45,10 @@ def novelty_keys(solo: DataFrame, pairs: DataFrame, cluster: DataFrame, nonspeci
 
 
 def structure_zone_counts(zone: DataFrame, assembly: DataFrame, structure: DataFrame) -> DataFrame:
-    """(pdb_id, zones); structures without zones are absent."""
-    joined = zone.select("assembly_id").join(assembly.select("assembly_id", "struct_id"), "assembly_id").join(structure.select("struct_id", "pdb_id"), "struct_id")
-    return joined.groupBy("pdb_id").agg(F.count(F.lit(1)).alias("zones"))
+    """(pdb_id, zones); structures without zones are absent. Zones are counted by assembly before anything is joined."""
+    own = zone.groupBy("assembly_id").agg(F.count(F.lit(1)).alias("zones"))
+    joined = own.join(assembly.select("assembly_id", "struct_id"), "assembly_id").join(structure.select("struct_id", "pdb_id"), "struct_id")
+    return joined.groupBy("pdb_id").agg(F.sum("zones").alias("zones"))
 
 
 def connected_groups(structures: DataFrame, clusters: DataFrame) -> DataFrame:
