@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -6,6 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from zoneforge.llm import bags, tokens
+from zoneforge.llm.common import lean
 from zoneforge.llm.tokens import Encoder
 from zoneforge.llm.words import bounds, raw, windows, word_hashes
 
@@ -54,3 +58,22 @@ def test_windows_hash_runs(length):
     assert len(got) == len(words) - length + 1
     runs = [tuple(words[i : i + length].tolist()) for i in range(len(got))]
     assert len(set(runs)) == len(set(got.tolist())) == len(set(zip(runs, got.tolist(), strict=True)))
+
+
+def test_features_of_a_batch_take_little_memory_and_come_in_order():
+    """What a batch of 4 MB takes in between stays under 64 MB; pieces give what the texts give one by one."""
+    texts = [f"word{k % 977} Other{k % 31} {'x' * (k % 40)} " * 60 for k in range(2200)] + [None, "", "a" * (3 << 20), ""]
+    column = pa.array(texts, pa.string())
+    bags.features(pa.array(["once"]))  # tables of powers stay
+    tracemalloc.start()
+    doc, feature = bags.features(column)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20 and (np.diff(doc << bags.FEATURE_BITS | feature) > 0).all()
+    for k in (0, 7, 1500, 2199, 2200, 2201, 2202, 2203):
+        assert bags.features(column.slice(k, 1))[1].tolist() == feature[doc == k].tolist()
+
+
+def test_tasks_without_a_tokenizer_drop_those_of_earlier_ones(monkeypatch):
+    monkeypatch.setattr(tokens, "_made", {"left": object()})
+    assert list(lean(lambda batches: (len(tokens._made) for _ in batches))([1, 2])) == [0, 0]

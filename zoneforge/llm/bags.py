@@ -11,14 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoneforge.llm.common import NULL_ID
+from zoneforge.llm.common import NULL_ID, lean
 from zoneforge.llm.words import bounds, mix, raw, word_hashes
 
 #: Bits of a hashed feature; features of a word are itself and its first bytes, for stems that take many endings.
 FEATURE_BITS, PREFIXES = 18, (5, 7)
-#: Bits of the slots of the table of how often keys occur (32 MB); parts that counts of features are added up in.
+#: Bits of the slots of the table of how often keys occur (16 MB); parts that counts of features are added up in.
 SLOT_BITS, PARTS = 22, 16
 SIZE = 1 << FEATURE_BITS
+#: Bytes of text whose words are hashed at a time: each takes some thirty times as many in between.
+PIECE = 1 << 20
 
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[0x41:0x5B] = _NOT_LETTER[0x61:0x7B] = _NOT_LETTER[0x80:] = False
@@ -30,15 +32,23 @@ _ORDERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 def features(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document, feature) pairs of a batch, in order; only ``wanted`` features if given."""
     data, at = raw(column.cast(pa.string()) if pa.types.is_null(column.type) else column)
-    data = _FOLD[data]
+    found, low = [np.zeros(0, np.int64)], 0
+    while low < len(column):
+        high = max(low + 1, int(np.searchsorted(at, at[low] + PIECE, side="right")) - 1)
+        found.append(_pairs(_FOLD[data[at[low] : at[high]]], at[low : high + 1] - at[low], wanted) + (low << FEATURE_BITS))
+        low = high
+    pairs = np.concatenate(found)
+    return pairs >> FEATURE_BITS, pairs & (SIZE - 1)
+
+
+def _pairs(data: np.ndarray, at: np.ndarray, wanted: np.ndarray | None) -> np.ndarray:
     first, end, doc = bounds(data, at, _NOT_LETTER)
     found = []
     for seed, stop in [(0, end)] + [(k, np.minimum(end, first + k)) for k in PREFIXES]:
         feature = (word_hashes(data, first, stop, seed) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
         keep = slice(None) if wanted is None else wanted[feature]
         found.append(doc[keep] << FEATURE_BITS | feature[keep])
-    pairs = np.unique(np.concatenate(found))
-    return pairs >> FEATURE_BITS, pairs & (SIZE - 1)
+    return np.unique(np.concatenate(found))
 
 
 def keys(doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
@@ -79,8 +89,8 @@ def _occurrences(rows: DataFrame) -> np.ndarray:
             found = keys(doc, feature, batch.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(_slots(found[found.any(1)]).ravel())], ["slot"])
 
-    found = rows.select("text").mapInArrow(run, "slot long").groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toArrow()
-    table = np.ones(1 << SLOT_BITS, np.int64)
+    found = rows.select("text").mapInArrow(lean(run), "slot long").groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toArrow()
+    table = np.ones(1 << SLOT_BITS, np.uint32)
     table[found["slot"].to_numpy()] = found["n"].to_numpy()
     return table
 
@@ -113,7 +123,7 @@ def frequencies(rows: DataFrame) -> tuple[np.ndarray, float, int]:
                 sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(data), "<i8")
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], names)
 
-    counted = rows.select("text").mapInArrow(count, "part int, data binary").repartition(PARTS, "part").mapInArrow(add, "part int, data binary").toArrow()
+    counted = rows.select("text").mapInArrow(lean(count), "part int, data binary").repartition(PARTS, "part").mapInArrow(add, "part int, data binary").toArrow()
     sums = {part: np.frombuffer(data, "<i8") for part, data in zip(counted["part"].to_pylist(), counted["data"].to_pylist(), strict=True)}
     if not sums:
         return np.zeros(SIZE), 0.0, 0
@@ -131,7 +141,7 @@ def bagged(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(list(found), pa.list_(pa.int64())), lists(doc, feature, batch.num_rows)], [batch.schema.names[0], *batch.schema.names[2:], "keys", "features"])
 
     more = "".join(f", {c} {kind}" for c, kind in rows.dtypes[2:])
-    return rows.mapInArrow(run, f"doc_id long{more}, keys array<long>, features array<int>")
+    return rows.mapInArrow(lean(run), f"doc_id long{more}, keys array<long>, features array<int>")
 
 
 def counted(sample: DataFrame, ids: list[int]) -> np.ndarray:

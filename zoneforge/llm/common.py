@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zoneforge.functions.storage import materialize
+from zoneforge.llm import tokens
 
 #: Spark settings of these jobs: small Arrow batches bound a Python worker's
 #: memory whatever the length of the texts; shuffle files go with their query.
@@ -52,6 +54,26 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(identified(), F.col("text").cast("string").alias("text"))
 
 
+def trim() -> None:
+    """Give back the pages that this process's allocators keep for later."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for tasks that need no tokenizer: Spark's workers go from stage to stage, so what an earlier one left in them goes first, and nothing is left by this."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
+        trim()
+        yield from run(batches)
+        trim()
+
+    return own
+
+
 def gathered(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
     """Batches put together until ``column`` has ``size`` bytes."""
     held, have = [], 0
@@ -78,4 +100,4 @@ def sized_lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.join(hot, key).unionByName(rest.join(cold, key))
 
 
-__all__ = ["NULL_ID", "SETTINGS", "configure", "gathered", "held_out", "identified", "materialize", "read", "restored", "sized_lookup", "texts"]
+__all__ = ["NULL_ID", "SETTINGS", "configure", "gathered", "held_out", "identified", "lean", "materialize", "read", "restored", "sized_lookup", "texts", "trim"]

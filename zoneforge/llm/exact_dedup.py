@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoneforge.llm.common import configure, materialize, restored, sized_lookup, texts
+from zoneforge.llm.common import configure, lean, materialize, restored, sized_lookup, texts
 
 #: Bytes of a chunk; 2**16 * 2**8 * 2**31 stays below 2**63.
 CHUNK = 1 << 16
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, primes: tuple[int, ...] = PRIMES, bases: tuple
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc], pa.int64()), "text_sha256": [digest], "part": pa.array([part], pa.int64()), "text": pa.array([data[at : at + huge]], pa.binary())})
 
     rows, large = texts(docs), F.coalesce(F.octet_length("text") > huge, F.lit(False))
-    small = rows.where(~large).mapInArrow(run, "doc_id long, fingerprint binary, n_bytes long, text_sha256 string")
+    small = rows.where(~large).mapInArrow(lean(run), "doc_id long, fingerprint binary, n_bytes long, text_sha256 string")
     parts = rows.where(large).mapInArrow(cut, "doc_id long, text_sha256 string, part long, text binary")
     whole = combine_parts(parts.repartition("doc_id", "text_sha256", "part"), primes, bases, ("doc_id", "text_sha256"))
     return small.unionByName(whole.select("doc_id", "fingerprint", "n_bytes", "text_sha256"))

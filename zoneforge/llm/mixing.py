@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from zoneforge.llm.common import NULL_ID, configure, identified, materialize, restored
+from zoneforge.llm.common import NULL_ID, configure, identified, lean, materialize, restored
 from zoneforge.llm.words import SPACE, bounds, mix, raw, spread
 
 #: Words of a block, blocks of an output shard, weights in turn, most repeats, seed of draws and permutations.
@@ -287,5 +287,5 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: i
             columns[place] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    mixed = joined.mapInArrow(run, schema)
+    mixed = joined.mapInArrow(lean(run), schema)
     return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else mixed

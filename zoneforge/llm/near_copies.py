@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoneforge.llm.common import configure, materialize, sized_lookup, texts
+from zoneforge.llm.common import configure, lean, materialize, sized_lookup, texts
 from zoneforge.llm.words import bounds, mix, raw, windows, word_hashes
 from zoneforge.operators.graph import components
 
@@ -106,7 +106,7 @@ def near_copies(docs: DataFrame, least: float = SIMILAR, width: int = WIDTH, blo
             keys = [buckets(minima(own)).view(np.int64) if len(own) else [] for own in shingles(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "buckets"])
 
-    rows = bodies.mapInArrow(prints, "doc_id long, buckets array<long>").select("doc_id", F.explode("buckets").alias("bucket"))
+    rows = bodies.mapInArrow(lean(prints), "doc_id long, buckets array<long>").select("doc_id", F.explode("buckets").alias("bucket"))
     rows = materialize(rows, "buckets")
     groups = rows.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = materialize(groups, "shared")

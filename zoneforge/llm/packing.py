@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zoneforge.llm.common import configure, materialize, restored, texts
+from zoneforge.llm.common import configure, materialize, restored, texts, trim
 from zoneforge.llm.tokens import encoder as encoder_of
 
 #: Tokens of a sequence, id after each document, tokenizer.
@@ -251,6 +251,7 @@ def cut(docs: DataFrame, capacity: int, tokenizer: str, end: int) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(rows), task, np.int32))], [*names, "task"])
+        trim()
 
     return texts(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, task int")
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoneforge.llm.common import configure, materialize, restored, sized_lookup, texts
+from zoneforge.llm.common import configure, lean, materialize, restored, sized_lookup, texts
 from zoneforge.operators.graph import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             prints = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def planes(values: np.ndarray) -> np.ndarray:

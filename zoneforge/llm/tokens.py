@@ -115,3 +115,8 @@ def encoder(name: str) -> Encoder:
     if name not in _made:
         _made[name] = Encoder(name)
     return _made[name]
+
+
+def forget() -> None:
+    """Drop the process's encoders and their words, for tasks of a worker that encoded before and now does other work."""
+    _made.clear()

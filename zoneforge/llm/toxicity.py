@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zoneforge.llm.bags import SIZE, Bag, averaged, bagged, counted, features, frequencies, fresh, lists, narrowed, sliced
-from zoneforge.llm.common import configure, held_out, materialize, restored, texts
+from zoneforge.llm.common import configure, held_out, lean, materialize, restored, texts
 
 #: Labelled toxic documents of the sample at most; rows of a slice of the unlabelled; least documents a feature is in.
 POSITIVES, SLICE, LEAST_DOCS = 3000, 8000, 4
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         got = train(toxic, Bag.of(table["features"]), table["n"].to_numpy(), size, prior)
         return pa.table({"weights": pa.array([got], pa.list_(pa.float64()))})
 
-    slices = sliced(rows.mapInArrow(compact, "doc_id long, features array<int>"), total, SLICE, "features")
+    slices = sliced(rows.mapInArrow(lean(compact), "doc_id long, features array<int>"), total, SLICE, "features")
     mean = averaged(slices.groupBy("slice").applyInArrow(learn, "weights array<double>"))
     weight = np.zeros(SIZE)
     weight[used] = mean[:-1]
@@ -134,7 +134,7 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(batch.column(place)), pa.float64())], [*batch.schema.names, column])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
