@@ -102,3 +102,23 @@ def test_a_full_filter_only_lets_more_through(spark, rows, monkeypatch):
 
 def test_an_empty_table(spark):
     assert collocations.phrases(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_later_passes_number_frequent_words_alone():
+    """Words that the filter leaves out share one number and part n-grams; languages do not mix."""
+    keys = [collocations._gram_hash([collocations._hashes([w])], lang) for w, lang in ((b"a", "x"), (b"b", "x"), (b"a", "y"))]
+    first = np.zeros(1 << 10, np.uint64)
+    for key in keys:
+        for slot in collocations._slots(key, 64 * len(first)):
+            first[int(slot[0]) >> 6] |= np.uint64(1) << (slot[0] & np.uint64(63))
+    shard = collocations.Shard(2, first)
+    rows = [row for lang, text in (("x", "a b rare1 a  b. a"), ("y", "a b"), ("x", "b rare2 a b")) for row in shard.add(lang, text)]
+    rows += list(shard.flush())
+    assert not rows or all(r[0] == "x" for r in rows)
+    grams, counts = collocations.Transducer.from_bytes(rows[0][4]).paths()
+    assert len(rows) == 1 and rows[0][1] == [b"a", b"b"] and counts.tolist() == [3] and len(grams) == 1
+    shard = collocations.Shard(2, first)
+    for k in range(1000):
+        list(shard.add("x", f"a b r{k}"))
+    shard._count()
+    assert len(shard.ids) < 20

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +21,16 @@ from zoneforge.llm.words import mix
 LEAST, TOP, SCALE = 10, 2000, 1_000_000
 #: A candidate goes if a longer one that holds it has this share of its count, in hundredths.
 COVERED = 50
-#: Bytes of text cut at a time; words that are counted at a time; words and n-grams that a task holds before it sends them.
-CHUNK, COUNTED, WORDS, GRAMS = 1 << 20, 1 << 20, 600_000, 1_500_000
+#: Bytes of text cut at a time; words that are numbered, and counted, at a time; words and n-grams that a task holds before it sends them.
+CHUNK, NUMBERED, COUNTED, WORDS, GRAMS = 1 << 20, 1 << 16, 1 << 20, 600_000, 1_500_000
 #: N-grams of a transducer that is sent, and for each range that is joined.
 BLOCK, RANGE = 1 << 15, 2_000_000
 #: Most bits of the filter of frequent n-grams (16 MB). With more of them it lets more through, which costs time alone.
 FILTER_BITS = 1 << 27
 _PROBES = 3
 _MARKS = bytes.maketrans(b"\t.,;:!?\r\x0b\x0c", b" \n\n\n\n\n\n\n\n\n")
-#: Ids of what stands between spaces side by side, and of the end of a piece.
-_NONE, _STOP = 0, 1
+#: Ids of what stands between spaces side by side, of the end of a piece, and of all words that the filter leaves out.
+_NONE, _STOP, _RARE = 0, 1, 2
 _FACTORS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 
@@ -38,7 +38,7 @@ class _Ids(dict):
     """Words by number; a new one takes the next."""
 
     def __init__(self):
-        super().__init__({b"": _NONE, b"\n": _STOP})
+        super().__init__({b"": _NONE, b"\n": _STOP, b" ": _RARE})
 
     def __missing__(self, word: bytes) -> int:
         self[word] = i = len(self)
@@ -82,34 +82,58 @@ def _holds(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Counts of one task's n-grams by language, sent on as transducers of blocks in order."""
+    """Counts of one task's n-grams by language, sent on as transducers of blocks in order.
 
-    def __init__(self, n: int, table: np.ndarray | None):
-        self.n, self.table = n, table
+    ``table`` is the filter of frequent (n-1)-grams, ``first`` that of frequent words: with it a rarer word gets no number of its own, so
+    the numbers of words stay few.
+    """
+
+    def __init__(self, n: int, table: np.ndarray | None, first: np.ndarray | None = None):
+        self.n, self.table, self.first = n, table, table if n == 2 else first
         self.clear()
 
     def clear(self) -> None:
         self.ids = _Ids()
-        self.hash = np.zeros(2, np.uint64)
+        self.hash = np.zeros(len(self.ids), np.uint64)
+        self.known: dict[str, dict[bytes, int]] = {}
+        self.unread: dict[str, list[bytes]] = {}
         self.waiting: dict[str, list[np.ndarray]] = {}
         self.found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        self.n_waiting = self.n_found = 0
+        self.n_unread = self.n_waiting = self.n_found = 0
 
     def add(self, lang: str, text: str) -> Iterator[tuple]:
         """Count a text's n-grams; what a full shard sends on."""
         for words in stream(text):
-            own = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-            own = own[own != _NONE]
-            self.waiting.setdefault(lang, []).append(own)
-            self.n_waiting += len(own)
+            self.unread.setdefault(lang, []).extend(words)
+            self.n_unread += len(words)
+            if self.n_unread > NUMBERED:
+                self._number()
             if self.n_waiting > COUNTED:
                 self._count()
             if len(self.ids) > WORDS or self.n_found > GRAMS:
                 yield from self.flush()
 
+    def _number(self) -> None:
+        """Words become numbers."""
+        for lang, words in self.unread.items():
+            if self.first is None:
+                own = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+            else:
+                known = self.known.setdefault(lang, {b"": _NONE, b"\n": _STOP})
+                own = np.fromiter(map(known.get, words, repeat(_RARE)), np.int64, len(words))
+                new = np.flatnonzero(own == _RARE)
+                new = new[_holds(self.first, _gram_hash([_hashes([words[i] for i in new.tolist()])], lang))]
+                for i in new.tolist():
+                    own[i] = known[words[i]] = self.ids[words[i]]
+            own = own[own != _NONE]
+            self.waiting.setdefault(lang, []).append(own)
+            self.n_waiting += len(own)
+        self.unread, self.n_unread = {}, 0
+
     def _count(self) -> None:
         """Count what waits; of each language the last words stay, for n-grams that go on."""
-        if self.table is not None:
+        self._number()
+        if self.n == 3:
             words = list(self.ids)[len(self.hash) :]
             self.hash = np.concatenate([self.hash, _hashes(words)]) if words else self.hash
         for lang, parts in self.waiting.items():
@@ -123,21 +147,22 @@ class Shard:
             self.n_found = sum(len(parts[0][0]) for parts in self.found.values())
 
     def _grams(self, lang: str, x: np.ndarray) -> None:
-        ok = x != _STOP
+        ok = x > _RARE
         if self.n == 1:
-            keys = x[ok]
-        elif self.n == 2:
-            # a pair is frequent only if both its words are
-            ok[ok] = _holds(self.table, _gram_hash([self.hash[x[ok]]], lang))
-            start = np.flatnonzero(ok[:-1] & ok[1:])
-            keys = (x[start] << 31) | x[start + 1]
+            counts = np.bincount(x[ok])
+            keys = np.flatnonzero(counts)
+            counts = counts[keys]
         else:
-            pair = np.flatnonzero(ok[:-1] & ok[1:])
-            good = np.zeros(len(x), bool)
-            good[pair] = _holds(self.table, _gram_hash([self.hash[x[pair]], self.hash[x[pair + 1]]], lang))
-            start = np.flatnonzero(good[:-2] & good[1:-1])
-            keys = (x[start] << 42) | (x[start + 1] << 21) | x[start + 2]
-        keys, counts = np.unique(keys, return_counts=True)
+            start = np.flatnonzero(ok[:-1] & ok[1:])
+            if self.n == 2:
+                # a pair is frequent only if both its words are
+                keys = (x[start] << 31) | x[start + 1]
+            else:
+                good = np.zeros(len(x), bool)
+                good[start] = _holds(self.table, _gram_hash([self.hash[x[start]], self.hash[x[start + 1]]], lang))
+                start = np.flatnonzero(good[:-2] & good[1:-1])
+                keys = (x[start] << 42) | (x[start + 1] << 21) | x[start + 2]
+            keys, counts = np.unique(keys, return_counts=True)
         self.found.setdefault(lang, []).append((keys, counts.astype(np.int64)))
         self.n_found += len(keys)
 
@@ -175,13 +200,13 @@ def _rows(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))
 
 
-def shards(docs: DataFrame, n: int, table: np.ndarray | None = None) -> DataFrame:
+def shards(docs: DataFrame, n: int, table: np.ndarray | None = None, first: np.ndarray | None = None) -> DataFrame:
     """Transducers of the n-grams of each task's texts, by language, in blocks in order. ``table`` is the filter of frequent
-    (n-1)-grams: an n-gram that holds a rarer one isn't frequent either and stays out."""
-    sent = None if table is None else docs.sparkSession.sparkContext.broadcast(table)
+    (n-1)-grams, ``first`` that of words: an n-gram that holds a rarer one isn't frequent either and stays out."""
+    sent = docs.sparkSession.sparkContext.broadcast((table, first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(n, None if sent is None else sent.value)
+        shard = Shard(n, *sent.value)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for row in shard.add(lang, text.as_py()):
@@ -348,14 +373,15 @@ def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, covered: int =
     """
     configure(docs.sparkSession)
     levels: dict[int, tuple[DataFrame, list[tuple]]] = {}
-    table, sizes = None, None
+    table, first, sizes = None, None, None
     for n in (1, 2, 3):
-        found = materialize(shards(docs, n, table), f"shards{n}")
+        found = materialize(shards(docs, n, table, first), f"shards{n}")
         if n == 1:
             sizes = found.groupBy("lang").agg(F.sum("weight").alias("n"))
         counts, cuts = joined(found, least)
         levels[n] = materialize(counts, f"grams{n}"), cuts
         table = frequent(levels[n][0]) if n < 3 else None
+        first = table if n == 1 else first
     every = materialize(candidates(levels, scale), "candidates")
     inner = every.where("words = 3").select("lang", F.explode(F.array("head", "tail")).alias("phrase"), F.col("a").alias("longer")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = every.join(inner, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.lit(100) * F.col("longer") < covered * F.col("a")))
