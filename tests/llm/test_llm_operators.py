@@ -396,6 +396,16 @@ def test_slots_of_a_mix(spark):
     assert all(abs(drawn[s.key] - 64 * 32 * o) < 6 * (64 * 32 * o) ** 0.5 + 1 for s, o in zip(shares, odds, strict=True))
 
 
+def block_joins(df):
+    """How the plan that ran joins documents' pieces with the blocks that a mix takes."""
+    df.collect()
+    return re.findall(r"(\w+Join) \[source_key#\d+, block#", df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+
+
+def test_blocks_of_a_mix_are_not_broadcast(docs):
+    assert block_joins(mixing.mix_documents(docs)) == ["SortMergeJoin"]
+
+
 def test_mix_of_repeated_rows(spark):
     rows = [(1, "a b c d e f g h i j", "en", "s", 1), (1, "x", "en", "s", 1), (2, "p q r", "en", None, 1), (2, "p q r", "en", None, 1), (3, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

@@ -229,7 +229,8 @@ def pieces(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int =
     low = F.greatest(F.col("block") * block, "at")
     cut = cut.select("doc_id", "digest", "source_key", "block", low.alias("low"), (low - F.col("at")).alias("at"), (F.least((F.col("block") + 1) * block, F.col("at") + F.col("size")) - low).alias("n"))
     extra = F.greatest(F.lit(0), F.least(F.col("n"), F.col("last") - (F.col("low") - F.col("block") * block)))
-    return owned, cut.join(times, ["source_key", "block"]).select("doc_id", "digest", "at", "n", "times", extra.alias("extra")).where("times > 0 or extra > 0")
+    # slots come from few rows, and Spark takes their number for that of the blocks, which grows with the words: without the hint it broadcasts them
+    return owned, cut.hint("merge").join(times, ["source_key", "block"]).select("doc_id", "digest", "at", "n", "times", extra.alias("extra")).where("times > 0 or extra > 0")
 
 
 def mix_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
