@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from test_llm_operators import WORD, brute_simhash, norm, water
+from test_llm_operators import WORD, block_joins, brute_simhash, norm, water
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -118,6 +118,10 @@ def test_run_is_its_stages(spark, folder):
     assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0 < got.count()
 
 
+def test_mixing_broadcasts_no_blocks(spark, folder):
+    assert block_joins(corpus_pipeline.mix_sources(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)) == ["SortMergeJoin"]
+
+
 def test_stages_of_empty_and_repeated_rows(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     none, some = docs.where("false"), docs.where("doc_id in (4, 5, 20)")
